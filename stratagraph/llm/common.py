@@ -58,16 +58,16 @@ def _gathered(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Itera
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def map_text(df: DataFrame, text: str, make: Callable[[], Callable], fields: list[T.StructField], keep: list[str] | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
+def map_text(df: DataFrame, text: str, make: Callable[[], Callable], fields: list[T.StructField], keep: list[str] | None = None, limit: int = CHUNK_BYTES, also: tuple[str, ...] = ()) -> DataFrame:
     """Adds columns computed from a text column, in bounded pieces and without a shuffle.
 
     ``make()`` runs once a task and gives f(raw bytes, offsets, rows) -> list of
     Arrow arrays for ``fields``; rows is the Arrow table of the piece. A null text
-    comes as an empty one. ``keep`` are the columns passed through (all, if None).
+    comes as an empty one. ``keep`` are the columns passed through (all, if None);
+    f sees those of ``also`` too.
     """
     keep = df.columns if keep is None else keep
-    inner = df if text in keep else df.select(*keep, text)
-    inner = inner.select(*dict.fromkeys([*keep, text]))
+    inner = df.select(*dict.fromkeys([*keep, text, *also]))
     schema = T.StructType([inner.schema[c] for c in keep] + fields)
     names, at = inner.columns, inner.columns.index(text)
     arrow = to_arrow_schema(schema)

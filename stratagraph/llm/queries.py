@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, ordinal, packing
+from . import decontaminate, langid, licenses, ordinal, packing, substring
 from .common import read
 
 
@@ -13,6 +13,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return substring.deduplicate(docs, keep=["doc_id"], digest="kept_sha256")
+
+
+OP3_SQL = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
+x as (select doc_id, w, unnest(range(1, len(w) - 18)) s from d),
+g as (select doc_id, s, min(struct_pack(doc_id := doc_id, s := s)) over (partition by array_to_string(w[s : s + 19], ' ')) f from x),
+m as (select distinct doc_id, unnest(range(s, s + 20)) p from g where f.doc_id < doc_id or f.s < s),
+k as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from d),
+r as (select k.doc_id, string_agg(word, ' ' order by k.p) filter (m.p is null) t, count(m.p) n from k left join m on m.doc_id = k.doc_id and m.p = k.p group by k.doc_id)
+select d.doc_id, len(w) n_words, coalesce(r.n, 0) n_removed, sha256(coalesce(r.t, '')) kept_sha256 from d left join r using (doc_id)"""
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = ordinal.fit(docs, read(spark, sf_dir, "labels"), "quality", "quality")
@@ -52,7 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP10_SQL = f"""
-with pat as (select '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+' p),
+with pat as (select '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' p),
 d as (select doc_id, coalesce(regexp_extract_all({_LOW.format('text')}, p), []) w from documents, pat),
 b as (select cast(item_id as varchar) item, regexp_extract_all({_LOW.format('text')}, p) w from benchmark, pat where text is not null),
 bw as (select distinct item, least(10, len(w)) m, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') g
@@ -67,10 +82,11 @@ from d left join x using (doc_id) left join i using (doc_id)"""
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pack": op6_pack,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES = {"op1_license_scan": licenses.scan_sql(), "op10_decontaminate": OP10_SQL}
+ORACLES = {"op1_license_scan": licenses.scan_sql(), "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL}
