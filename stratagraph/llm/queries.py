@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, ordinal, packing, substring
+from . import decontaminate, jaccard, langid, licenses, ordinal, packing, substring
 from .common import read
 
 
@@ -13,6 +13,22 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard.classes(docs, n=3, num=90, den=100, lower=True).select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 2], ' ') g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+o as (select a.doc_id x, b.doc_id y, count(*) o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from o join n p on p.doc_id = x join n q on q.doc_id = y where 100 * o >= 90 * (p.n + q.n - o)),
+e as (select x, y from l union select y, x from l),
+r as (select doc_id, doc_id root from d union select e.y, r.root from r join e on e.x = r.doc_id)
+select d.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(root) component_id from d join r using (doc_id) left join n using (doc_id) group by d.doc_id"""
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return substring.deduplicate(docs, keep=["doc_id"], digest="kept_sha256")
@@ -82,6 +98,7 @@ from d left join x using (doc_id) left join i using (doc_id)"""
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pack": op6_pack,
@@ -89,4 +106,4 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES = {"op1_license_scan": licenses.scan_sql(), "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES = {"op1_license_scan": licenses.scan_sql(), "op2_jaccard_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL}
