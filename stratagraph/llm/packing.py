@@ -1,7 +1,7 @@
 """Packing of documents into windows of ``size`` tokens by best-fit decreasing.
 
 A document's tokens end with id 1. Documents longer than a window are first cut into
-full windows; each of these is a sequence of its own. What is left of every document
+full windows, which fill a sequence each. What is left of every document
 is packed by best-fit decreasing: pieces come longest first, and a segment tree
 indexed by remaining capacity finds the tightest open window that still takes the
 piece. Packing runs in groups of about ``group_rows`` pieces dealt by a hash of the document,
@@ -125,10 +125,8 @@ class WordTokenizer:
         ends = np.concatenate([[0], np.cumsum(size)])
         text = np.concatenate([[0], np.cumsum(np.diff(ends[w.first]) + 1)])
         out = np.full(text[-1], END_ID, np.int32)
-        to = ends[:-1] + w.doc
         step = np.arange(ends[-1])
         out[step + np.repeat(w.doc, size)] = self.ids[step + np.repeat(first - ends[:-1], size)]
-        del to
         return out, text if n else np.zeros(1, np.int64)
 
 
@@ -201,15 +199,14 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     kind = d.schema["doc_id"].dataType
-    fields = [T.StructField("doc_id", kind)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "full_id")]
+    fields = [T.StructField("doc_id", kind)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
 
     def task():
-        tok, part, count = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tok = tokenizer(tokenizer_path)
 
         def f(raw, off, rows):
-            nonlocal count
             ids, first = tok.encode(raw, off)
             total = np.diff(first)
             pieces = -(-total // size)
@@ -219,15 +216,9 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
             at = first[doc] + start
             data = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
             crc = np.array([zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)], np.int64)
-            full = length == size
-            number = np.full(len(doc), -1, np.int64)
-            number[full] = 2 * ((part << 32) + count + np.arange(full.sum()))
-            count += int(full.sum())
-            own = rows.column(0)
-            own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
-            if isinstance(own, pa.ChunkedArray):
-                own = pa.concat_arrays(own.chunks)
-            out = [own.take(pa.array(doc)), start, length, crc, total[doc], number]
+            own = rows.column(0).combine_chunks()
+            own = pa.concat_arrays(own.chunks) if isinstance(own, pa.ChunkedArray) else own
+            out = [own.take(pa.array(doc)), start, length, crc, total[doc]]
             if with_ids:
                 out.append(blobs(ids.astype("<i4"), np.append(at, first[-1])))
             return out
@@ -236,24 +227,22 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
 
     cut = flat_text(d, "t", task, T.StructType(fields))
     groups = max(1, -(-docs.count() // group_rows))
-    rest = [c for c in cut.columns if c != "full_id"]
-    # cut rows that are full windows stay where they are; the others are dealt by a hash of the document
-    whole = cut.where("full_id >= 0").select(*rest, F.col("full_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    schema = T.StructType([cut.schema[c] for c in rest] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def bins(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).drop_columns(["g"])
+        # full windows come first in the order and fill a sequence each
         window, offset = best_fit_decreasing(table.column("length").to_numpy(), size)
-        number = 2 * ((TaskContext.get().partitionId() << 32) + window) + 1
+        number = (TaskContext.get().partitionId() << 32) + window
         table = table.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
         yield from table.combine_chunks().to_batches(max_chunksize=20_000)
 
-    few = cut.where("full_id < 0").select(*rest).withColumn("g", F.xxhash64("doc_id", "start", "ids_crc32"))
-    few = few.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(bins, schema)
-    return whole.unionByName(few)
+    # pieces (small rows: ids only if asked for) are dealt once; a total order makes a repeated task give the same numbers
+    dealt = cut.withColumn("g", F.xxhash64("doc_id", "start", "ids_crc32"))
+    return dealt.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(bins, schema)
 
 
 def with_id_arrays(pieces: DataFrame) -> DataFrame:
