@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, ordinal, packing, substring
+from . import ann, decontaminate, jaccard, langid, licenses, ordinal, packing, substring
 from .common import read
 
 
@@ -44,6 +44,10 @@ r as (select k.doc_id, string_agg(word, ' ' order by k.p) filter (m.p is null) t
 select d.doc_id, len(w) n_words, coalesce(r.n, 0) n_removed, sha256(coalesce(r.t, '')) kept_sha256 from d left join r using (doc_id)"""
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = ordinal.fit(docs, read(spark, sf_dir, "labels"), "quality", "quality")
@@ -100,6 +104,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pack": op6_pack,
     "op7_toxicity": op7_toxicity,
