@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, licenses, ordinal, packing, substring
+from . import ann, decontaminate, html_text, jaccard, langid, licenses, ordinal, packing, substring
 from .common import read
 
 
@@ -79,6 +79,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), trees, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     got = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -109,6 +113,7 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_html_text": op9_html_text,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {"op1_license_scan": licenses.scan_sql(), "op2_jaccard_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL}
