@@ -209,8 +209,7 @@ def grade(docs: DataFrame, model: Ordinal, features: str = "words", text: str =
 TOXIC_FROM = 0.5
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC_FROM) -> DataFrame:
-    """The documents that aren't graded toxic, with their own columns."""
-    model = fit(docs, labels, "toxic")
+def reject(docs: DataFrame, model: Ordinal, threshold: float = TOXIC_FROM) -> DataFrame:
+    """The documents whose probability of the highest grade is under the threshold, with their own columns."""
     names = fresh(docs, "sg_grade"), fresh(docs, "sg_top")
     return grade(docs, model, names=names).where(F.col(names[1]) < threshold).select(*docs.columns)
