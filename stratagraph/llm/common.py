@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +60,13 @@ def _gathered(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Itera
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker is used again, and others share its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_text(df: DataFrame, text: str, make: Callable[[], Callable], fields: list[T.StructField], keep: list[str] | None = None, limit: int = CHUNK_BYTES, also: tuple[str, ...] = ()) -> DataFrame:
     """Adds columns computed from a text column, in bounded pieces and without a shuffle.
 
@@ -82,6 +91,8 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable], fields: lis
                 cols = [rows.column(names.index(c)).combine_chunks() for c in keep]
                 cols = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in cols] + out
                 yield pa.RecordBatch.from_arrays([c.cast(t.type) if c.type != t.type else c for c, t in zip(cols, arrow, strict=True)], schema=arrow)
+        del f
+        give_back()
 
     return inner.mapInArrow(run, schema)
 
@@ -100,6 +111,8 @@ def flat_text(df: DataFrame, text: str, make: Callable[[], Callable], schema: T.
                 out = [pa.array(c, t.type) if isinstance(c, np.ndarray) else c for c, t in zip(out, arrow, strict=True)]
                 for i in range(0, len(out[0]), 100_000):
                     yield pa.RecordBatch.from_arrays([c.slice(i, 100_000) for c in out], schema=arrow)
+        del f
+        give_back()
 
     return df.mapInArrow(run, schema)
 

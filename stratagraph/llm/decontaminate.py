@@ -32,7 +32,7 @@ U64 = np.uint64
 #: Characters of benchmark text that one pass over the documents may hold.
 BLOCK_CHARS = 16 << 20
 #: Training text in one suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 LEVELS = (1, 2, 4, 8)
 
 

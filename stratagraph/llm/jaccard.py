@@ -38,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, flat_text, fresh, map_text, settle
+from .common import components, flat_text, fresh, give_back, map_text, settle
 from .substring import numbered
 from .textcore import BLANK_WORDS, Words, mix, rolling, windows
 
 U64 = np.uint64
 #: Sets that one task may hold as a shard, and bytes of text behind one partition of signatures.
 SHARD_ROWS = 1500
-PART_BYTES = 16 << 20
-PIECE_BYTES = 8 << 20
+PART_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 PIVOTS = 8
 #: Large shards whose pivots may be broadcast; with more, shards go by blocks alone.
 MOST_PIVOTED = 200
@@ -304,6 +304,8 @@ def _shards(base: DataFrame, n: int, num: int, den: int, lower: bool, text: str,
             a, b, _ = chains(np.concatenate(keys), np.concatenate(docs))
             for i in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], pa.int64()), pa.array(b[i : i + 50_000], pa.int64())], names=["a", "b"])
+            del keys, docs
+        give_back()
 
     sent = flat_text(base.select(text, d), text, task, _SENT, PIECE_BYTES)
     return sent.repartitionById(parts, F.col("p")).mapInArrow(resolve, _EDGES)

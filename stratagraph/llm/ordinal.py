@@ -32,7 +32,7 @@ U64 = np.uint64
 BITS = 20
 #: Bytes of word beginnings that are features too: inflected and compounded forms share them.
 STEMS = (4, 6)
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 
 
 def word_features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +122,10 @@ def fit_rows(doc: np.ndarray, f: np.ndarray, y: np.ndarray, l1: float = 2e-4, st
     w = np.zeros(1 << BITS)
     if k < 2:
         return Ordinal(grades, np.zeros(0), w)
-    used, at = np.unique(f, return_inverse=True)
-    ok = np.bincount(at)[at] >= least_docs
-    doc, at = doc[ok], at[ok]
+    used = np.bincount(f, minlength=1 << BITS) >= least_docs
+    ok = used[f]
+    at = (np.cumsum(used, dtype=np.int32) - np.int32(1))[f[ok]]
+    doc, used = doc[ok].astype(np.int32), np.flatnonzero(used)
     g = np.searchsorted(grades, y)
     # equal weight of the grades, so that a rare grade counts
     wt = (n / k / np.bincount(g, minlength=k))[g] / n
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, features: str = "words",
     for r in got:
         xs.append(np.frombuffer(r.x, np.int32))
         ys.append(r.y)
-    doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+    doc = np.repeat(np.arange(len(xs), dtype=np.int32), [len(x) for x in xs])
     return fit_rows(doc, np.concatenate(xs) if xs else np.zeros(0, np.int32), np.array(ys), **options)
 
 

@@ -34,8 +34,9 @@ from .textcore import BLANK_WORDS, Words
 SIZE = 2048
 END_ID = 1
 GROUP_ROWS = 40_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 1_200_000
+#: Words whose ids a worker keeps (about 40 bytes each), and parts of words (about 150 bytes each).
+CACHE_WORDS = 1_000_000
+CACHE_PARTS = 150_000
 
 _PLAIN = regex.compile(r"[\x21-\x7EÀ-įı-ž]+")
 # fixed value: the splitting pattern of the tokenizer file
@@ -58,25 +59,28 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.pieces: dict[str, np.ndarray] = {}
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.used, self.first, self.size = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.pieces: dict[str, bytes] = {}
+        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, numbers of their words
+        self.ids, self.used = np.zeros(1 << 16, np.uint16 if len(self.ends) <= 1 << 16 else np.int32), 0
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _encode_parts(self, parts: list[str]) -> None:
         for i in range(0, len(parts), 20_000):
             some = parts[i : i + 20_000]
             lines = [" ".join(some[k : k + 500]) for k in range(0, len(some), 500)]
-            ids = np.array([x for e in self.parts.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], np.int32)
+            ids = np.array([x for e in self.parts.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], self.ids.dtype)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(some):  # a part that doesn't end as expected: one by one
                 for p in some:
-                    self.pieces[p] = np.array(self.parts.encode(p, add_special_tokens=False).ids, np.int32)
+                    self.pieces[p] = np.array(self.parts.encode(p, add_special_tokens=False).ids, self.ids.dtype).tobytes()
             else:
-                self.pieces.update(zip(some, np.split(ids, cut[:-1]), strict=True))
+                data, at = ids.tobytes(), [0, *(cut * ids.itemsize).tolist()]
+                self.pieces.update((p, data[a:b]) for p, a, b in zip(some, at[:-1], at[1:], strict=True))
 
-    def add(self, hashes: list[int], words: list[str]) -> None:
+    def add(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encodes new words and keeps their ids under their hashes."""
+        if len(self.pieces) > CACHE_PARTS:
+            self.pieces = {}
         parts: list[list[str] | None] = []
         new: dict[str, None] = {}
         for w in words:
@@ -90,36 +94,40 @@ class WordTokenizer:
             else:
                 parts.append(None)
         self._encode_parts(list(new))
-        for h, w, p in zip(hashes, words, parts, strict=True):
-            if p is None:
-                ids = np.array(self.whole.encode(w, add_special_tokens=False).ids, np.int32)
-            elif len(p) == 1:
-                ids = self.pieces[p[0]]
-            else:
-                ids = np.concatenate([self.pieces[x] for x in p])
-            n, k = len(ids), len(self.known)
-            if self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), n), np.int32)])
-            if k == len(self.first):
-                self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.ids[self.used : self.used + n] = ids
-            self.first[k], self.size[k] = self.used, n
-            self.known[h] = k
-            self.used += n
+        kind, get = self.ids.dtype, self.pieces.__getitem__
+        out = [np.array(self.whole.encode(w, add_special_tokens=False).ids, kind).tobytes() if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for w, p in zip(words, parts, strict=True)]
+        size = np.fromiter(map(len, out), np.int64, len(out)) // kind.itemsize
+        ids = np.frombuffer(b"".join(out), kind)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), kind)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        number = len(self.first) + np.arange(len(words), dtype=np.int32)
+        self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.used += len(ids)
+        to = np.searchsorted(self.known, hashes)
+        self.known, self.at = np.insert(self.known, to, hashes), np.insert(self.at, to, number)
+
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the words of these hashes; -1 if unknown."""
+        if not len(self.known):
+            return np.full(len(h), -1, np.int64)
+        k = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[k] == h, self.at[k], -1).astype(np.int64)
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each ended by END_ID, and each text's offsets among them."""
         n = len(off) - 1
         w = Words(raw, off, BLANK_WORDS)
         h, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        if len(self.known) + len(keys) > CACHE_WORDS:
+        if len(self.known) + len(h) > CACHE_WORDS:
             self.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        place = self._places(h)
+        new = np.flatnonzero(place < 0)
+        if len(new):
             data = raw.tobytes()
-            self.add([keys[i] for i in new], [data[w.start[at[i]] : w.end[at[i]]].decode() for i in new])
-        place = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
+            self.add(h[new], [data[a:b].decode() for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)])
+            place = self._places(h)
         first, size = self.first[place][back], self.size[place][back].astype(np.int64)
         # ids of a text, then END_ID
         ends = np.concatenate([[0], np.cumsum(size)])

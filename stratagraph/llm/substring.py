@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blobs, flat_text, fresh, map_text
+from .common import blobs, flat_text, fresh, give_back, map_text
 from .textcore import BLANK_WORDS, Words, rolling, spread, windows
 
 U64 = np.uint64
@@ -42,7 +42,7 @@ N = 20
 ANCHOR = 6
 #: Bytes of text whose suffixes one partition takes, and bytes of text treated at once.
 PART_BYTES = 8 << 20
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
@@ -195,6 +195,8 @@ def repeated_windows(docs: DataFrame, n: int = N, text: str = "text", number: st
         kinds2, x = marks_by_document(d[later], s[later].astype(np.int64))
         for i in range(0, len(kinds2), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(kinds2[i : i + 50_000]), x.slice(i, 50_000)], names=["d", "x"])
+        del d, s, key, low, place, first
+        give_back()
 
     return sent.repartitionById(parts, F.col("p")).mapInArrow(resolve, _MARKS)
 
