@@ -240,12 +240,12 @@ def _by_blocks(docs: DataFrame, bench: DataFrame, blocks: int, text: str, n: int
             size = np.diff(w.first)
             hits = [np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(rows.column(old).to_pylist(), size, strict=True)]
             runs = [max((len(r) for r in h.tobytes().split(b"\0")), default=0) for h in hits]
-            return [pa.array(size), pa.array([int(h.sum()) for h in hits], pa.int64()), rows.column(ids).combine_chunks(), pa.array(runs, pa.int64())]
+            return [pa.array(size), pa.array([int(h.sum()) for h in hits], pa.int64()), pa.array(rows.column(ids).to_pylist(), pa.list_(pa.string())), pa.array(runs, pa.int64())]
 
         return f
 
     fields = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.ArrayType(T.StringType())), T.StructField(names[3], T.LongType())]
-    return map_text(got, text, last, fields, keep, SHARD_BYTES)
+    return map_text(got, text, last, fields, keep, SHARD_BYTES, (old, ids))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_hit_share: float = 0.0) -> DataFrame:

@@ -457,6 +457,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFra
     """The documents that are the first of their component, with their own columns (of repeated rows one stays)."""
     c = classes(docs, n, num, den, lower=True)
     row = fresh(docs, "sg_doc")
-    first = c.where("doc_id = component_id or (doc_id is null and component_id is null)").select(F.col("doc_id").alias(row)).distinct()
-    got = docs.join(first, F.col("doc_id").eqNullSafe(F.col(row)), "left_semi")
-    return got
+    first = c.where("doc_id = component_id or (doc_id is null and component_id is null)").groupBy(F.col("doc_id").alias(row)).agg(F.count(F.lit(1)).alias("c"))
+    if first.where("c > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(row)), "left_semi")

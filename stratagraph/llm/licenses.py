@@ -95,14 +95,15 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     k = known(docs.sparkSession)
     lines = F.filter(F.split(F.translate(F.col(text), UPPER, LOWER), "\n", -1), lambda x: x.rlike(NAMES_LICENSE))
     digests = F.transform(lines, lambda x: F.sha2(canonical(x), 256))
-    of_text = F.broadcast(k.where("kind = 'license'").select(F.col("digest").alias("kd"), "license_id"))
+    kd, lid = fresh(docs, "sg_digest"), fresh(docs, "sg_license")
+    of_text = F.broadcast(k.where("kind = 'license'").select(F.col("digest").alias(kd), F.col("license_id").alias(lid)))
     # the fixed table of notices as a literal map
     notices = F.create_map(*[F.lit(x) for r in k.where("kind = 'notice'").collect() for x in (r.digest, r.license_id)])
-    dig, lin = fresh(docs, "digest"), fresh(docs, "sg_lines")
+    dig, lin = fresh(docs, "sg_canonical"), fresh(docs, "sg_lines")
     got = docs.select(*dict.fromkeys([*keep, text])).withColumn(dig, F.sha2(canonical(F.col(text)), 256)).withColumn(lin, digests)
-    got = got.join(of_text, F.col(dig) == F.col("kd"), "left")
+    got = got.join(of_text, F.col(dig) == F.col(kd), "left")
     ids = F.filter(F.transform(F.col(lin), lambda x: F.try_element_at(notices, x)), lambda x: x.isNotNull())
-    return got.select(*keep, F.col(dig).alias("digest"), "license_id", F.coalesce(F.array_join(F.array_sort(F.array_distinct(ids)), ","), F.lit("")).alias("notices"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_notices"))
+    return got.select(*keep, F.col(dig).alias("digest"), F.col(lid).alias("license_id"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(ids)), ","), F.lit("")).alias("notices"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_notices"))
 
 
 def _sql_canonical(x: str) -> str:

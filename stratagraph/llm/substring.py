@@ -55,7 +55,9 @@ def numbered(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
     keys = docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("h")).distinct().orderBy("i", "h")
     rows = keys.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
     ids = docs.sparkSession.createDataFrame(rows, T.StructType([*keys.schema.fields, T.StructField(name, T.LongType())]))
-    return docs.join(ids, F.col(doc_id).eqNullSafe(F.col("i")) & (F.xxhash64(text) == F.col("h"))).drop("i", "h")
+    a, b = fresh(docs, "sg_i"), fresh(docs, "sg_h")
+    ids = ids.select(F.col("i").alias(a), F.col("h").alias(b), name)
+    return docs.join(ids, F.col(doc_id).eqNullSafe(F.col(a)) & (F.xxhash64(text) == F.col(b))).drop(a, b)
 
 
 def sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
@@ -211,9 +213,8 @@ def deduplicate(docs: DataFrame, n: int = N, doc_id: str = "doc_id", text: str =
     keep = docs.columns if keep is None else keep
     d, x = fresh(docs, "sg_d"), fresh(docs, "sg_x")
     base = numbered(docs.select(*dict.fromkeys([*keep, doc_id, text])), doc_id, text, d)
-    marks = repeated_windows(base, n, text, d).groupBy("d").agg(F.collect_list("x").alias(x))
-    got = base.join(marks, F.col(d) == F.col("d"), "left") if d != "d" else base.join(marks, d, "left")
-    got = got.select(*dict.fromkeys([*keep, text]), x)
+    marks = repeated_windows(base, n, text, d).groupBy(F.col("d").alias(d)).agg(F.collect_list("x").alias(x))
+    got = base.join(marks, d, "left").select(*dict.fromkeys([*keep, text]), x)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType())]
     fields += [T.StructField(digest, T.StringType())] if digest else [T.StructField(names[2], T.StringType()), T.StructField(names[3], span)]
