@@ -213,7 +213,7 @@ def best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int)
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
-def search(vectors: DataFrame, queries, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", parts: int = 32, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", parts: int | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """The k nearest rows found for each query: query_id, rank, vec_id, score. ``queries``: a condition on vec_id."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).where("vec_id is not null and e is not null")
@@ -230,6 +230,9 @@ def search(vectors: DataFrame, queries, k: int = 5, vec_id: str = "vec_id", embe
     _, x = _matrix(sample.column(0), dim)
     if not len(x):
         return spark.createDataFrame([], out)
+    if parts is None:
+        # as many parts as keeps a query's share of rows falling with the square root of the table
+        parts = max(16, int(rows**0.5 / 4))
     # equal vectors say nothing new about the graph
     router = spark.sparkContext.broadcast(train(unit(np.unique(x, axis=0)), parts, k))
     routed = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("e", T.ArrayType(T.DoubleType())), T.StructField("parts", T.ArrayType(T.IntegerType()))])

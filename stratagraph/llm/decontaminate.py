@@ -30,7 +30,7 @@ from .textcore import ALNUM_WORDS, Words
 
 U64 = np.uint64
 #: Characters of benchmark text that one pass over the documents may hold.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 2 << 20
 #: Training text in one suffix array.
 SHARD_BYTES = 4 << 20
 LEVELS = (1, 2, 4, 8)

@@ -4,10 +4,12 @@ Every suffix is cut at ``n`` words, for that depth decides: two suffixes that ag
 depth n meet in a deep internal node of the suffix tree, and a word is removed if a window of n words that covers
 it starts earlier somewhere else. The tree is never built as a whole:
 
-* Suffixes are split by prefix. A suffix goes to the partition of its *anchor*, the run
+* Suffixes are split by prefixes of variable length. A suffix goes to the partition of its *anchor*, the run
   of ``ANCHOR`` words with the least hash among its first n words; equal
   suffixes have equal anchors, and neighbouring suffixes of a text mostly share one, so they travel
-  together (anchor, document, first place, and one fingerprint each).
+  together (anchor, document, first place, and one fingerprint each). Anchors are counted over all
+  texts first; where more than ``GROUP_LEAVES`` suffixes would meet, the prefix is
+  extended to all n words, which splits the group.
 * Each task first builds the deep nodes of its own piece of text. Only the first
   leaf of each node is sent on: common passages and groups of copies shrink to
   one leaf a piece before the shuffle, so a hot prefix makes no hot task.
@@ -42,6 +44,10 @@ N = 20
 ANCHOR = 6
 #: Bytes of text whose suffixes one partition takes, and bytes of text treated at once.
 PART_BYTES = 8 << 20
+#: Suffixes that may meet under one anchor; beyond, the whole window decides the partition.
+GROUP_LEAVES = 50_000
+#: Anchors known by 32 bits that may be too common at once (their list is broadcast).
+MOST_COMMON = 1_000_000
 PIECE_BYTES = 4 << 20
 
 
@@ -119,31 +125,62 @@ def marks_by_document(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, p
 
 _SENT = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("d", T.LongType()), T.StructField("x", T.BinaryType())])
 _MARKS = T.StructType([T.StructField("d", T.LongType()), T.StructField("x", T.BinaryType())])
+_COUNTS = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("c", T.IntegerType())])
 
 
-def repeated_windows(docs: DataFrame, n: int = N, text: str = "text", number: str = "d") -> DataFrame:
+def _piece(raw: np.ndarray, off: np.ndarray, d: np.ndarray, n: int):
+    """Leaves of a piece with their places in documents, and whether each is the first of its node here."""
+    w, start, anchor, a, fp = leaves(raw, off, n)
+    rank = np.unique(d, return_inverse=True)[1] if len(d) else np.zeros(0, np.int64)
+    at = start - w.first[w.doc[start]]
+    first = first_leaves(fp, (rank[w.doc[start]].astype(np.int64) << 32) + at)
+    return d[w.doc[start]], anchor, a, fp, at, first
+
+
+def common_anchors(docs: DataFrame, n: int, text: str, number: str, most: int) -> np.ndarray | None:
+    """The low 32 bits of the anchors of more than ``most`` leaves, sorted; None if they are too many to broadcast."""
+
+    def task():
+        def f(raw, off, rows):
+            _, _, a, _, _, first = _piece(raw, off, rows.column(1).to_numpy(), n)
+            k, c = np.unique((a[first] & U64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
+            return [k.view(np.int32), c.astype(np.int32)]
+
+        return f
+
+    counts = flat_text(docs.select(text, number), text, task, _COUNTS, PIECE_BYTES)
+    many = counts.groupBy("a").agg(F.sum("c").alias("c")).where(F.col("c") > most).select("a").limit(MOST_COMMON + 1).toArrow()
+    return None if many.num_rows > MOST_COMMON else np.sort(many["a"].to_numpy().astype(np.int32).view(np.uint32))
+
+
+def repeated_windows(docs: DataFrame, n: int = N, text: str = "text", number: str = "d", group_leaves: int = GROUP_LEAVES) -> DataFrame:
     """Rows (d, x): runs of window starts of document d that also start earlier; several rows a document."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
+    # an anchor can't be too common in a table of one partition
+    common = common_anchors(docs, n, text, number, group_leaves) if parts > 1 else np.zeros(0, np.uint32)
+    sent_common = docs.sparkSession.sparkContext.broadcast(common)
 
     def task():
+        extended = sent_common.value
+
         def f(raw, off, rows):
-            d = rows.column(1).to_numpy()
-            w, start, anchor, a, fp = leaves(raw, off, n)
-            rank = np.unique(d, return_inverse=True)[1] if len(d) else np.zeros(0, np.int64)
-            at = start - w.first[w.doc[start]]
-            first = first_leaves(fp, (rank[w.doc[start]].astype(np.int64) << 32) + at)
+            d, anchor, a, fp, at, first = _piece(raw, off, rows.column(1).to_numpy(), n)
             # nodes found here: later leaves are marked, whatever the others hold
-            kinds, x = marks_by_document(d[w.doc[start[~first]]], at[~first])
+            kinds, x = marks_by_document(d[~first], at[~first])
             p_own = (kinds % parts).astype(np.int32)
-            # the rest goes to the partition of its anchor, grouped by anchor place
-            start, anchor, a, fp, at = start[first], anchor[first], a[first], fp[first], at[first]
+            # the rest goes to the partition of its prefix, grouped by anchor place
+            d, anchor, a, fp, at = d[first], anchor[first], a[first], fp[first], at[first]
             p = ((a >> U64(32)) % U64(parts)).astype(np.int64)
+            if extended is None or len(extended):
+                low = (a & U64(0xFFFFFFFF)).astype(np.uint32)
+                far = np.ones(len(a), bool) if extended is None else extended[np.minimum(np.searchsorted(extended, low), len(extended) - 1)] == low
+                p[far] = ((fp[far] >> U64(20)) % U64(parts)).astype(np.int64)
             order = np.argsort(p, kind="stable")
-            start, anchor, a, fp, at, p = (v[order] for v in (start, anchor, a, fp, at, p))
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(at) != 1)])) if len(start) else start
+            d, anchor, a, fp, at, p = (v[order] for v in (d, anchor, a, fp, at, p))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(at) != 1) | (np.diff(p) != 0)])) if len(p) else np.zeros(0, np.int64)
             head = np.empty(len(new), [("d", "<i8"), ("s", "<i4"), ("a", "<u4"), ("c", "u1")])
-            head["d"], head["s"], head["a"], head["c"] = d[w.doc[start[new]]], at[new], (a[new] & U64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(new, len(start)))
+            head["d"], head["s"], head["a"], head["c"] = d[new], at[new], (a[new] & U64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(new, len(p)))
             tails = np.ascontiguousarray(fp >> U64(16), "<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             used = np.unique(p)
             out = []

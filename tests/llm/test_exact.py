@@ -134,6 +134,18 @@ def test_substring_removal(docs, corpus, n):
         assert sum(s.end - s.start for s in r.removed_spans) == r.n_removed
 
 
+@pytest.mark.parametrize("most", [0, 2, None])
+def test_extended_prefixes(docs, corpus, monkeypatch, most):
+    """Anchors that count as too common: all, those of over two leaves, and more than may be listed."""
+    monkeypatch.setattr(substring, "PART_BYTES", 2000)
+    if most is None:
+        monkeypatch.setattr(substring, "MOST_COMMON", 3)
+    monkeypatch.setattr(substring.repeated_windows, "__defaults__", (20, "text", "d", most or 0))
+    kept, gone = removal_by_hand(corpus, 12)
+    got = substring.deduplicate(docs, 12, keep=["doc_id"], digest="sha").collect()
+    assert sorted(((r.doc_id, r.n_removed, r.sha) for r in got), key=repr) == sorted(((x[0], gone[x], hashlib.sha256(" ".join(kept[x]).encode()).hexdigest()) for x in corpus), key=repr)
+
+
 def test_substring_plain_and_empty(nothing, spark):
     assert substring.deduplicate(nothing).count() == 0
     p = " ".join(f"p{i}" for i in range(60))
