@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -134,6 +135,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids (16 to 64 bytes each) that may be broadcast to a scan of texts; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_not(ids: DataFrame, rows: int | None = None) -> DataFrame:
+    """The frame marked for broadcast if its counted rows allow it, else as it is."""
+    n = ids.count() if rows is None else rows
+    return F.broadcast(ids) if n <= BROADCAST_ROWS else ids
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes the frame as a table in the shared checkpoint folder and reads it back."""
+    prepare(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node.
 

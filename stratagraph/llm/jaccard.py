@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, flat_text, fresh, give_back, map_text, settle
+from .common import components, flat_text, fresh, give_back, map_text, settle, small_or_not, stored
 from .substring import numbered
 from .textcore import BLANK_WORDS, Words, mix, rolling, windows
 
@@ -348,10 +348,10 @@ def _search(groups: DataFrame, n: int, num: int, den: int, lower: bool) -> DataF
     return groups.repartition("g").sortWithinPartitions("g", "d").mapInArrow(run, _EDGES)
 
 
-def _pivots(large: DataFrame, texts: DataFrame, n: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame]:
-    """For large shards (d, g): links of documents to pivots, and (d, g, rest) with rest where the main group doesn't hold d."""
+def _pivots(large: DataFrame, n: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame]:
+    """For large shards (d, g, t): links of documents to pivots, and (d, g, rest) with rest where the main group doesn't hold d."""
     picked = large.groupBy("g", F.pmod(F.xxhash64("d"), F.lit(PIVOTS)).alias("k")).agg(F.min_by("d", F.xxhash64("d", F.lit(1))).alias("d"))
-    piv = picked.join(texts, "d").select("g", "k", "d", "t").collect()  # at most PIVOTS texts of each of MOST_PIVOTED shards
+    piv = large.join(F.broadcast(picked.select("d")), "d").select("g", "d", "t").collect()  # at most PIVOTS texts of each of MOST_PIVOTED shards
     by: dict[int, list] = {}
     for r in piv:
         by.setdefault(r.g, []).append((r.d, r.t))
@@ -379,7 +379,7 @@ def _pivots(large: DataFrame, texts: DataFrame, n: int, num: int, den: int, lowe
 
         return f
 
-    got = settle(map_text(large.join(texts, "d").select("d", "g", "t"), "t", task, [T.StructField("near", linked)], ["d", "g"], PIECE_BYTES))
+    got = settle(map_text(large, "t", task, [T.StructField("near", linked)], ["d", "g"], PIECE_BYTES))
     # groups of pivots: at most 2 ** PIVOTS different sets of pivots a shard
     main = {}
     seen = got.where(F.size("near") > 0).groupBy("g", "near").agg(F.count(F.lit(1)).alias("c")).collect()
@@ -415,20 +415,19 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, lower: bool
     texts = base.select("d", "t")
     if not _plain(docs, doc_id, sets):  # rows may repeat under one number
         texts = texts.dropDuplicates(["d"])
-    chosen = members.join(texts, "d")
+    # the texts to compare, fetched once and kept: a scan where the ids may be broadcast
+    chosen = stored(texts.join(small_or_not(members), "d").select("d", "g", "c", "t"))
     links = _search(chosen.where(F.col("c") <= shard_rows).select("g", "d", F.lit(True).alias("q"), "t"), n, num, den, lower)
-    large = members.where(F.col("c") > shard_rows)
-    roots = large.select("g").distinct().count()
+    large = chosen.where(F.col("c") > shard_rows)
+    roots = members.where(F.col("c") > shard_rows).select("g").distinct().count()
     if roots:
-        own = large.select("d", "g")
         if roots <= MOST_PIVOTED:
-            near, rest = _pivots(own, texts, n, num, den, lower)
+            near, rest = _pivots(large.select("d", "g", "t"), n, num, den, lower)
             links = links.unionByName(near)
         else:
-            rest = own.withColumn("rest", F.lit(True))
+            rest = large.select("d", "g", F.lit(True).alias("rest"))
         # blocks of the rest as queries against blocks of all: each document goes to each block of queries
         half = max(1, shard_rows // 2)
-        rest = settle(rest)
         count = rest.groupBy("g").agg(F.sum(F.col("rest").cast("long")).alias("r"), F.count(F.lit(1)).alias("c")).where("r > 0")
         x = F.pmod(F.xxhash64("d"), F.ceil(F.col("r") / half)).alias("i")
         y = F.pmod(F.xxhash64("d", F.lit(2)), F.ceil(F.col("c") / half)).alias("j")
@@ -436,7 +435,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, lower: bool
         as_query = blocks.where("rest").select("d", "g", F.col("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / half) - 1)).alias("j"), F.lit(True).alias("q"))
         as_row = blocks.select("d", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("r") / half) - 1)).alias("i"), "j", F.lit(False).alias("q"))
         cells = as_query.unionByName(as_row).groupBy("d", "g", "i", "j").agg(F.max("q").alias("q"))
-        cells = cells.join(texts, "d").select(F.xxhash64("g", "i", "j").alias("g"), "d", "q", "t")
+        cells = cells.join(large.select("d", "t"), "d").select(F.xxhash64("g", "i", "j").alias("g"), "d", "q", "t")
         links = links.unionByName(_search(cells, n, num, den, lower))
     found = components(links).select(F.col("node").alias("rep"), "root")
     whole = reps.join(found, "rep", "left").select("size", "f1", "f2", "rep", F.coalesce("root", "rep").alias("root"))
@@ -457,7 +456,9 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFra
     """The documents that are the first of their component, with their own columns (of repeated rows one stays)."""
     c = classes(docs, n, num, den, lower=True)
     row = fresh(docs, "sg_doc")
-    first = c.where("doc_id = component_id or (doc_id is null and component_id is null)").groupBy(F.col("doc_id").alias(row)).agg(F.count(F.lit(1)).alias("c"))
-    if first.where("c > 1").limit(1).count():
+    c = settle(c.select("doc_id", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone")))
+    if c.where("not gone").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(row)), "left_semi")
+    # an id may stand for a document that stays and for one that goes; then both stay
+    gone = c.groupBy("doc_id").agg(F.min("gone").alias("gone")).where("gone").select(F.col("doc_id").alias(row))
+    return docs.join(small_or_not(gone), F.col("doc_id").eqNullSafe(F.col(row)), "left_anti")
