@@ -4,7 +4,8 @@ P(grade <= k | x) = sigmoid(theta_k - w.x): one weight vector is shared by all
 grades and the thresholds are ordered. The features of a text are the presence of
 hashed words plus, for quality, hashed shapes and bucketed statistics of the whole
 text. Weights are fitted by accelerated proximal gradient with an L1 penalty,
-so words that carry no signal get the weight 0 and long texts gather no noise.
+so words that carry no signal get the weight 0 and long texts gather no noise;
+features without a marked difference in grade are screened out before.
 
 Training takes a bounded sample of the labelled rows: ``max_rows``, by hash of the
 document id. Everything else (scoring) covers every text in full, in one pass
@@ -31,7 +32,7 @@ from .textcore import ALNUM_WORDS, BLANK_WORDS, Words, mix
 U64 = np.uint64
 BITS = 20
 #: Bytes of word beginnings that are features too: inflected and compounded forms share them.
-STEMS = (4, 6)
+STEMS = (3, 4, 5)
 MAX_ROWS = 8_000
 
 
@@ -115,14 +116,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_rows(doc: np.ndarray, f: np.ndarray, y: np.ndarray, l1: float = 2e-4, steps: int = 300, least_docs: int = 3) -> Ordinal:
-    """Fits on (text, feature) pairs and grades y; features in fewer than ``least_docs`` texts are left out."""
+def fit_rows(doc: np.ndarray, f: np.ndarray, y: np.ndarray, l1: float = 2e-4, steps: int = 300, least_docs: int = 2, least_far: float = 3.0) -> Ordinal:
+    """Fits on (text, feature) pairs and grades y; features in fewer than ``least_docs`` texts, or
+    whose texts' grades differ from the mean by under ``least_far`` standard errors, are left out."""
     grades = np.unique(y)
     n, k = len(y), len(grades)
     w = np.zeros(1 << BITS)
     if k < 2:
         return Ordinal(grades, np.zeros(0), w)
-    used = np.bincount(f, minlength=1 << BITS) >= least_docs
+    df = np.bincount(f, minlength=1 << BITS)
+    # screening: how far the mean grade of a feature's texts lies from that of all, in standard errors
+    off = y - y.mean()
+    far = np.abs(np.bincount(f, off[doc], 1 << BITS)) / np.sqrt(np.maximum(df, 1)) / max(off.std(), 1e-9)
+    used = (df >= least_docs) & (far >= least_far)
     ok = used[f]
     at = (np.cumsum(used, dtype=np.int32) - np.int32(1))[f[ok]]
     doc, used = doc[ok].astype(np.int32), np.flatnonzero(used)
@@ -207,7 +213,7 @@ def grade(docs: DataFrame, model: Ordinal, features: str = "words", text: str =
 
 
 #: A document is rejected as toxic from this probability of the highest grade on.
-TOXIC_FROM = 0.5
+TOXIC_FROM = 0.4
 
 
 def reject(docs: DataFrame, model: Ordinal, threshold: float = TOXIC_FROM) -> DataFrame:
