@@ -74,9 +74,11 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable], fields: lis
     ``make()`` runs once a task and gives f(raw bytes, offsets, rows) -> list of
     Arrow arrays for ``fields``; rows is the Arrow table of the piece. A null text
     comes as an empty one. ``keep`` are the columns passed through (all, if None);
-    f sees those of ``also`` too.
+    f sees those of ``also`` too. A new name that clashes with a kept column
+    gets underscores added.
     """
     keep = df.columns if keep is None else keep
+    fields = [T.StructField(fresh(df.select(*keep), x.name), x.dataType) for x in fields]
     inner = df.select(*dict.fromkeys([*keep, text, *also]))
     schema = T.StructType([inner.schema[c] for c in keep] + fields)
     names, at = inner.columns, inner.columns.index(text)

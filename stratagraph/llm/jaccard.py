@@ -45,6 +45,8 @@ from .textcore import BLANK_WORDS, Words, mix, rolling, windows
 U64 = np.uint64
 #: Sets that one task may hold as a shard, and bytes of text behind one partition of signatures.
 SHARD_ROWS = 1500
+#: Sets that a task searches, on average, in shards one after another.
+TASK_ROWS = 500
 PART_BYTES = 8 << 20
 PIECE_BYTES = 4 << 20
 PIVOTS = 8
@@ -311,8 +313,8 @@ def _shards(base: DataFrame, n: int, num: int, den: int, lower: bool, text: str,
     return sent.repartitionById(parts, F.col("p")).mapInArrow(resolve, _EDGES)
 
 
-def _search(groups: DataFrame, n: int, num: int, den: int, lower: bool) -> DataFrame:
-    """Links within groups: rows (g, d, q, t); q marks the queries. A task reads its groups one after another."""
+def _search(groups: DataFrame, rows: int, n: int, num: int, den: int, lower: bool) -> DataFrame:
+    """Links within groups: rows (g, d, q, t), so many of them; q marks the queries. A task reads its groups one after another."""
 
     def run(batches):
         def out(ds, sets, queries):
@@ -345,7 +347,8 @@ def _search(groups: DataFrame, n: int, num: int, den: int, lower: bool) -> DataF
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    return groups.repartition("g").sortWithinPartitions("g", "d").mapInArrow(run, _EDGES)
+    # by rows, not bytes: a search costs far more than the bytes that it reads
+    return groups.repartition(max(1, -(-rows // TASK_ROWS)), "g").sortWithinPartitions("g", "d").mapInArrow(run, _EDGES)
 
 
 def _pivots(large: DataFrame, n: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame]:
@@ -417,7 +420,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, lower: bool
         texts = texts.dropDuplicates(["d"])
     # the texts to compare, fetched once and kept: a scan where the ids may be broadcast
     chosen = stored(texts.join(small_or_not(members), "d").select("d", "g", "c", "t"))
-    links = _search(chosen.where(F.col("c") <= shard_rows).select("g", "d", F.lit(True).alias("q"), "t"), n, num, den, lower)
+    links = _search(chosen.where(F.col("c") <= shard_rows).select("g", "d", F.lit(True).alias("q"), "t"), members.where(F.col("c") <= shard_rows).count(), n, num, den, lower)
     large = chosen.where(F.col("c") > shard_rows)
     roots = members.where(F.col("c") > shard_rows).select("g").distinct().count()
     if roots:
@@ -435,8 +438,10 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, lower: bool
         as_query = blocks.where("rest").select("d", "g", F.col("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / half) - 1)).alias("j"), F.lit(True).alias("q"))
         as_row = blocks.select("d", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("r") / half) - 1)).alias("i"), "j", F.lit(False).alias("q"))
         cells = as_query.unionByName(as_row).groupBy("d", "g", "i", "j").agg(F.max("q").alias("q"))
+        cells = settle(cells)
+        rows = cells.count()
         cells = cells.join(large.select("d", "t"), "d").select(F.xxhash64("g", "i", "j").alias("g"), "d", "q", "t")
-        links = links.unionByName(_search(cells, n, num, den, lower))
+        links = links.unionByName(_search(cells, rows, n, num, den, lower))
     found = components(links).select(F.col("node").alias("rep"), "root")
     whole = reps.join(found, "rep", "left").select("size", "f1", "f2", "rep", F.coalesce("root", "rep").alias("root"))
     got = sets.join(whole, ["size", "f1", "f2"], "left").select("doc_id", "d", F.col("size").alias("n_shingles"), F.coalesce("rep", "d").alias("rep"), F.coalesce("root", "d").alias("root"))

@@ -103,7 +103,9 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     got = docs.select(*dict.fromkeys([*keep, text])).withColumn(dig, F.sha2(canonical(F.col(text)), 256)).withColumn(lin, digests)
     got = got.join(of_text, F.col(dig) == F.col(kd), "left")
     ids = F.filter(F.transform(F.col(lin), lambda x: F.try_element_at(notices, x)), lambda x: x.isNotNull())
-    return got.select(*keep, F.col(dig).alias("digest"), F.col(lid).alias("license_id"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(ids)), ","), F.lit("")).alias("notices"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_notices"))
+    kept = docs.select(*keep)  # a new name that clashes gets underscores
+    new = {"digest": F.col(dig), "license_id": F.col(lid), "notices": F.coalesce(F.array_join(F.array_sort(F.array_distinct(ids)), ","), F.lit("")), "n_notices": F.coalesce(F.size(ids), F.lit(0)).cast("long")}
+    return got.select(*keep, *[c.alias(fresh(kept, k)) for k, c in new.items()])
 
 
 def _sql_canonical(x: str) -> str:

@@ -255,3 +255,8 @@ def test_words(texts):
     h = w.hashes()
     flat = [x for g in got for x in g]
     assert len(set(h.tolist())) == len(set(flat))
+
+
+def test_clashing_names_get_underscores(docs):
+    got = substring.deduplicate(docs.withColumn("N_WORDS", docs.size), digest="sha")
+    assert got.columns == [*docs.columns, "N_WORDS", "n_words_", "n_removed", "sha"] and got.count() == docs.count()
