@@ -30,7 +30,7 @@ from .common import map_text
 
 ORDER = 3
 PER_LANGUAGE = 300
-#: Bytes of training text taken in at once on the driver.
+#: Code length of a byte that no context of the language has seen, after all escapes.
 UNKNOWN_BITS = 8.0
 
 _FOLD = np.full(256, 0x20, np.uint8)

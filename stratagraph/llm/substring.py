@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import blobs, flat_text, fresh, give_back, map_text
-from .textcore import BLANK_WORDS, Words, rolling, spread, windows
+from .textcore import BLANK_WORDS, Words, rolling, windows
 
 U64 = np.uint64
 N = 20

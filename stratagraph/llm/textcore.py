@@ -159,9 +159,3 @@ def windows(first: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     return np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :])
 
-
-def spread(mask_start: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Marks of the entries inside any run of ``n`` entries that starts at ``mask_start``."""
-    d = np.bincount(mask_start, minlength=size + 1)
-    d -= np.bincount(np.minimum(mask_start + n, size), minlength=size + 1)
-    return np.cumsum(d[:size]) > 0
