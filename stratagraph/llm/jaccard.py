@@ -120,15 +120,20 @@ def bands(num: int, den: int, bits: int) -> Bands:
     return Bands(num, den, 1 << bits)
 
 
-def signatures(doc: np.ndarray, sh: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key): linked sets have a key in common."""
+def signatures(doc: np.ndarray, sh: np.ndarray, n: int, num: int, den: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, key) and what each slot needs. A slot is 2 * text + (0: own band's level, 1: the level below).
+
+    Linked sets have, in slots of one level, at least ``need`` keys in common. ``bits``: the slots of each text that count (3: both).
+    """
     size = np.bincount(doc, minlength=n)
     b = bands(num, den, max(16, int(size.max(initial=1)).bit_length()))
     band = b.of(np.maximum(size, 1))
-    docs, keys = [], []
+    slots, keys, need = [], [], np.zeros(2 * n, np.int64)
     for down in (0, 1):
         level = band - down
         ok = (level >= 0) & (size > 0)
+        if bits is not None:
+            ok &= (bits >> down & 1) > 0
         level = np.maximum(level, 0)
         k = np.where(ok, b.parts[level], 0)
         first = np.concatenate([[0], np.cumsum(k)])
@@ -142,15 +147,17 @@ def signatures(doc: np.ndarray, sh: np.ndarray, n: int, num: int, den: int) -> t
         owner = np.repeat(np.arange(n), k)
         place = np.arange(first[-1]) - first[owner]
         key = mix(total ^ mix((level[owner].astype(U64) << U64(32)) + place.astype(U64)))
-        docs.append(owner[full])
+        slots.append(2 * owner[full] + down)
         keys.append(key[full])
         empty = k - np.bincount(owner[full], minlength=n)
+        need[down::2] = np.where(ok, b.spare[level] + 1 - empty, 1)
         over = np.flatnonzero(ok & (empty > b.spare[level]))
+        need[2 * over + down] = 0
         for o in over:  # few: keyed by the least shingles as well, among themselves
             least = np.sort(mix(sh[doc == o]))[: int(b.prefix(size[o]))]
-            docs.append(np.full(len(least), o))
+            slots.append(np.full(len(least), 2 * o + down))
             keys.append(mix(least ^ mix(level[o : o + 1].astype(U64) + U64(1 << 50))))
-    return np.concatenate(docs), np.concatenate(keys)
+    return np.concatenate(slots), np.concatenate(keys), need
 
 
 class Forest:
@@ -249,6 +256,8 @@ def sorted_sets(raw, off, n: int, lower: bool) -> list[np.ndarray]:
 
 _SETS = [T.StructField("size", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType())]
 _SENT = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("x", T.BinaryType())])
+_COUNTS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("c", T.LongType())])
+_SLOTS = T.StructType([T.StructField("p", T.IntegerType()), *_COUNTS.fields, T.StructField("x", T.BinaryType())])
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -264,15 +273,91 @@ def _fingerprints(base: DataFrame, n: int, lower: bool, text: str, keep: list[st
     return map_text(base, text, task, _SETS, keep, PIECE_BYTES)
 
 
-def _shards(base: DataFrame, n: int, num: int, den: int, lower: bool, text: str, d: str) -> DataFrame:
+def _parts(base: DataFrame, text: str) -> int:
+    return max(1, -(-(base.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
+
+
+def _survivors(base: DataFrame, n: int, num: int, den: int, lower: bool, text: str, d: str, bits: str | None = None) -> DataFrame:
+    """(d, bits): the slots of each document that have, with all others together, as many keys as a linked pair has in common.
+
+    A document with a passage of others has a few such keys, a near copy many.
+    """
+    parts = _parts(base, text)
+
+    def task():
+        def f(raw, off, rows):
+            number = rows.column(1).to_numpy()
+            slot, key, need = signatures(*shingles(raw, off, n, lower), len(off) - 1, num, den, rows.column(2).to_numpy() if bits else None)
+            order = np.argsort(key)
+            slot, key = slot[order], key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+            size = np.diff(np.append(np.flatnonzero(new), len(key)))
+            many = np.repeat(size > 1, size)
+            have = np.bincount(slot[many], minlength=len(need)) - need  # common within this piece
+            p = (key % U64(parts)).astype(np.int64)
+            lead = np.flatnonzero(new)
+            lead = lead[np.lexsort((slot[lead], p[lead]))]
+            slot, key, p, many = slot[lead], key[lead] // U64(parts), p[lead], many[lead]
+            used = np.unique(p)
+            xs = []
+            for i, j in zip(np.searchsorted(p, used).tolist(), np.searchsorted(p, used, "right").tolist(), strict=True):
+                own, count = np.unique(slot[i:j], return_counts=True)
+                k = key[i:j]
+                flag = ((k >> U64(32)) & U64(0x7F)).astype(np.uint8) | (many[i:j].astype(np.uint8) << 7)
+                xs.append(np.array([len(own), j - i], "<i8").tobytes() + number[own >> 1].astype("<i8").tobytes() + count.astype("<u4").tobytes() + (k & _MASK32).astype("<u4").tobytes() + (own & 1).astype(np.uint8).tobytes() + flag.tobytes())
+            live = np.flatnonzero((np.bincount(slot, minlength=len(need)) > 0) | (have + need > 0))
+            nulls = pa.nulls(len(xs), pa.int64())
+            col = lambda v: pa.concat_arrays([nulls, pa.array(v, pa.int64())])
+            return [np.concatenate([used, live % parts]).astype(np.int32), col(number[live >> 1]), col(live & 1), col(have[live]), pa.array(xs + [None] * len(live), pa.binary())]
+
+        return f
+
+    def resolve(batches):
+        keys, docs, levels, counted = [], [], [], []
+        for batch in batches:
+            own = batch.filter(batch.column(1).is_valid())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column(i) for i in (1, 2, 3)], names=["a", "b", "c"])
+            for x in batch.column(4).drop_null().to_pylist():
+                m, k = (int(v) for v in np.frombuffer(x, "<i8", 2))
+                number, count = np.frombuffer(x, "<i8", m, 16), np.frombuffer(x, "<u4", m, 16 + 8 * m)
+                low, bit, flag = np.frombuffer(x, "<u4", k, 16 + 12 * m), np.frombuffer(x, np.uint8, m, 16 + 12 * m + 4 * k), np.frombuffer(x, np.uint8, k, 16 + 13 * m + 4 * k)
+                keys.append(low.astype(U64) | ((flag & 0x7F).astype(U64) << U64(32)))
+                counted.append(flag >> 7 > 0)
+                docs.append(np.repeat(number, count))
+                levels.append(np.repeat(bit, count))
+        if not keys:
+            return
+        key, doc, bit, counted = map(np.concatenate, (keys, docs, levels, counted))
+        del keys, docs, levels
+        order = np.argsort(key)
+        k = key[order]
+        same = k[1:] == k[:-1]
+        many = np.zeros(len(k), bool)
+        many[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(k) else many
+        more = np.flatnonzero(many & ~counted)
+        kinds, rank = np.unique(doc[more], return_inverse=True)
+        slot, c = np.unique(2 * rank.astype(np.int64) + bit[more], return_counts=True)
+        for i in range(0, len(slot), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[slot[i : i + 50_000] >> 1], pa.int64()), pa.array(slot[i : i + 50_000] & 1, pa.int64()), pa.array(c[i : i + 50_000], pa.int64())], names=["a", "b", "c"])
+        del key, doc, bit, counted, order, k, many
+        give_back()
+
+    sent = flat_text(base.select(text, d, *([bits] if bits else [])), text, task, _SLOTS, PIECE_BYTES)
+    got = sent.repartitionById(parts, F.col("p")).mapInArrow(resolve, _COUNTS)
+    enough = got.groupBy("a", "b").agg(F.sum("c").alias("c")).where("c >= 0")
+    return enough.groupBy(F.col("a").alias(d)).agg(F.sum(F.col("b") + 1).alias("bits"))
+
+
+def _shards(base: DataFrame, n: int, num: int, den: int, lower: bool, text: str, d: str, bits: str) -> DataFrame:
     """Edges (a, b) that connect all documents whose sets may link."""
-    size = base.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
+    parts = _parts(base, text)
 
     def task():
         def f(raw, off, rows):
             number = rows.column(1).to_numpy()
-            doc, key = signatures(*shingles(raw, off, n, lower), len(off) - 1, num, den)
+            slot, key, _ = signatures(*shingles(raw, off, n, lower), len(off) - 1, num, den, rows.column(2).to_numpy())
+            doc = slot >> 1
             a, b, first = chains(key, number[doc])
             doc, key = doc[first], key[first]
             p = (key % U64(parts)).astype(np.int64)
@@ -309,7 +394,7 @@ def _shards(base: DataFrame, n: int, num: int, den: int, lower: bool, text: str,
             del keys, docs
         give_back()
 
-    sent = flat_text(base.select(text, d), text, task, _SENT, PIECE_BYTES)
+    sent = flat_text(base.select(text, d, bits), text, task, _SENT, PIECE_BYTES)
     return sent.repartitionById(parts, F.col("p")).mapInArrow(resolve, _EDGES)
 
 
@@ -410,15 +495,18 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, lower: bool
     base = numbered(docs.select(doc_id, text), doc_id, text, d).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(d).alias("d"))
     sets = settle(_fingerprints(base, n, lower, "t", ["doc_id", "d"]))
     reps = sets.where("size > 0").groupBy("size", "f1", "f2").agg(F.min("d").alias("rep"))
-    shards = components(_shards(base.where("t is not null"), n, num, den, lower, "t", "d"))
+    texts = base.where("t is not null").select("d", "t")
+    if not _plain(docs, doc_id, sets):  # rows may repeat under one number
+        texts = texts.dropDuplicates(["d"])
+    # twice, since what goes in the first round was company to others; the texts that stay are kept for all that follows
+    texts = stored(texts.join(small_or_not(settle(_survivors(texts, n, num, den, lower, "t", "d"))), "d").select("d", "t", "bits"))
+    again = settle(_survivors(texts, n, num, den, lower, "t", "d", "bits"))
+    texts = texts.drop("bits").join(small_or_not(again), "d").select("d", "t", "bits")
+    shards = components(_shards(texts, n, num, den, lower, "t", "d", "bits"))
     # documents to compare: one of each class, in shards of at least two classes
     members = shards.join(reps.select(F.col("rep").alias("node")), "node", "left_semi").select(F.col("node").alias("d"), F.col("root").alias("g")).distinct()
     many = members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = settle(members.join(many, "g").select("d", "g", "c"))
-    texts = base.select("d", "t")
-    if not _plain(docs, doc_id, sets):  # rows may repeat under one number
-        texts = texts.dropDuplicates(["d"])
-    # the texts to compare, fetched once and kept: a scan where the ids may be broadcast
     chosen = stored(texts.join(small_or_not(members), "d").select("d", "g", "c", "t"))
     links = _search(chosen.where(F.col("c") <= shard_rows).select("g", "d", F.lit(True).alias("q"), "t"), members.where(F.col("c") <= shard_rows).count(), n, num, den, lower)
     large = chosen.where(F.col("c") > shard_rows)
