@@ -314,6 +314,30 @@ def clique_size_histogram(spark, sf_dir):
     return cliques.clique_sizes(e, _order(e))
 
 
+BOTH = """with l as (select distinct l_orderkey, l_partkey from lineitem),
+e as (select distinct x.l_partkey a, y.l_partkey b from l x join l y on x.l_orderkey = y.l_orderkey and x.l_partkey < y.l_partkey),
+s as (select a, b from e union all select b, a from e)
+"""
+
+
+@query(BOTH + "select e.a, e.b, count(y.b) n from e left join s x on x.a = e.a left join s y on y.a = e.b and y.b = x.b group by e.a, e.b")
+def common_neighbours(spark, sf_dir):
+    """For each co-purchase edge, how many triangles it is in."""
+    prepare(spark)
+    pairs = tables.co_purchase(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    e = cl.clean(pairs.toDF("src", "dst"))
+    return ex.common_neighbours(e, pairs).select("a", "b", F.size("both").cast("long").alias("n"))
+
+
+@query(BOTH + "select e.a, e.b, count(*) filter (y.b is null and x.b <> e.b) n from e join s x on x.a = e.a left join s y on y.a = e.b and y.b = x.b group by e.a, e.b")
+def neighbour_difference(spark, sf_dir):
+    """For each co-purchase edge, the first end's neighbours that the second one doesn't have."""
+    prepare(spark)
+    pairs = tables.co_purchase(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    e = cl.clean(pairs.toDF("src", "dst"))
+    return ex.neighbour_difference(e, pairs).select("a", "b", F.size("only").cast("long").alias("n"))
+
+
 @query("with e as (select distinct user_id, event_type from events) select count(distinct user_id) users, count(distinct event_type) types, count(*) n from e")
 def user_event_graph(spark, sf_dir):
     e = tables.user_event(spark, sf_dir)

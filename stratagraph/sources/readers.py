@@ -28,6 +28,12 @@ def read_text(spark: SparkSession, path: str, comment: str = "#%") -> DataFrame:
     return _split(lines)
 
 
+def read_vertices(spark: SparkSession, path: str) -> DataFrame:
+    """(v): all ids below the number in a `# V` header line, for graphs with isolated vertices; none without a header."""
+    n = spark.read.text(path).where(F.col("value").rlike(r"^#\s*\d+\s*$")).agg(F.max(F.regexp_extract("value", r"(\d+)", 1).cast("long"))).first()[0]
+    return spark.range(n or 0).select(F.col("id").alias("v"))
+
+
 def read_mtx(spark: SparkSession, path: str) -> DataFrame:
     """MatrixMarket: comments, then one size line of three integers, then entries (a value after them is ignored).
 

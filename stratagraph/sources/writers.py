@@ -21,6 +21,14 @@ def write_mtx(e: DataFrame, path: str) -> None:
     head.unionByName(body).coalesce(1).sortWithinPartitions("p", "k").select("value").write.mode("overwrite").text(path)
 
 
+def write_header_text(e: DataFrame, path: str) -> None:
+    """One text file: `# V` (the largest id and one), then the edges sorted; isolated ids up to V survive in the header."""
+    top = e.agg(F.greatest(F.max("src"), F.max("dst")).alias("m")).first().m
+    head = e.sparkSession.createDataFrame([(0, 0, f"# {0 if top is None else top + 1}")], "p int, k long, value string")
+    body = numbered(e.select("src", "dst"), "src", "dst", name="k").select(F.lit(1).alias("p"), "k", F.concat_ws(" ", "src", "dst").alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("p", "k").select("value").write.mode("overwrite").text(path)
+
+
 def write_npz(e: DataFrame, path: str) -> None:
     """A NumPy archive in the local file system of the driver: for graphs that fit there."""
     import numpy as np
@@ -43,7 +51,7 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-WRITERS = {"txt": write_text, "mtx": write_mtx, "npz": write_npz, "h5": write_hdf5, "hdf5": write_hdf5, "parquet": write_parquet}
+WRITERS = {"txt": write_text, "edges": write_header_text, "mtx": write_mtx, "npz": write_npz, "h5": write_hdf5, "hdf5": write_hdf5, "parquet": write_parquet}
 
 
 def write_graph(df: DataFrame, path: str, fmt: str | None = None) -> None:

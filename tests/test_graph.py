@@ -3,7 +3,10 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from stratagraph.operators import clean as cl
 from stratagraph.operators import cliques, cores
@@ -154,3 +157,35 @@ def test_cliques_against_brute_force(spark, seed):
     got = [tuple(sorted(back[m] for m in r.members)) for r in cliques.maximal_cliques(e, order).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert cliques.clique_count(e, order).first().n == len(want)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(-3, 12), st.integers(-3, 12)), max_size=60))
+def test_peel_on_arrays(edges):
+    pairs = sorted({(a, b) for x, y in edges if x != y for a, b in ((x, y), (y, x))})
+    src, dst = np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64)
+    v, core, rnd = cores.peel_arrays(src, dst)
+    want = peel_by_hand(edges)
+    assert dict(zip(v.tolist(), core.tolist())) == want
+    order = sorted(zip(core.tolist(), rnd.tolist(), v.tolist()))
+    place = {x: i for i, (_, _, x) in enumerate(order)}
+    assert all(sum(place[b] > place[a] for a, b in pairs if a == u) <= want[u] for u in want)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), max_size=30))
+def test_bron_kerbosch(edges):
+    near = {u: {b for a, b in edges if a == u != b} | {a for a, b in edges if b == u != a} for u in range(9)}
+    got = [tuple(sorted(c)) for c in cliques.bron_kerbosch(set(near), set(), near)]
+    want = set()
+    for k in range(1, 10):
+        for c in itertools.combinations(range(9), k):
+            if all(b in near[a] for a, b in itertools.combinations(c, 2)) and not any(all(u in near[v] for v in c) for u in near if u not in c):
+                want.add(c)
+    assert sorted(got) == sorted(want)
+
+
+def test_neighbour_sets(spark):
+    e = cl.clean(frame(spark, [(1, 2), (1, 3), (2, 3), (1, 4)]))
+    pairs = spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")
+    assert {(r.a, r.b): r.only for r in ex.neighbour_difference(e, pairs).collect()} == {(1, 2): [4], (2, 1): []}

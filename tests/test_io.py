@@ -50,6 +50,16 @@ def test_every_format_gives_the_same_graph(spark, tmp_path):
     assert rows(readers.read_graph(spark, str(p))) == rows(cl.clean(e))
 
 
+def test_header_keeps_isolated_vertices(spark, tmp_path):
+    from stratagraph.operators.degree import degrees
+
+    path = str(tmp_path / "g.edges")
+    writers.write_graph(spark.createDataFrame([*EDGES, (9, 8)], "src long, dst long"), path)
+    e, v = readers.read_graph(spark, path), readers.read_vertices(spark, path)
+    assert rows(e) == sorted([*EDGES, (9, 8)]) and v.count() == 10
+    assert {r.v: r.deg for r in degrees(cl.clean(e), v).collect()}[5] == 0
+
+
 def test_mtx_with_longer_header(spark, tmp_path):
     p = tmp_path / "x.mtx"
     p.write_text("%%MatrixMarket matrix coordinate real general\n% a\n% b\n7 7 3\n1 2 0.1\n2 3 0.2\n7 1 3\n")
