@@ -94,6 +94,7 @@ def write_profile(spark: SparkSession, record: dict, path: str, append: bool = T
 
 def to_gsi(patterns: DataFrame) -> DataFrame:
     """Query graphs (query, src, dst) as lines of the labelled exchange format: (query, k, line)."""
+    # fixed values: the words of the format
     v = patterns.groupBy("query").agg((F.greatest(F.max("src"), F.max("dst")) + 1).alias("n"), F.count(F.lit(1)).alias("m"))
     head = v.select("query", F.lit(0).alias("k"), F.lit("t # 0").alias("line"))
     size = v.select("query", F.lit(1).alias("k"), F.concat_ws(" ", "n", "m", F.lit("1 1")).alias("line"))
