@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blobs, flat_text
+from .common import blobs, flat_text, give_back, ragged
 from .textcore import BLANK_WORDS, Words
 
 SIZE = 2048
 END_ID = 1
 GROUP_ROWS = 40_000
+#: Pieces of a group, and rows of a batch, when they carry their ids (some kilobytes each).
+GROUP_ROWS_WITH_IDS = 6_000
+BATCH_WITH_IDS = 500
 #: Words whose ids a worker keeps (about 40 bytes each), and parts of words (about 150 bytes each).
 CACHE_WORDS = 1_000_000
 CACHE_PARTS = 150_000
@@ -203,7 +206,7 @@ def best_fit_decreasing(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.nd
     return window, offset
 
 
-def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, group_rows: int = GROUP_ROWS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, group_rows: int | None = None, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     kind = d.schema["doc_id"].dataType
@@ -234,6 +237,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         return f
 
     cut = flat_text(d, "t", task, T.StructType(fields))
+    group_rows = group_rows or (GROUP_ROWS_WITH_IDS if with_ids else GROUP_ROWS)
     groups = max(1, -(-docs.count() // group_rows))
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -246,7 +250,10 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         window, offset = best_fit_decreasing(table.column("length").to_numpy(), size)
         number = (TaskContext.get().partitionId() << 32) + window
         table = table.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
-        yield from table.combine_chunks().to_batches(max_chunksize=20_000)
+        del held
+        yield from table.to_batches(max_chunksize=BATCH_WITH_IDS if with_ids else 20_000)
+        del table
+        give_back()
 
     # pieces (small rows: ids only if asked for) are dealt once; a total order makes a repeated task give the same numbers
     dealt = cut.withColumn("g", F.xxhash64("doc_id", "start", "ids_crc32"))
@@ -259,7 +266,8 @@ def with_id_arrays(pieces: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             k = b.schema.get_field_index("ids")
-            arr = pa.array([np.frombuffer(x, "<i4") for x in b.column(k).to_pylist()], pa.list_(pa.int32()))
+            data = b.column(k).to_pylist()
+            arr = ragged(np.frombuffer(b"".join(data), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]), pa.int32())
             yield pa.RecordBatch.from_arrays([arr if i == k else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 
     return pieces.mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in pieces.schema]))
