@@ -48,7 +48,7 @@ SHARD_ROWS = 1500
 #: Sets that a task searches, on average, in shards one after another.
 TASK_ROWS = 500
 PART_BYTES = 8 << 20
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 PIVOTS = 8
 #: Large shards whose pivots may be broadcast; with more, shards go by blocks alone.
 MOST_PIVOTED = 200

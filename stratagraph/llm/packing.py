@@ -38,8 +38,8 @@ GROUP_ROWS = 40_000
 GROUP_ROWS_WITH_IDS = 6_000
 BATCH_WITH_IDS = 500
 #: Words whose ids a worker keeps (about 40 bytes each), and parts of words (about 150 bytes each).
-CACHE_WORDS = 1_000_000
-CACHE_PARTS = 150_000
+CACHE_WORDS = 600_000
+CACHE_PARTS = 100_000
 
 _PLAIN = regex.compile(r"[\x21-\x7EÀ-įı-ž]+")
 # fixed value: the splitting pattern of the tokenizer file

@@ -48,7 +48,7 @@ PART_BYTES = 8 << 20
 GROUP_LEAVES = 50_000
 #: Anchors known by 32 bits that may be too common at once (their list is broadcast).
 MOST_COMMON = 1_000_000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
