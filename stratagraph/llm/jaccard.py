@@ -1,8 +1,8 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip), and its classes.
 
 Documents are sets of distinct word shingles; two link when the Jaccard similarity of
-their sets is at least ``num / den``. All links between different sets are found;
-the result is the connected component of every document.
+their sets is at least ``num / den``. All links between different sets are found and verified;
+the result is the connected component of every document and the number of its links.
 
 1. Equal sets are one class (a group-by on a 128-bit fingerprint of the set), so
    copies never pair up.
@@ -16,11 +16,11 @@ the result is the connected component of every document.
    a piece of text are chained there and sent once, so hot groups shrink before the shuffle.
 3. Each shard runs the T-occurrence search: inverted lists of its shingles; for a query with
    the least overlap T, the L longest lists are set aside, the short ones are merged, and
-   candidates with T - L occurrences are probed in the long ones by binary search.
-   Pairs that are connected already are not probed again; links come out as a forest.
-4. A shard over ``shard_rows`` sets is never held by one task. Its documents are first compared
-   with a few pivots of the shard, in place; those linked to the main group of
-   pivots are joined to it. Only the rest are searched, in blocks, against all documents of the shard.
+   candidates with T - L occurrences are probed in the long ones by binary search (or these are merged
+   too, where candidates are so many that it costs less). Every candidate is verified. Links leave a task counted by document,
+   with a forest of them for the components; pairs are never rows.
+4. A shard over ``shard_rows`` sets is never held by one task. It is cut into blocks, and each pair of
+   blocks (and each block with itself) is a cell that is searched as a shard is.
 
 Words are [^\\x20\\x09-\\x0D]+ (A-Z lower-cased if ``lower``); a document of fewer than n words, but not none, is one shingle.
 Nulls: a null or empty text has no shingle and links with nothing; ids as in
@@ -49,9 +49,6 @@ SHARD_ROWS = 1500
 TASK_ROWS = 500
 PART_BYTES = 8 << 20
 PIECE_BYTES = 2 << 20
-PIVOTS = 8
-#: Large shards whose pivots may be broadcast; with more, shards go by blocks alone.
-MOST_PIVOTED = 200
 _MASK32 = U64(0xFFFFFFFF)
 
 
@@ -205,47 +202,62 @@ def chains(key: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return kinds[kept >> 32], kinds[kept & 0xFFFFFFFF], first
 
 
-def divide_skip(sets: list[np.ndarray], num: int, den: int, queries: int | None = None) -> list[tuple[int, int]]:
-    """A forest of the links among sorted sets; with ``queries``, of links of the first so many to all."""
+def divide_skip(sets: list[np.ndarray], num: int, den: int, queries: int | None = None) -> np.ndarray:
+    """All links (q, c) among sorted sets, each once; with ``queries``, all links of the first so many to the others."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     if n < 2:
-        return []
+        return np.zeros((0, 2), np.int64)
     terms, at = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), size)
     first = np.concatenate([[0], np.cumsum(size)])
     order = np.lexsort((owner, at))
+    if queries is not None:
+        order = order[owner[order] >= queries]
     lists, begin = owner[order], np.searchsorted(at[order], np.arange(len(terms) + 1))
-    length = np.diff(begin)
-    f, links = Forest(n), []
+    code = at[order] * n + lists  # ascending: a list is probed for a set by one binary search
+    left, end = begin[:-1].copy(), begin[1:]
+    links = []
     mu = 0.0085  # fixed value: weight of a binary probe in the choice of the long lists
     for q in range(n if queries is None else queries):
         s = int(size[q])
         t = -(-s * num // den)  # least overlap with any set that links
         mine = at[first[q] : first[q + 1]]
-        mine = mine[np.argsort(length[mine], kind="stable")]
-        longest = int(length[mine[-1]])
-        n_long = min(t - 1, int(t / (mu * math.log2(longest + 1) + 1)))
-        short, long = mine[: s - n_long], mine[s - n_long :]
-        seen = np.concatenate([lists[begin[e] : begin[e + 1]] for e in short.tolist()])
-        count = np.bincount(seen, minlength=n)
-        count[q] = 0
         if queries is None:
-            count[:q] = 0  # found when the other was the query
+            left[mine] += 1  # lists go by sets: what stands before was a query, and found its links to q
+        length = end[mine] - left[mine]
+        by = np.argsort(length, kind="stable")
+        mine, length = mine[by], length[by]
+        n_long = min(t - 1, int(t / (mu * math.log2(int(length[-1]) + 1) + 1)))
+        short, long = mine[: s - n_long], mine[s - n_long :]
+        count = np.bincount(np.concatenate([lists[i:j] for i, j in zip(left[short].tolist(), end[short].tolist(), strict=True)]), minlength=n)
         cand = np.flatnonzero(count >= t - n_long)
         cand = cand[(size[cand] * den >= s * num) & (s * den >= size[cand] * num)]
-        for c in cand.tolist():
-            if f.root(c) == f.root(q):
-                continue
-            o = int(count[c])
-            for i, e in enumerate(long.tolist()):
-                if (o + n_long - i) * (den + num) < num * (s + int(size[c])):
-                    break
-                k = int(np.searchsorted(lists[begin[e] : begin[e + 1]], c))
-                o += k < length[e] and lists[begin[e] + k] == c
-            if o * den >= num * (s + int(size[c]) - o) and f.join(q, c):
-                links.append((q, c))
-    return links
+        if not len(cand):
+            continue
+        o = count[cand]
+        if n_long and len(cand) * n_long * math.log2(len(code) + 2) < length[s - n_long :].sum():
+            probe = (long * n)[:, None] + cand
+            o = o + (code[np.minimum(np.searchsorted(code, probe), len(code) - 1)] == probe).sum(0)
+        elif n_long:  # so many candidates that merging costs less than probing
+            o = o + np.bincount(np.concatenate([lists[i:j] for i, j in zip(left[long].tolist(), end[long].tolist(), strict=True)]), minlength=n)[cand]
+        cand = cand[o * den >= num * (s + size[cand] - o)]
+        links.append(np.stack([np.full(len(cand), q), cand], 1))
+    return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
+
+
+def spanning(links: np.ndarray, n: int) -> np.ndarray:
+    """A forest out of links (q, c), grouped by q, that connects the same numbers 0..n-1."""
+    label, kept = np.arange(n), [np.zeros((0, 2), np.int64)]
+    cut = [0, *(np.flatnonzero(links[1:, 0] != links[:-1, 0]) + 1).tolist(), len(links)] if len(links) else [0]
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        q, c = links[i, 0], links[i:j, 1]
+        roots, lead = np.unique(label[c], return_index=True)
+        far = roots != label[q]
+        if far.any():
+            kept.append(np.stack([np.full(int(far.sum()), q), c[lead[far]]], 1))
+            label[np.isin(label, roots[far])] = label[q]
+    return np.concatenate(kept)
 
 
 def sorted_sets(raw, off, n: int, lower: bool) -> list[np.ndarray]:
@@ -399,18 +411,28 @@ def _shards(base: DataFrame, n: int, num: int, den: int, lower: bool, text: str,
 
 
 def _search(groups: DataFrame, rows: int, n: int, num: int, den: int, lower: bool) -> DataFrame:
-    """Links within groups: rows (g, d, q, t), so many of them; q marks the queries. A task reads its groups one after another."""
+    """What the links within groups come to: edges (a, b) of a forest, and (a, null, c) with c links of document a.
+
+    Rows (g, d, q, t), so many of them: q is 1 for queries, 0 for what they are compared with, null where all are compared
+    with all. A task reads its groups one after another.
+    """
 
     def run(batches):
         def out(ds, sets, queries):
-            order = sorted(range(len(ds)), key=lambda i: (not queries[i], len(sets[i]), ds[i]))
-            k = sum(queries)
-            got = divide_skip([sets[i] for i in order], num, den, None if k == len(ds) else k)
-            return [(ds[order[x]], ds[order[y]]) for x, y in got]
+            order = sorted(range(len(ds)), key=lambda i: (queries[i] == 0, len(sets[i]), ds[i]))
+            k = None if queries[0] is None else sum(queries)
+            links = divide_skip([sets[i] for i in order], num, den, k)
+            number = np.array(ds, np.int64)[order]
+            a, b = number[spanning(links, len(ds)).T]
+            count = np.bincount(links.ravel(), minlength=len(ds))
+            some = np.flatnonzero(count)
+            nulls = pa.nulls(len(a), pa.int64()), pa.nulls(len(some), pa.int64())
+            cols = np.concatenate([a, number[some]]), pa.concat_arrays([pa.array(b), nulls[1]]), pa.concat_arrays([nulls[0], pa.array(count[some])])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]), *cols[1:]], names=["a", "b", "c"])
 
         from .textcore import string_buffers
 
-        now, ds, sets, queries, links = None, [], [], [], []
+        now, ds, sets, queries = None, [], [], []
         for b in batches:
             off, raw = string_buffers(b.column(3))
             if not b.num_rows:
@@ -419,78 +441,20 @@ def _search(groups: DataFrame, rows: int, n: int, num: int, den: int, lower: boo
             for g, d, q, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), mine, strict=True):
                 if g != now:
                     if len(ds) > 1:
-                        links += out(ds, sets, queries)
+                        yield out(ds, sets, queries)
                     now, ds, sets, queries = g, [], [], []
                 ds.append(d)
                 sets.append(s)
                 queries.append(q)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
-                links = []
         if len(ds) > 1:
-            links = out(ds, sets, queries)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+            yield out(ds, sets, queries)
 
     # by rows, not bytes: a search costs far more than the bytes that it reads
-    return groups.repartition(max(1, -(-rows // TASK_ROWS)), "g").sortWithinPartitions("g", "d").mapInArrow(run, _EDGES)
-
-
-def _pivots(large: DataFrame, n: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame]:
-    """For large shards (d, g, t): links of documents to pivots, and (d, g, rest) with rest where the main group doesn't hold d."""
-    picked = large.groupBy("g", F.pmod(F.xxhash64("d"), F.lit(PIVOTS)).alias("k")).agg(F.min_by("d", F.xxhash64("d", F.lit(1))).alias("d"))
-    piv = large.join(F.broadcast(picked.select("d")), "d").select("g", "d", "t").collect()  # at most PIVOTS texts of each of MOST_PIVOTED shards
-    by: dict[int, list] = {}
-    for r in piv:
-        by.setdefault(r.g, []).append((r.d, r.t))
-    sent = large.sparkSession.sparkContext.broadcast(by)
-    linked = T.ArrayType(T.LongType())
-
-    def task():
-        held = {}
-        for g, rows in sent.value.items():
-            data = [t.encode() for _, t in rows]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-            held[g] = [d for d, _ in rows], sorted_sets(np.frombuffer(b"".join(data), np.uint8), off, n, lower)
-
-        def f(raw, off, rows):
-            out = []
-            for g, s in zip(rows.column(1).to_pylist(), sorted_sets(raw, off, n, lower), strict=True):
-                found = []
-                for d, p in zip(*held[g], strict=True):
-                    at = np.minimum(np.searchsorted(p, s), len(p) - 1)
-                    o = int((p[at] == s).sum())
-                    if o * den >= num * (len(s) + len(p) - o):
-                        found.append(d)
-                out.append(found)
-            return [pa.array(out, pa.list_(pa.int64()))]
-
-        return f
-
-    got = settle(map_text(large, "t", task, [T.StructField("near", linked)], ["d", "g"], PIECE_BYTES))
-    # groups of pivots: at most 2 ** PIVOTS different sets of pivots a shard
-    main = {}
-    seen = got.where(F.size("near") > 0).groupBy("g", "near").agg(F.count(F.lit(1)).alias("c")).collect()
-    for g, rows in by.items():
-        ds = [d for d, _ in rows]
-        f = Forest(len(ds))
-        own = [r for r in seen if r.g == g]
-        for r in own:
-            for d in r.near[1:]:
-                f.join(ds.index(r.near[0]), ds.index(d))
-        weight: dict[int, int] = {}
-        for r in own:
-            weight[f.root(ds.index(r.near[0]))] = weight.get(f.root(ds.index(r.near[0])), 0) + r.c
-        best = max(weight, key=lambda x: (weight[x], -x), default=-1)
-        main[g] = [d for i, d in enumerate(ds) if f.root(i) == best]
-    rows = [(g, d) for g, ds in main.items() for d in ds]
-    of = large.sparkSession.createDataFrame(rows, "g long, m long").groupBy("g").agg(F.collect_list("m").alias("m"))
-    rest = got.join(F.broadcast(of), "g", "left").select("d", "g", (~F.coalesce(F.arrays_overlap("near", "m"), F.lit(False))).alias("rest"))
-    return got.select(F.explode("near").alias("a"), F.col("d").alias("b")).where("a <> b"), rest
+    return groups.repartition(max(1, -(-rows // TASK_ROWS)), "g").sortWithinPartitions("g", "d").mapInArrow(run, _COUNTS)
 
 
 def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, lower: bool = False, doc_id: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row a document: doc_id, n_shingles, class_id (least id of its equal sets), component_id (least id reachable by links)."""
+    """One row a document: doc_id, n_shingles, class_id (least id of its equal sets), component_id (least id reachable by links), n_links (other classes that its set links to)."""
     d = fresh(docs, "sg_d")
     base = numbered(docs.select(doc_id, text), doc_id, text, d).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(d).alias("d"))
     sets = settle(_fingerprints(base, n, lower, "t", ["doc_id", "d"]))
@@ -508,36 +472,29 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, lower: bool
     many = members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = settle(members.join(many, "g").select("d", "g", "c"))
     chosen = stored(texts.join(small_or_not(members), "d").select("d", "g", "c", "t"))
-    links = _search(chosen.where(F.col("c") <= shard_rows).select("g", "d", F.lit(True).alias("q"), "t"), members.where(F.col("c") <= shard_rows).count(), n, num, den, lower)
-    large = chosen.where(F.col("c") > shard_rows)
-    roots = members.where(F.col("c") > shard_rows).select("g").distinct().count()
-    if roots:
-        if roots <= MOST_PIVOTED:
-            near, rest = _pivots(large.select("d", "g", "t"), n, num, den, lower)
-            links = links.unionByName(near)
-        else:
-            rest = large.select("d", "g", F.lit(True).alias("rest"))
-        # blocks of the rest as queries against blocks of all: each document goes to each block of queries
+    one = F.lit(None).cast("int")
+    links = _search(chosen.where(F.col("c") <= shard_rows).select("g", "d", one.alias("q"), "t"), members.where(F.col("c") <= shard_rows).count(), n, num, den, lower)
+    large = members.where(F.col("c") > shard_rows)
+    if large.limit(1).count():
+        # blocks: each document goes to a cell for each block of its shard, so that every pair is in one cell
         half = max(1, shard_rows // 2)
-        count = rest.groupBy("g").agg(F.sum(F.col("rest").cast("long")).alias("r"), F.count(F.lit(1)).alias("c")).where("r > 0")
-        x = F.pmod(F.xxhash64("d"), F.ceil(F.col("r") / half)).alias("i")
-        y = F.pmod(F.xxhash64("d", F.lit(2)), F.ceil(F.col("c") / half)).alias("j")
-        blocks = rest.join(F.broadcast(count) if roots <= MOST_PIVOTED else count, "g").select("d", "g", "rest", "r", "c", x, y)
-        as_query = blocks.where("rest").select("d", "g", F.col("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / half) - 1)).alias("j"), F.lit(True).alias("q"))
-        as_row = blocks.select("d", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("r") / half) - 1)).alias("i"), "j", F.lit(False).alias("q"))
-        cells = as_query.unionByName(as_row).groupBy("d", "g", "i", "j").agg(F.max("q").alias("q"))
-        cells = settle(cells)
+        blocks = large.withColumn("b", F.ceil(F.col("c") / half)).withColumn("k", F.pmod(F.xxhash64("d"), F.col("b")))
+        blocks = blocks.select("d", "g", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("x"))
+        side = F.when(F.col("k") != F.col("x"), (F.col("k") < F.col("x")).cast("int"))
+        cells = settle(blocks.select("d", F.xxhash64("g", F.least("k", "x"), F.greatest("k", "x")).alias("g"), side.alias("q")))
         rows = cells.count()
-        cells = cells.join(large.select("d", "t"), "d").select(F.xxhash64("g", "i", "j").alias("g"), "d", "q", "t")
+        cells = cells.join(chosen.where(F.col("c") > shard_rows).select("d", "t"), "d").select("g", "d", "q", "t")
         links = links.unionByName(_search(cells, rows, n, num, den, lower))
-    found = components(links).select(F.col("node").alias("rep"), "root")
-    whole = reps.join(found, "rep", "left").select("size", "f1", "f2", "rep", F.coalesce("root", "rep").alias("root"))
-    got = sets.join(whole, ["size", "f1", "f2"], "left").select("doc_id", "d", F.col("size").alias("n_shingles"), F.coalesce("rep", "d").alias("rep"), F.coalesce("root", "d").alias("root"))
+    links = settle(links)
+    found = components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
+    found = links.where("c is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("c").alias("n_links")).join(found, "rep")
+    whole = reps.join(found, "rep", "left").select("size", "f1", "f2", "rep", F.coalesce("root", "rep").alias("root"), "n_links")
+    got = sets.join(whole, ["size", "f1", "f2"], "left").select("doc_id", "d", F.col("size").alias("n_shingles"), F.coalesce("rep", "d").alias("rep"), F.coalesce("root", "d").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     if _plain(docs, doc_id, sets):
-        return got.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.col("root").alias("component_id"))
+        return got.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.col("root").alias("component_id"), "n_links")
     ids = sets.select("d", F.col("doc_id").alias("of")).dropDuplicates(["d"])
     got = got.join(ids.select(F.col("d").alias("rep"), F.col("of").alias("class_id")), "rep")
-    return got.join(ids.select(F.col("d").alias("root"), F.col("of").alias("component_id")), "root").select("doc_id", "n_shingles", "class_id", "component_id")
+    return got.join(ids.select(F.col("d").alias("root"), F.col("of").alias("component_id")), "root").select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
 
 
 def _plain(docs: DataFrame, doc_id: str, sets: DataFrame) -> bool:

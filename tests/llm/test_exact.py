@@ -53,6 +53,29 @@ def test_jaccard_classes(docs, corpus, n, num, den, rows):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == classes_by_hand(corpus, n, num, den)
 
 
+@pytest.mark.parametrize(("num", "den", "rows"), [(90, 100, 1500), (4, 5, 1500), (4, 5, 3), (1, 2, 7)])
+def test_jaccard_counts_every_link(docs, corpus, num, den, rows):
+    """Links of groups of three and more, in one search and over the blocks of large shards."""
+    sets = [shingle_set(t, 3) for _, t in corpus]
+    kinds = set(sets) - {frozenset()}
+    near = {s: sum(s != o and den * len(s & o) >= num * len(s | o) for o in kinds) for s in kinds}
+    assert sum(c > 1 for c in near.values()) >= 3
+    got = jaccard.classes(docs, 3, num, den, lower=True, shard_rows=rows).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == sorted(((i, near.get(s, 0)) for (i, _), s in zip(corpus, sets)), key=repr)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=2, max_size=9), st.sampled_from([(9, 10), (4, 5), (1, 2)]), st.integers(0, 9))
+def test_divide_skip_gives_each_link_once(sets, t, queries):
+    num, den = t
+    arrays = sorted((np.array(sorted(s), np.uint64) for s in sets), key=len)
+    members = [set(x.tolist()) for x in arrays]
+    links = lambda pairs: sorted((a, b) for a, b in pairs if den * len(members[a] & members[b]) >= num * len(members[a] | members[b]))
+    assert sorted(tuple(sorted(p)) for p in jaccard.divide_skip(arrays, num, den).tolist()) == links(itertools.combinations(range(len(arrays)), 2))
+    k = min(queries, len(arrays))
+    assert sorted(map(tuple, jaccard.divide_skip(arrays, num, den, k).tolist())) == links(itertools.product(range(k), range(k, len(arrays))))
+
+
 def test_jaccard_plain_ids_and_chain(spark):
     """Links that only chains connect, over unique ids."""
     r = random.Random(2)
