@@ -161,9 +161,9 @@ def features(b: Block) -> list[str]:
     out.append("stop" if b.text[-1] in _END else "no-stop")
     if words >= 8 and b.text[-1] in _END:
         out.append("sentence")
-    if "©" in b.text or "(c)" in b.text[:60]:
+    if "©" in b.text or "(c)" in b.text:
         out.append("copyright")
-    if sum(c.isdigit() for c in b.text[:200]) * 4 > min(200, len(b.text)):
+    if sum(map(str.isdigit, b.text)) * 4 > len(b.text):
         out.append("digits")
     return out
 

@@ -207,3 +207,9 @@ def test_graph_parts_are_balanced_and_cut_little():
     part = ann.partition_graph(near, 4)
     assert np.bincount(part).tolist() == [100] * 4
     assert (part[near] == part[:, None]).mean() > 0.8
+
+
+def test_html_features_read_whole_blocks():
+    f = lambda t: set(html_text.features(html_text.Block(t, (), 0.0)))
+    assert "digits" not in f("7 " * 100 + "word " * 400) and "digits" in f("word " * 50 + "7777 " * 400)
+    assert "copyright" in f("word " * 50 + "(c) 2020")
