@@ -28,6 +28,9 @@ from .common import map_text
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "select", "button")}
+#: What may lack an end tag; then only the start tag goes. A button or select ends at the next one too.
+_MAY_STAY_OPEN = frozenset(("noscript", "template", "svg", "iframe", "select", "button"))
+_NEXT = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in ("select", "button")}
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 # fixed values: HTML elements by role
@@ -35,6 +38,8 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - {"body", "html", "head"}
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that leave a head open; any other ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noscript script style template title".split())
 SCOPE = frozenset("ul ol dl table article section div nav aside main body".split())
 
 
@@ -68,6 +73,7 @@ def blocks(page: str) -> list[Block]:
     links = 0
     in_link = 0
     at, size = 0, len(page)
+    endless = set()  # elements without an end tag in the rest of the page
 
     def flush():
         nonlocal parts, links
@@ -83,10 +89,19 @@ def blocks(page: str) -> list[Block]:
             in_link -= t == "a"
         del stack[k:]
 
+    def leave_head():
+        for k in range(min(2, len(stack))):
+            if stack[k][0] == "head":
+                flush()
+                pop(k)
+                break
+
     def text(raw: str):
         nonlocal links
         if raw:
             t = _html.unescape(raw) if "&" in raw else raw
+            if t.strip(" \t\n\f\r"):
+                leave_head()
             parts.append(t)
             if in_link > 0:
                 links += len(t.strip())
@@ -112,9 +127,14 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in SCOPE and tag not in BLOCK_TAGS:
                     break
             continue
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in _RAW_END and not attrs.endswith("/"):
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else size
+            end = None if tag in endless else _RAW_END[tag].search(page, at)
+            if not end and tag in _MAY_STAY_OPEN:
+                endless.add(tag)
+            elif not (tag in _NEXT and _NEXT[tag].search(page, at, end.start())):
+                at = end.end() if end else size
             if tag in ("textarea", "title", "select", "button"):
                 parts.append(" ")
             continue

@@ -213,3 +213,26 @@ def test_html_features_read_whole_blocks():
     f = lambda t: set(html_text.features(html_text.Block(t, (), 0.0)))
     assert "digits" not in f("7 " * 100 + "word " * 400) and "digits" in f("word " * 50 + "7777 " * 400)
     assert "copyright" in f("word " * 50 + "(c) 2020")
+
+
+@pytest.mark.parametrize("start", ["<body>", "<div>", "<p>", "", "<custom-tag>"])
+def test_html_head_without_end_tag(start):
+    page = f"<html><head><meta charset=utf-8><title>no</title><style>p {{}}</style>{start}Words of the article.<p>More of it.</html>"
+    assert [b.text for b in html_text.blocks(page)] == ["Words of the article.", "More of it."]
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "noscript", "template", "iframe"])
+def test_html_elements_without_end_tag(tag):
+    page = f"<body><p>One.</p><{tag} id=x><p>Two.</p><{tag}><div>Three.</div>"
+    assert [b.text for b in html_text.blocks(page)] == ["One.", "Two.", "Three."]
+    closed = f"<body><p>One.</p><{tag}>gone</{tag}><p>Two.</p><{tag}><p>Three."
+    assert [b.text for b in html_text.blocks(closed)] == ["One.", "Two.", "Three."]
+
+
+def test_html_button_ends_at_the_next():
+    assert [b.text for b in html_text.blocks("<body><button><p>Two.</p><button>gone</button><p>Three.")] == ["Two.", "Three."]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "title"])
+def test_html_raw_elements_take_the_rest(tag):
+    assert [b.text for b in html_text.blocks(f"<body><p>One.</p><{tag}><p>Two.")] == ["One."]
