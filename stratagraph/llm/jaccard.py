@@ -456,11 +456,23 @@ def _search(groups: DataFrame, rows: int, n: int, num: int, den: int, lower: boo
 def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, lower: bool = False, doc_id: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row a document: doc_id, n_shingles, class_id (least id of its equal sets), component_id (least id reachable by links), n_links (other classes that its set links to)."""
     d = fresh(docs, "sg_d")
-    base = numbered(docs.select(doc_id, text), doc_id, text, d).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(d).alias("d"))
+    got, plain = _classes(numbered(docs.select(doc_id, text), doc_id, text, d), d, n, num, den, lower, doc_id, text, shard_rows)
+    if plain:
+        return got.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.col("root").alias("component_id"), "n_links")
+    got = settle(got)
+    ids = got.select("d", F.col("doc_id").alias("of")).dropDuplicates(["d"])
+    got = got.join(ids.select(F.col("d").alias("rep"), F.col("of").alias("class_id")), "rep")
+    return got.join(ids.select(F.col("d").alias("root"), F.col("of").alias("component_id")), "root").select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
+
+
+def _classes(own: DataFrame, d: str, n: int, num: int, den: int, lower: bool, doc_id: str, text: str, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, bool]:
+    """classes() by the numbers in column ``d``: doc_id, d, n_shingles, rep, root, n_links; and whether these are the ids."""
+    base = own.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(d).alias("d"))
     sets = settle(_fingerprints(base, n, lower, "t", ["doc_id", "d"]))
     reps = sets.where("size > 0").groupBy("size", "f1", "f2").agg(F.min("d").alias("rep"))
     texts = base.where("t is not null").select("d", "t")
-    if not _plain(docs, doc_id, sets):  # rows may repeat under one number
+    plain = _plain(own, doc_id, sets)
+    if not plain:  # rows may repeat under one number
         texts = texts.dropDuplicates(["d"])
     # twice, since what goes in the first round was company to others; the texts that stay are kept for all that follows
     texts = stored(texts.join(small_or_not(settle(_survivors(texts, n, num, den, lower, "t", "d"))), "d").select("d", "t", "bits"))
@@ -490,11 +502,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, lower: bool
     found = links.where("c is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("c").alias("n_links")).join(found, "rep")
     whole = reps.join(found, "rep", "left").select("size", "f1", "f2", "rep", F.coalesce("root", "rep").alias("root"), "n_links")
     got = sets.join(whole, ["size", "f1", "f2"], "left").select("doc_id", "d", F.col("size").alias("n_shingles"), F.coalesce("rep", "d").alias("rep"), F.coalesce("root", "d").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    if _plain(docs, doc_id, sets):
-        return got.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.col("root").alias("component_id"), "n_links")
-    ids = sets.select("d", F.col("doc_id").alias("of")).dropDuplicates(["d"])
-    got = got.join(ids.select(F.col("d").alias("rep"), F.col("of").alias("class_id")), "rep")
-    return got.join(ids.select(F.col("d").alias("root"), F.col("of").alias("component_id")), "root").select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
+    return got, plain
 
 
 def _plain(docs: DataFrame, doc_id: str, sets: DataFrame) -> bool:
@@ -504,11 +512,10 @@ def _plain(docs: DataFrame, doc_id: str, sets: DataFrame) -> bool:
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The documents that are the first of their component, with their own columns (of repeated rows one stays)."""
-    c = classes(docs, n, num, den, lower=True)
-    row = fresh(docs, "sg_doc")
-    c = settle(c.select("doc_id", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone")))
-    if c.where("not gone").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    # an id may stand for a document that stays and for one that goes; then both stay
-    gone = c.groupBy("doc_id").agg(F.min("gone").alias("gone")).where("gone").select(F.col("doc_id").alias(row))
-    return docs.join(small_or_not(gone), F.col("doc_id").eqNullSafe(F.col(row)), "left_anti")
+    d = fresh(docs, "sg_d")
+    own = numbered(docs, "doc_id", "text", d)
+    c, plain = _classes(own, d, n, num, den, lower=True, doc_id="doc_id", text="text")
+    if not plain:  # rows may repeat under one number
+        own = own.dropDuplicates([d])
+    gone = settle(c.where("d <> root").select(F.col("d").alias(d)).distinct())
+    return own.join(small_or_not(gone), d, "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))

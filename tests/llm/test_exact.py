@@ -99,6 +99,17 @@ def test_jaccard_empty_and_keep_one(nothing, docs, corpus):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_keep_one_goes_by_document(spark):
+    """An id of a document that stays and of one that goes, and near copies without ids."""
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(b)), (None, " ".join(c)), (None, near(c)), (None, "quite alone"), (3, near(b)), (3, near(b))]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    no_id = [r.text for r in got if r.doc_id is None]
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id) == [(1, " ".join(a)), (2, " ".join(b))]
+    assert "quite alone" in no_id and len(no_id) == 2 and ({" ".join(c), near(c)} & set(no_id))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=2, max_size=9), st.sampled_from([(9, 10), (4, 5), (1, 2)]))
 def test_divide_skip_finds_every_link(sets, t):
