@@ -147,10 +147,18 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
     if m < n:
         return np.zeros(0, U64)
     if len(_POW.get("p", ())) < m:
-        _POW["p"], _POW["i"] = _powers(max(m, 1 << 20), _BASE), _powers(max(m, 1 << 20), pow(_BASE, -1, 1 << 64))
+        size = 1 << max(17, (m - 1).bit_length())
+        if size > 1 << 20:  # one long piece: not kept
+            return _rolled(h, n, _powers(m, _BASE), _powers(m, pow(_BASE, -1, 1 << 64)))
+        _POW["p"], _POW["i"] = _powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))
+    return _rolled(h, n, _POW["p"], _POW["i"])
+
+
+def _rolled(h: np.ndarray, n: int, power: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    m = len(h)
     acc = np.zeros(m + 1, U64)
-    np.cumsum(h * _POW["p"][:m], out=acc[1:])
-    return mix((acc[n:] - acc[:-n]) * _POW["i"][: m - n + 1])
+    np.cumsum(h * power[:m], out=acc[1:])
+    return mix((acc[n:] - acc[:-n]) * inverse[: m - n + 1])
 
 
 def windows(first: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:

@@ -180,6 +180,43 @@ def test_extended_prefixes(docs, corpus, monkeypatch, most):
     assert sorted(((r.doc_id, r.n_removed, r.sha) for r in got), key=repr) == sorted(((x[0], gone[x], hashlib.sha256(" ".join(kept[x]).encode()).hexdigest()) for x in corpus), key=repr)
 
 
+@pytest.mark.parametrize("most", [0, 2])
+def test_extended_windows_are_reduced_twice(docs, corpus, monkeypatch, most):
+    """Small pieces in many groups: leaves of extended windows go through two rounds of subtrees."""
+    monkeypatch.setattr(substring, "PART_BYTES", 3000)
+    monkeypatch.setattr(substring, "PIECE_BYTES", 1000)
+    monkeypatch.setattr(substring, "FAN", 2)
+    monkeypatch.setattr(substring.repeated_windows, "__defaults__", (20, "text", "d", most))
+    kept, gone = removal_by_hand(corpus, 12)
+    got = substring.deduplicate(docs, 12, keep=["doc_id"], digest="sha").collect()
+    assert sorted(((r.doc_id, r.n_removed, r.sha) for r in got), key=repr) == sorted(((x[0], gone[x], hashlib.sha256(" ".join(kept[x]).encode()).hexdigest()) for x in corpus), key=repr)
+
+
+def test_long_windows(spark, monkeypatch):
+    """Windows of 1,500 words over several partitions."""
+    monkeypatch.setattr(substring, "PART_BYTES", 8000)
+    r = random.Random(2)
+    base = [f"v{r.randrange(300)}" for _ in range(1600)]
+    rows = [(1, " ".join(base)), (2, " ".join(["a", *base[:1550], "b"])), (3, " ".join(base[200:])), (4, " ".join(base[1:1499]))]
+    kept, gone = removal_by_hand(rows, 1500)
+    got = {r.doc_id: r.n_removed for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 1500, keep=["doc_id"], digest="sha").collect()}
+    assert got == {x[0]: gone[x] for x in rows} and got[2] == 1550
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=30), max_size=4), st.integers(1, 9))
+def test_subtree(texts, n):
+    """Nodes are runs of equal words, whatever their hashes, numbered in the order of the suffixes."""
+    h = np.array([x for t in texts for x in t], np.uint64)
+    end = np.array([sum(map(len, texts[: k + 1])) for k, t in enumerate(texts) for _ in t], np.int64)
+    start = np.flatnonzero(np.arange(len(h)) + n <= end)
+    if len(start):
+        got = substring.subtree(h, end, start, n)
+        runs = [tuple(h[i : i + n].tolist()) for i in start]
+        order = {x: k for k, x in enumerate(sorted(set(runs)), 1)}
+        assert got.tolist() == [order[x] for x in runs]
+
+
 def test_substring_plain_and_empty(nothing, spark):
     assert substring.deduplicate(nothing).count() == 0
     p = " ".join(f"p{i}" for i in range(60))
