@@ -261,11 +261,48 @@ def test_benchmark_scan(spark, docs, corpus, block, monkeypatch):
     assert len(got) == len(corpus)
     for r in got:
         assert (r.n_words, r.n_hit, r["items"]) == scan_by_hand(r.text, items, 10), r.doc_id
+        w, long_ = re.findall(ALNUM, (r.text or "").translate(LOWER)), 0
+        for m in r.matches:
+            at = [re.findall(ALNUM, (t or "").translate(LOWER)) for i, t in items if ("" if i is None else str(i)) == m.item_id]
+            same = w[m.doc_start : m.doc_start + m.words]
+            assert any(g[m.item_start : m.item_start + m.words] == same for g in at), (m, r.doc_id)
+        for _, t in items:
+            g = re.findall(ALNUM, (t or "").translate(LOWER))
+            for x in range(len(w) if len(w) < 500 else 0):
+                for y in range(len(g)):
+                    k = 0
+                    while x + k < len(w) and y + k < len(g) and w[x + k] == g[y + k]:
+                        k += 1
+                    long_ = max(long_, k if k >= min(10, len(g)) else 0)
+        if block > 300 and len(w) < 500:
+            assert r.longest_match == long_ == max((m.words for m in r.matches), default=0), r.doc_id
     clean = decontaminate.remove_contaminated(docs, bench)
     assert clean.columns == docs.columns
     assert clean.count() == sum(not scan_by_hand(t, items, 10)[1] for _, t in corpus)
 
 
+def test_longest_match_and_place(spark):
+    """Matches of two items that overlap are told apart, with their places; a long item is cut without losing a window."""
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(2000)]
+    glued = [*a[5:30], *b[7:30]]
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join([*a[20:30], *b]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y " + " ".join(glued)), (2, " ".join(b[700:1500]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.scan(docs, bench).collect()}
+    assert [tuple(m) for m in got[1].matches] == [("1", 5, 2, 25), ("2", 17, 27, 23)]
+    assert got[1].n_hit == 48 and got[1].longest_match == 25 and got[2].longest_match == 800
+
+
+def test_long_item(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 1000)
+    b = [f"b{i}" for i in range(2000)]
+    bench = spark.createDataFrame([(2, " ".join(b))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(b[k : k + 11])) for k in range(0, 1989, 13)] + [(5000, " ".join(b))], "doc_id long, text string")
+    got = decontaminate.scan(docs, bench).collect()
+    assert all(r.n_hit == r.n_words and r["items"] == ["2"] for r in got)
+    for r in got:
+        assert all(b[m.item_start : m.item_start + m.words] == r.text.split(" ")[m.doc_start : m.doc_start + m.words] for m in r.matches)
+
+
 def test_benchmark_scan_of_nothing(nothing, docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.scan(nothing, none).count() == 0
