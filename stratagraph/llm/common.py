@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,21 +17,34 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .textcore import CHUNK_BYTES, chunks, string_buffers
 
-#: Rows of one Arrow batch; texts may be long, so far fewer than Spark's default.
+#: Rows and bytes of one Arrow batch: texts may be long, so both are far fewer than Spark's defaults.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+#: Rows that Spark's Parquet reader decodes at once.
+READER_ROWS = 256
+
+
+def _at_most(spark: SparkSession, key: str, value: int, default: int) -> None:
+    now = spark.conf.get(key, str(default)).rstrip("b")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= value:
+        spark.conf.set(key, str(value))
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on: small Arrow batches and a checkpoint folder.
+    """Session settings the operators rely on: batches bounded by rows and bytes, and a checkpoint folder.
 
-    The folder named in spark.checkpoint.dir is taken as it is; a local one is
-    set only where the session names none, as in tests.
+    The batch settings are lowered for the whole session (never raised), since frames are run later. The folder named in spark.checkpoint.dir is taken as it is. A local one is
+    set only on a local master, as in tests; on a cluster a missing one is an error.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    _at_most(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, 10_000)
+    _at_most(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, 64 << 20)
+    _at_most(spark, "spark.sql.parquet.columnarReaderBatchSize", READER_ROWS, 4096)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratagraph-"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -147,28 +161,61 @@ def small_or_not(ids: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(ids) if n <= BROADCAST_ROWS else ids
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Writes the frame as a table in the shared checkpoint folder and reads it back."""
+    """Writes the frame as a table in the shared checkpoint folder and reads it back; ``discard`` deletes such tables."""
     prepare(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, wherever they are."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes the tables stored so far: for when the results that were made from them have been written."""
+    while _STORED:
+        delete(spark, _STORED.pop())
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, least: int = 1000) -> DataFrame:
+    """Inner join of rows with one row a key that holds the key's ``count`` of rows; hot keys are not dealt to one task.
+
+    Keys of more than ``least`` and total / BROADCAST_ROWS rows are fewer than BROADCAST_ROWS, so
+    they may be broadcast; the rest is shuffled.
+    """
+    most = max(least, -(-total // BROADCAST_ROWS))
+    more = [c for c in groups.columns if c != key]
+    hot = fresh(rows, "sg_hot")
+    heavy = groups.where(F.col(count) > most).select(key, F.struct(*more).alias(hot))
+    tagged = rows.join(F.broadcast(heavy), key, "left")
+    here = tagged.where(F.col(hot).isNotNull()).select(*rows.columns, *(F.col(hot)[c].alias(c) for c in more))
+    return here.unionByName(tagged.where(F.col(hot).isNull()).drop(hot).join(groups.where(F.col(count) <= most), key).select(*rows.columns, *more))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node.
 
     Alternates large-star and small-star steps; each is a group-by-node, so the
-    work of a round is a few shuffles of the edges, and hubs are split by a
-    pre-aggregated minimum. Nodes without an edge don't appear.
+    work of a round is a few shuffles of the edges. Minima are pre-aggregated, and hubs'
+    edges meet them by a bounded broadcast instead of in one task. Nodes without an edge don't appear.
     """
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
+        total = 2 * e.count()
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c")).select("a", F.least("a", "m").alias("m"), "c")
+        large = settle(with_group(both, low, "a", "c", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = with_group(large, low, "a", "c", total)
         after = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = settle(after.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         # settled: every node points at one root, and no root points on

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, flat_text, fresh, give_back, map_text, settle, small_or_not, stored
+from .common import components, flat_text, fresh, give_back, map_text, settle, small_or_not, stored, with_group
 from .substring import numbered
 from .textcore import BLANK_WORDS, Words, mix, rolling, windows
 
@@ -482,7 +482,7 @@ def _classes(own: DataFrame, d: str, n: int, num: int, den: int, lower: bool, do
     # documents to compare: one of each class, in shards of at least two classes
     members = shards.join(reps.select(F.col("rep").alias("node")), "node", "left_semi").select(F.col("node").alias("d"), F.col("root").alias("g")).distinct()
     many = members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = settle(members.join(many, "g").select("d", "g", "c"))
+    members = settle(with_group(members, many, "g", "c", members.count()).select("d", "g", "c"))
     chosen = stored(texts.join(small_or_not(members), "d").select("d", "g", "c", "t"))
     one = F.lit(None).cast("int")
     links = _search(chosen.where(F.col("c") <= shard_rows).select("g", "d", one.alias("q"), "t"), members.where(F.col("c") <= shard_rows).count(), n, num, den, lower)

@@ -13,7 +13,9 @@ cache; words are independent under the tokenizer's own splitting, so the ids are
 of encoding the text at once. (Words with characters for which that isn't plain go
 through the whole tokenizer.)
 
-Nulls: a null text is an empty one: the single id 1. Repeated rows are packed each.
+Nulls: a null text is an empty one: the single id 1; a null id stays null. Repeated rows are packed each. Pieces of equal
+length are taken in the order of (hash of document, start and ids), so a repeated task gives the same numbers. An empty table gives no rows.
+A long text is encoded in one piece of work, however long. Only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ GROUP_ROWS = 40_000
 #: Pieces of a group, and rows of a batch, when they carry their ids (some kilobytes each).
 GROUP_ROWS_WITH_IDS = 6_000
 BATCH_WITH_IDS = 500
+#: Bytes of text encoded at once.
+PIECE_BYTES = 1 << 20
 #: Words whose ids a worker keeps (about 40 bytes each), and parts of words (about 150 bytes each).
 CACHE_WORDS = 600_000
 CACHE_PARTS = 100_000
@@ -236,7 +240,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
 
         return f
 
-    cut = flat_text(d, "t", task, T.StructType(fields))
+    cut = flat_text(d, "t", task, T.StructType(fields), PIECE_BYTES)
     group_rows = group_rows or (GROUP_ROWS_WITH_IDS if with_ids else GROUP_ROWS)
     groups = max(1, -(-docs.count() // group_rows))
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

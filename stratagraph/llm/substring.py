@@ -293,7 +293,9 @@ def repeated_windows(docs: DataFrame, n: int = N, text: str = "text", number: st
     salts = -(-max(1, size // PIECE_BYTES) // FAN)
     counted = stored(census(docs, n, text, number, parts, group_leaves))
     sent_far = docs.sparkSession.sparkContext.broadcast(_far_anchors(counted))
-    chosen = counted.where("d is not null").groupBy(F.col("d").alias(number)).agg(F.collect_list("x").alias("x"))
+    base = docs.select(text, number)
+    x = fresh(base, "sg_x")
+    chosen = counted.where("d is not null").groupBy(F.col("d").alias(number)).agg(F.collect_list("x").alias(x))
 
     def dealt(d, s, at, a, fp, w, start, one_salt: bool):
         """Blobs for the partitions of the prefixes of windows: stretches and their words."""
@@ -380,7 +382,7 @@ def repeated_windows(docs: DataFrame, n: int = N, text: str = "text", number: st
         used, lo, hi = _split(p)
         return used, [np.array([j - i], "<i8").tobytes() + e[i:j].tobytes() + texts[cut[i] : cut[j]].tobytes() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
 
-    sent = flat_text(docs.join(chosen, number).select(text, number, "x"), text, task, _SENT, PIECE_BYTES)
+    sent = flat_text(base.join(chosen, number).select(text, number, x), text, task, _SENT, PIECE_BYTES)
     if salts > 1:
         sent = sent.repartitionById(parts, F.col("p")).mapInArrow(resolve(False), _SENT)
     return sent.repartitionById(parts, F.col("p")).mapInArrow(resolve(True), _MARKS)

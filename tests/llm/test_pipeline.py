@@ -55,6 +55,28 @@ def test_run_is_the_stages(spark, folder):
     assert {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(got.columns) and got.count() > 0
 
 
+def test_run_on_empty_tables_and_clashing_columns(spark, folder, tmp_path):
+    """No documents; then documents with columns named like the operators' own, no labels and no benchmark; folders are cleared."""
+    import os
+
+    text = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], text).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 as n_words", "2 as sg_d", "3 as x", "4 as items", "text as t", "doc_id as d")
+    docs.union(docs.where("doc_id = 1")).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/a/{t}.parquet").write.parquet(f"{tmp_path}/b/{t}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/b")
+    ids = {r.doc_id for r in got.collect()}
+    assert ids == {r.doc_id for r in docs.collect()} - {1000, 1001}
+    from urllib.parse import urlparse
+
+    left = urlparse(spark.sparkContext.getCheckpointDir()).path
+    assert not [x for x in os.listdir(left) if x.startswith("table-")]
+
+
 def test_queries_have_their_columns(spark):
     want = {
         "op2_jaccard_join": ["doc_id", "n_shingles", "component_id"],
