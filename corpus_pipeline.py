@@ -2,7 +2,10 @@
 
 toxicity -> n-gram Jaccard -> substring deduplication -> benchmark decontamination -> packing.
 Every stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns
-of the documents.
+of the documents, whatever others they have (a stage's own columns never clash with them).
+
+In all stages a null or empty text has no words: it isn't toxic, copies nothing, holds no passage and is packed as its end
+id alone. Of repeated rows the second stage keeps one. An empty table goes through all stages and gives no rows.
 """
 
 from __future__ import annotations
@@ -12,12 +15,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from stratagraph.llm import decontaminate, jaccard, ordinal, packing, substring
-from stratagraph.llm.common import prepare
+from stratagraph.llm.common import delete, discard, prepare
 from stratagraph.llm.queries import tokenizer_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents graded toxic; the grader learns from the labels table."""
+    """Drops the documents graded toxic; the grader learns from the labels table.
+
+    Without labels nothing is dropped. Repeated rows get the same grade; ids may be null.
+    """
     prepare(spark)
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = ordinal.fit(texts, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
@@ -25,19 +31,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group linked by five-word shingles at a Jaccard similarity of 0.8."""
+    """Keeps the first document of each group linked by five-word shingles at a Jaccard similarity of 0.8.
+
+    First: the least id (null before all), then the least hash of the text. Texts without words link with nothing and stay.
+    """
     prepare(spark)
     return jaccard.keep_one(docs, n=5, num=4, den=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the words of 20-word windows that occur earlier."""
+    """Removes the words of 20-word windows that occur earlier, in the order of ids; no document goes, null texts stay null."""
     prepare(spark)
     return substring.remove_repeats(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold ten consecutive words of a benchmark item."""
+    """Drops the documents that hold ten consecutive words of a benchmark item; without items nothing is dropped."""
     prepare(spark)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -55,11 +64,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage gives is written to the shared checkpoint folder and read by the next."""
+    """All stages over the documents; what a stage gives is written to the shared checkpoint folder and read by the next.
+
+    What a stage has read goes, with its working tables, once its own rows are written; the last stage's stay.
+    """
     prepare(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        at = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        discard(spark)
+        if before:
+            delete(spark, before)
+        before = at
     return docs
