@@ -34,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -269,7 +270,10 @@ def sorted_sets(raw, off, n: int, lower: bool) -> list[np.ndarray]:
 _SETS = [T.StructField("size", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType())]
 _SENT = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("x", T.BinaryType())])
 _COUNTS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("c", T.LongType())])
-_SLOTS = T.StructType([T.StructField("p", T.IntegerType()), *_COUNTS.fields, T.StructField("x", T.BinaryType())])
+_SLOTS = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("counts", T.BooleanType()), T.StructField("x", T.BinaryType())])
+_BITS = T.StructType([T.StructField("d", T.LongType()), T.StructField("bits", T.LongType())])
+#: A partial count of a document's slot (0 or 1), on its way to the partition of the document.
+_COUNT = np.dtype([("d", "<i8"), ("c", "<i4"), ("slot", "u1")])
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -289,6 +293,16 @@ def _parts(base: DataFrame, text: str) -> int:
     return max(1, -(-(base.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
 
 
+def _packed(d: np.ndarray, slot: np.ndarray, c: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """Counts packed into one row a partition."""
+    p = d % parts
+    order = np.argsort(p, kind="stable")
+    e = np.zeros(len(d), _COUNT)
+    e["d"], e["slot"], e["c"] = d[order], slot[order], c[order]
+    used, lo = np.unique(p[order], return_index=True)
+    return used, [x.tobytes() for x in np.split(e, lo[1:])] if len(used) else []
+
+
 def _survivors(base: DataFrame, n: int, num: int, den: int, lower: bool, text: str, d: str, bits: str | None = None) -> DataFrame:
     """(d, bits): the slots of each document that have, with all others together, as many keys as a linked pair has in common.
 
@@ -318,19 +332,18 @@ def _survivors(base: DataFrame, n: int, num: int, den: int, lower: bool, text: s
                 flag = ((k >> U64(32)) & U64(0x7F)).astype(np.uint8) | (many[i:j].astype(np.uint8) << 7)
                 xs.append(np.array([len(own), j - i], "<i8").tobytes() + number[own >> 1].astype("<i8").tobytes() + count.astype("<u4").tobytes() + (k & _MASK32).astype("<u4").tobytes() + (own & 1).astype(np.uint8).tobytes() + flag.tobytes())
             live = np.flatnonzero((np.bincount(slot, minlength=len(need)) > 0) | (have + need > 0))
-            nulls = pa.nulls(len(xs), pa.int64())
-            col = lambda v: pa.concat_arrays([nulls, pa.array(v, pa.int64())])
-            return [np.concatenate([used, live % parts]).astype(np.int32), col(number[live >> 1]), col(live & 1), col(have[live]), pa.array(xs + [None] * len(live), pa.binary())]
+            to, counts = _packed(number[live >> 1], live & 1, have[live], parts)
+            return [np.concatenate([used, to]).astype(np.int32), pa.array([False] * len(xs) + [True] * len(counts)), pa.array(xs + counts, pa.binary())]
 
         return f
 
     def resolve(batches):
         keys, docs, levels, counted = [], [], [], []
         for batch in batches:
-            own = batch.filter(batch.column(1).is_valid())
+            own = batch.filter(batch.column(1))
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(i) for i in (1, 2, 3)], names=["a", "b", "c"])
-            for x in batch.column(4).drop_null().to_pylist():
+                yield own
+            for x in batch.filter(pc.invert(batch.column(1))).column(2).to_pylist():
                 m, k = (int(v) for v in np.frombuffer(x, "<i8", 2))
                 number, count = np.frombuffer(x, "<i8", m, 16), np.frombuffer(x, "<u4", m, 16 + 8 * m)
                 low, bit, flag = np.frombuffer(x, "<u4", k, 16 + 12 * m), np.frombuffer(x, np.uint8, m, 16 + 12 * m + 4 * k), np.frombuffer(x, np.uint8, k, 16 + 13 * m + 4 * k)
@@ -350,15 +363,31 @@ def _survivors(base: DataFrame, n: int, num: int, den: int, lower: bool, text: s
         more = np.flatnonzero(many & ~counted)
         kinds, rank = np.unique(doc[more], return_inverse=True)
         slot, c = np.unique(2 * rank.astype(np.int64) + bit[more], return_counts=True)
-        for i in range(0, len(slot), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(kinds[slot[i : i + 50_000] >> 1], pa.int64()), pa.array(slot[i : i + 50_000] & 1, pa.int64()), pa.array(c[i : i + 50_000], pa.int64())], names=["a", "b", "c"])
+        to, counts = _packed(kinds[slot >> 1], slot & 1, c, parts)
+        for i in range(0, len(to), 100):
+            yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 100], pa.int32()), pa.array([True] * len(to[i : i + 100])), pa.array(counts[i : i + 100], pa.binary())], names=["p", "counts", "x"])
         del key, doc, bit, counted, order, k, many
         give_back()
 
+    def total(batches):
+        held = [x for b in batches for x in b.column(2).to_pylist()]
+        if not held:
+            return
+        e = np.frombuffer(b"".join(held), _COUNT)
+        kinds, rank = np.unique(e["d"], return_inverse=True)
+        sums = np.bincount(2 * rank.astype(np.int64) + e["slot"], e["c"], 2 * len(kinds))
+        seen = np.bincount(2 * rank.astype(np.int64) + e["slot"], minlength=2 * len(kinds)) > 0
+        enough = ((sums >= 0) & seen).reshape(-1, 2)
+        value = enough[:, 0] + 2 * enough[:, 1]
+        kinds, value = kinds[value > 0], value[value > 0]
+        for i in range(0, len(kinds), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[i : i + 50_000], pa.int64()), pa.array(value[i : i + 50_000], pa.int64())], names=["d", "bits"])
+        del e, held
+        give_back()
+
     sent = flat_text(base.select(text, d, *([bits] if bits else [])), text, task, _SLOTS, PIECE_BYTES)
-    got = sent.repartitionById(parts, F.col("p")).mapInArrow(resolve, _COUNTS)
-    enough = got.groupBy("a", "b").agg(F.sum("c").alias("c")).where("c >= 0")
-    return enough.groupBy(F.col("a").alias(d)).agg(F.sum(F.col("b") + 1).alias("bits"))
+    got = sent.repartitionById(parts, F.col("p")).mapInArrow(resolve, _SLOTS).repartitionById(parts, F.col("p")).mapInArrow(total, _BITS)
+    return got.select(F.col("d").alias(d), "bits")
 
 
 def _shards(base: DataFrame, n: int, num: int, den: int, lower: bool, text: str, d: str, bits: str) -> DataFrame:
