@@ -14,10 +14,10 @@ the result is the connected component of every document and the number of its li
    by the shingles of their prefix as well. Sets with a key in common are chained (a forest,
    never pairs), and the connected components of the chains are the shards. Keys common within
    a piece of text are chained there and sent once, so hot groups shrink before the shuffle.
-3. Each shard runs the T-occurrence search: inverted lists of its shingles; for a query with
-   the least overlap T, the L longest lists are set aside, the short ones are merged, and
-   candidates with T - L occurrences are probed in the long ones by binary search (or these are merged
-   too, where candidates are so many that it costs less). Every candidate is verified. Links leave a task counted by document,
+3. Each shard runs the T-occurrence search: inverted lists of its shingles (lists with the same members are one with a weight); for a query with
+   the least overlap T, the longest lists of weight L are set aside, the short ones are merged in a heap, and
+   candidates of T - L occurrences are probed in the long ones by binary search (or these are read through,
+   where candidates are so many that it costs less). Every candidate is verified. Links leave a task counted by document,
    with a forest of them for the components; pairs are never rows.
 4. A shard over ``shard_rows`` sets is never held by one task. It is cut into blocks, and each pair of
    blocks (and each block with itself) is a cell that is searched as a shard is.
@@ -29,6 +29,7 @@ Nulls: a null or empty text has no shingle and links with nothing; ids as in
 
 from __future__ import annotations
 
+import heapq
 import math
 from functools import lru_cache
 
@@ -45,7 +46,7 @@ from .textcore import BLANK_WORDS, Words, mix, rolling, windows
 
 U64 = np.uint64
 #: Sets that one task may hold as a shard, and bytes of text behind one partition of signatures.
-SHARD_ROWS = 1500
+SHARD_ROWS = 1000
 #: Sets that a task searches, on average, in shards one after another.
 TASK_ROWS = 500
 PART_BYTES = 8 << 20
@@ -203,19 +204,61 @@ def chains(key: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return kinds[kept >> 32], kinds[kept & 0xFFFFFFFF], first
 
 
+def heap_merge(runs: list[list[int]], weights: list[int], need: int) -> tuple[list[int], list[int]]:
+    """Numbers whose runs weigh at least ``need`` together, ascending, and these weights: the ascending runs meet in a heap."""
+    k = len(runs)
+    rest = [iter(r) for r in runs]
+    heap = [next(r) * k + j for j, r in enumerate(rest)]
+    heapq.heapify(heap)
+    now, have, found, total = -1, 0, [], []
+    while heap:
+        v, j = divmod(heap[0], k)
+        after = next(rest[j], None)
+        if after is None:
+            heapq.heappop(heap)
+        else:
+            heapq.heapreplace(heap, after * k + j)
+        if v != now:
+            if have >= need:
+                found.append(now)
+                total.append(have)
+            now, have = v, 0
+        have += weights[j]
+    if have >= need:
+        found.append(now)
+        total.append(have)
+    return found, total
+
+
+def inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, list) of each entry of the inverted lists, by set; and each list's weight: lists with the same members are one."""
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    m = int(at.max()) + 1
+    a, b = (_sums(at, mix(owner.astype(U64) + U64(x)), m) for x in (1, 1 << 40))  # 128 bits name the members
+    order = np.lexsort((b, a))
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    kind = np.empty(m, np.int64)
+    kind[order] = np.cumsum(new) - 1
+    lead = np.zeros(m, bool)
+    lead[order[new]] = True
+    own = lead[at]
+    return owner[own], kind[at[own]], np.bincount(kind)
+
+
 def divide_skip(sets: list[np.ndarray], num: int, den: int, queries: int | None = None) -> np.ndarray:
     """All links (q, c) among sorted sets, each once; with ``queries``, all links of the first so many to the others."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     if n < 2:
         return np.zeros((0, 2), np.int64)
-    terms, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), size)
-    first = np.concatenate([[0], np.cumsum(size)])
+    owner, at, weight = inverted(sets)
+    first = np.searchsorted(owner, np.arange(n + 1))
     order = np.lexsort((owner, at))
     if queries is not None:
         order = order[owner[order] >= queries]
-    lists, begin = owner[order], np.searchsorted(at[order], np.arange(len(terms) + 1))
+    lists, begin = owner[order], np.searchsorted(at[order], np.arange(len(weight) + 1))
+    plain = lists.tolist()
     code = at[order] * n + lists  # ascending: a list is probed for a set by one binary search
     left, end = begin[:-1].copy(), begin[1:]
     links = []
@@ -229,19 +272,27 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, queries: int | None
         length = end[mine] - left[mine]
         by = np.argsort(length, kind="stable")
         mine, length = mine[by], length[by]
-        n_long = min(t - 1, int(t / (mu * math.log2(int(length[-1]) + 1) + 1)))
-        short, long = mine[: s - n_long], mine[s - n_long :]
-        count = np.bincount(np.concatenate([lists[i:j] for i, j in zip(left[short].tolist(), end[short].tolist(), strict=True)]), minlength=n)
-        cand = np.flatnonzero(count >= t - n_long)
-        cand = cand[(size[cand] * den >= s * num) & (s * den >= size[cand] * num)]
+        # the longest lists are set aside, as many as leave a candidate at least one short list
+        spare = min(t - 1, int(t / (mu * math.log2(int(length[-1]) + 1) + 1)))
+        heavy = np.cumsum(weight[mine[::-1]])
+        n_long = int(np.searchsorted(heavy, spare, "right"))
+        aside = int(heavy[n_long - 1]) if n_long else 0
+        short, long = mine[: len(mine) - n_long], mine[len(mine) - n_long :]
+        short = short[length[: len(short)] > 0]
+        if not len(short):
+            continue
+        got, count = heap_merge([plain[i:j] for i, j in zip(left[short].tolist(), end[short].tolist(), strict=True)], weight[short].tolist(), t - aside)
+        cand, o = np.array(got, np.int64), np.array(count, np.int64)
+        near = (size[cand] * den >= s * num) & (s * den >= size[cand] * num)
+        cand, o = cand[near], o[near]
         if not len(cand):
             continue
-        o = count[cand]
-        if n_long and len(cand) * n_long * math.log2(len(code) + 2) < length[s - n_long :].sum():
+        if n_long and len(cand) * n_long * math.log2(len(code) + 2) < length[len(mine) - n_long :].sum():
             probe = (long * n)[:, None] + cand
-            o = o + (code[np.minimum(np.searchsorted(code, probe), len(code) - 1)] == probe).sum(0)
-        elif n_long:  # so many candidates that merging costs less than probing
-            o = o + np.bincount(np.concatenate([lists[i:j] for i, j in zip(left[long].tolist(), end[long].tolist(), strict=True)]), minlength=n)[cand]
+            o = o + (weight[long][:, None] * (code[np.minimum(np.searchsorted(code, probe), len(code) - 1)] == probe)).sum(0)
+        elif n_long:  # so many candidates that reading the long lists through costs less than probing them
+            most = end[long] - left[long]
+            o = o + np.bincount(np.concatenate([lists[i:j] for i, j in zip(left[long].tolist(), end[long].tolist(), strict=True)]), np.repeat(weight[long], most), n)[cand].astype(np.int64)
         cand = cand[o * den >= num * (s + size[cand] - o)]
         links.append(np.stack([np.full(len(cand), q), cand], 1))
     return np.concatenate(links) if links else np.zeros((0, 2), np.int64)

@@ -140,6 +140,26 @@ def test_linked_sets_share_a_signature(common, a, b, seed, t):
     assert max(len(both := set(keys[slot == x].tolist()) & set(keys[slot == y].tolist())) - max(need[x], need[y], 1) for x in (0, 1) for y in (2, 3)) >= 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 12), min_size=1), st.integers(1, 3)), min_size=1, max_size=6), st.integers(1, 6))
+def test_heap_merge(lists, need):
+    want = {v: sum(w for x, w in lists if v in x) for v in range(13)}
+    want = sorted((v, c) for v, c in want.items() if c >= need)
+    assert list(zip(*jaccard.heap_merge([sorted(x) for x, _ in lists], [w for _, w in lists], need), strict=True)) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 9), min_size=1), min_size=2, max_size=12), st.sampled_from([(1, 2), (4, 5), (9, 10)]), st.integers(0, 5))
+def test_divide_skip(sets, share, queries):
+    num, den = share
+    a = [np.array(sorted(x), np.uint64) for x in sorted(sets, key=len)]
+    link = lambda x, y: den * len(set(a[x]) & set(a[y])) >= num * len(set(a[x]) | set(a[y]))
+    pairs = {(x, y) for x in range(len(a)) for y in range(x + 1, len(a)) if link(x, y)}
+    assert {tuple(sorted(p)) for p in jaccard.divide_skip(a, num, den).tolist()} == pairs
+    k = min(queries, len(a))
+    assert {tuple(p) for p in jaccard.divide_skip(a, num, den, k).tolist()} == {(x, y) for x in range(k) for y in range(k, len(a)) if link(x, y)}
+
+
 def removal_by_hand(rows, n):
     order = sorted(set(rows), key=lambda x: key(*x))
     first, marks = {}, {}
