@@ -6,18 +6,24 @@ from the vector. It assigns every row to its likeliest part; queries go to their
 most probable parts, as many as the sample needs for the wanted recall, and are
 reranked there with exact cosines in double precision.
 
-Only the sample (``SAMPLE`` vectors at most) and the model come to the driver. Parts are
+Parts grow with the square root of the table. Beyond ``TOP_PARTS`` of them each part is split once more in
+the same way, from a sample of its own rows and in a task of its own; rows and queries then go by the
+product of both classifiers' probabilities.
+
+Only samples (``SAMPLE`` vectors) and models (at most ``TOP_PARTS`` + 1) come to the driver or to one task. Parts are
 cut into blocks of at most ``block_rows`` rows and ``block_queries`` queries, so that a part holding a third of all rows
 is many tasks. Equal vectors of a block are scored once.
 
-Vectors that are null, zero, of another length than most sampled ones, or hold a
-null or non-finite component take no part, neither as queries nor as rows. Ties go to
+Vectors that are null, empty, zero, or hold a null or non-finite component take no part, neither as queries nor as rows;
+nor do those of another length than most of the table's. Components of any size count: vectors are scaled by
+a power of two first, so that norms neither overflow nor vanish. Ties go to
 the smaller id; rows with a null id take no part; of rows with equal ids the nearest counts. With
-fewer candidates than k all are returned. An empty table gives no rows.
+fewer candidates than k all are returned. An empty table, or one without a usable vector, gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from .common import prepare, stored
 
 SAMPLE = 6000
+TOP_PARTS = 256
+SUB_PARTS = 64
 NEIGHBOURS = 10
 HIDDEN = 128
 BLOCK_ROWS = 20_000
@@ -36,6 +45,11 @@ BLOCK_QUERIES = 5_000
 WANTED_RECALL = 0.97
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two, which puts their largest component between 0.5 and 1 and leaves cosines as they are, to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -113,6 +127,50 @@ class Router:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def log_probability(self, x: np.ndarray) -> np.ndarray:
+        z = self.scores(x)
+        z = z - z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+class Routers:
+    """The classifier of the table and, if parts are split, those of the parts; part p's sub-part s is number p + s * step."""
+
+    def __init__(self, top: Router, subs: dict[int, Router], step: int):
+        self.top, self.subs, self.step = top, subs, step
+        self.probes = top.probes * max((r.probes for r in subs.values()), default=1)
+
+    def route(self, x: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of each unit vector, likeliest first, and offsets: its home, and with ``ask`` all parts to search."""
+        top = self.top.log_probability(x)
+        order = np.argsort(-top, 1, kind="stable")
+        wide = np.where(ask, self.top.probes, 1)
+        row = np.repeat(np.arange(len(x)), wide)
+        part = order[row, np.arange(len(row)) - np.repeat(np.cumsum(wide) - wide, wide)]
+        if not self.subs:
+            return part, np.concatenate([[0], np.cumsum(wide)])
+        rows, parts, logs = [], [], []
+        for p in np.unique(part).tolist():
+            own = row[part == p]
+            sub = self.subs.get(p)
+            z = sub.log_probability(x[own]) if sub else np.zeros((len(own), 1))
+            rows.append(np.repeat(own, z.shape[1]))
+            parts.append(np.tile(p + np.arange(z.shape[1]) * self.step, len(own)))
+            logs.append((z + top[own, p][:, None]).ravel())
+        row, part, z = map(np.concatenate, (rows, parts, logs))
+        # the home of a row that doesn't ask is the likeliest sub-part of its likeliest part; the same goes for those that ask
+        first = part % self.step == order[row, 0]
+        home = np.lexsort((part, -z, ~first, row))
+        row, part, z = row[home], part[home], z[home]
+        begin = np.searchsorted(row, np.arange(len(x)))
+        lead = np.zeros(len(row), bool)
+        lead[begin] = True
+        by = np.lexsort((part, -z, ~lead, row))
+        nth = np.arange(len(row)) - begin[row]
+        keep = nth < np.where(ask, self.probes, 1)[row]
+        part, row = part[by][keep], row[keep]
+        return part, np.searchsorted(row, np.arange(len(x) + 1))
+
 
 def fit_router(x: np.ndarray, target: np.ndarray, epochs: int = 30, seed: int = 7) -> Router:
     """Cross-entropy on soft targets (own part and neighbours' parts) with Adam."""
@@ -164,20 +222,10 @@ def train(x: np.ndarray, parts: int, k: int) -> Router:
     return router
 
 
-def _matrix(col: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose vectors take part, and those vectors in double precision."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    size = np.array(col.value_lengths().fill_null(0))
-    use = np.flatnonzero(size == (dim if dim is not None else size.max(initial=0)))
-    if not len(use) or (dim or size.max()) == 0:
-        return np.zeros(0, np.int64), np.zeros((0, dim or 1))
-    flat = col.take(pa.array(use)).flatten().cast(pa.float64())
-    x = flat.to_numpy(zero_copy_only=False).reshape(len(use), -1)
-    with np.errstate(all="ignore"):
-        norm = (x * x).sum(1)
-    ok = np.isfinite(x).all(1) & np.isfinite(norm) & (norm > 0)
-    return use[ok], x[ok]
+def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+    """Usable vectors of one length as a matrix in double precision."""
+    col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,40 +264,63 @@ def best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int)
 def search(vectors: DataFrame, queries, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", parts: int | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """The k nearest rows found for each query: query_id, rank, vec_id, score. ``queries``: a condition on vec_id."""
     spark = vectors.sparkSession
+    prepare(spark)
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).where("vec_id is not null and e is not null")
+    v = v.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0))
     out = "query_id long, rank int, vec_id long, score double"
-    rows = v.count()
-    sample = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(rows, 1)))).select("e").toArrow()
+    most = v.groupBy(F.size("e").alias("dim")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("dim")).first()
+    if not most:
+        return spark.createDataFrame([], out)
+    dim, rows = most
+    v = v.where(F.size("e") == dim)
+
+    def sampled(df: DataFrame, share: float) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, share)))
+
+    sample = sampled(v, SAMPLE / rows).select("e").toArrow()
     if not sample.num_rows:
         sample = v.limit(SAMPLE).select("e").toArrow()  # a table too small for the hash to hit
-    size = np.array(sample.column(0).combine_chunks().value_lengths()) if sample.num_rows else np.zeros(0, np.int64)
-    size = size[size > 0]
-    if not len(size):
-        return spark.createDataFrame([], out)
-    dim = int(np.bincount(size).argmax())
-    _, x = _matrix(sample.column(0), dim)
-    if not len(x):
-        return spark.createDataFrame([], out)
     if parts is None:
         # as many parts as keeps a query's share of rows falling with the square root of the table
         parts = max(16, int(rows**0.5 / 4))
     # equal vectors say nothing new about the graph
-    router = spark.sparkContext.broadcast(train(unit(np.unique(x, axis=0)), parts, k))
-    routed = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("e", T.ArrayType(T.DoubleType())), T.StructField("parts", T.ArrayType(T.IntegerType()))])
+    top = train(unit(np.unique(scaled(_matrix(sample.column(0), dim)), axis=0)), min(parts, TOP_PARTS), k)
+    split = min(SUB_PARTS, 1 << (-(-parts // TOP_PARTS) - 1).bit_length())
+    subs = {}
+    if split > 1:
+        sent = spark.sparkContext.broadcast(top)
+
+        def homes(batches):
+            for b in batches:
+                x = scaled(_matrix(b.column(0), dim))
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.scores(unit(x)).argmax(1), pa.int32()), b.column(0)], names=["part", "e"])
+
+        def learn(rows: pa.Table) -> pa.Table:
+            x = unit(np.unique(scaled(_matrix(rows.column("e"), dim)), axis=0))[: 2 * SAMPLE]
+            return pa.table({"part": rows.column("part").slice(0, 1), "model": pa.array([pickle.dumps(train(x, split, k))], pa.binary())})
+
+        some = sampled(v, SAMPLE / rows * TOP_PARTS).select("e").mapInArrow(homes, "part int, e array<double>").distinct()
+        size = some.groupBy("part").count().withColumn("share", F.lit(float(SAMPLE)) / F.col("count")).drop("count")
+        # a part that many rows fall into has its sample thinned before it goes to one task
+        some = some.join(F.broadcast(size), "part").where(F.pmod(F.xxhash64("e"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("part", "e")
+        subs = {r.part: pickle.loads(bytes(r.model)) for r in some.groupBy("part").applyInArrow(learn, "part int, model binary").collect()}
+    router = spark.sparkContext.broadcast(Routers(top, subs, TOP_PARTS))
+    routed = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("e", T.ArrayType(T.DoubleType())), T.StructField("ask", T.BooleanType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
 
     def route(batches):
         r = router.value
         for b in batches:
-            use, m = _matrix(b.column(1), dim)
-            if len(use):
-                order = np.argsort(-r.scores(unit(m)), 1, kind="stable")[:, : r.probes].astype(np.int32)
-                take = pa.array(use)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), dim).cast(pa.list_(pa.float64())), pa.array(list(order), pa.list_(pa.int32()))], names=["vec_id", "e", "parts"])
+            if b.num_rows:
+                x = scaled(_matrix(b.column(1), dim))
+                part, off = r.route(unit(x), np.array(b.column(2), bool))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim), pa.int32()), pa.array(x.ravel())), b.column(2), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(part, pa.int32()))], names=["vec_id", "e", "ask", "parts"])
 
-    r = v.mapInArrow(route, routed)
+    # once: all that follows reads the routed table
+    r = stored(v.withColumn("ask", F.coalesce(queries(F.col("vec_id")), F.lit(False))).mapInArrow(route, routed))
     home = r.select("vec_id", "e", F.col("parts")[0].alias("part"))
-    ask = r.where(queries(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.explode("parts").alias("part"))
-    # blocks of each part: as many rows as there are parts (a few dozen)
+    ask = r.where("ask").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.explode("parts").alias("part"))
+    # blocks of each part: as many rows as there are parts, at most TOP_PARTS * SUB_PARTS
     n_rows = home.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("nb"))
     n_ask = ask.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block_queries).alias("nq"))
     grid = F.broadcast(n_rows.join(n_ask, "part"))
@@ -260,8 +331,7 @@ def search(vectors: DataFrame, queries, k: int = 5, vec_id: str = "vec_id", embe
     def rerank(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        _, m = _matrix(rows.column("e"), dim)
-        _, q = _matrix(asked.column("qe"), dim)
+        m, q = _matrix(rows.column("e"), dim), _matrix(asked.column("qe"), dim)
         ids, qid = rows.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
         a, b, c = best(q, qid, m, ids, k)
         return pa.table({"query_id": qid[a], "vec_id": ids[b], "score": c})

@@ -192,6 +192,35 @@ def test_nearest_neighbours(spark):
     assert same == [7, 1501, 1502, 1503, 1504]
 
 
+def test_split_parts(spark, monkeypatch):
+    """Parts split once more by classifiers of their own keep the recall, with far fewer rows scored."""
+    monkeypatch.setattr(ann, "TOP_PARTS", 8)
+    monkeypatch.setattr(ann, "SUB_PARTS", 8)
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((60, 16))
+    x = centres[np.arange(6000) % 60] + 0.5 * r.standard_normal((6000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for row in ann.search(df, lambda i: i % 50 == 0, parts=64).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    u = ann.unit(x)
+    near = u[::50] @ u.T
+    near[np.arange(120), np.arange(0, 6000, 50)] = -9
+    exact = np.argsort(-near, 1)[:, :5]
+    assert sum(len(got[50 * q] & set(e.tolist())) for q, e in enumerate(exact)) / 600 >= 0.9
+
+
+def test_vectors_of_any_size(spark):
+    """Norms that overflow or vanish, repeated ids, other columns and vectors of another length."""
+    rows = [(0, [1e200, 1.0]), (50, [1e-200, 1e-200]), (1, [1e308, 1e308]), (2, [5e-324, 0.0]), (3, [-1.0, 0.0]), (3, [0.0, 1.0]), (4, [float("inf"), 1.0]), (100, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "vec_id long, embedding array<double>, e int, parts int")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in ann.search(df, lambda i: i % 50 == 0).orderBy("query_id", "rank").collect()]
+    h = round(0.5**0.5, 12)
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, h), (0, 3, 50, h), (0, 4, 3, 0.0), (50, 1, 1, 1.0), (50, 2, 0, h), (50, 3, 2, h), (50, 4, 3, h)]
+    assert (ann.scaled(np.array([[3.0, -7.0]])) == [[3 / 8, -7 / 8]]).all()
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.search(df, lambda i: i % 50 == 0).orderBy("rank").collect()
