@@ -6,9 +6,11 @@ a chain of labels (main text or not) with transition weights is trained by condi
 labelled pages (``labelled_pages``, made here in many layouts) and decoded by Viterbi.
 
 Character references are decoded, white space inside a block becomes one space, blocks
-are joined in page order by two line feeds. Scripts, styles, comments and
+are joined in page order by two line feeds. Scripts, styles, templates, form controls, comments and
 the head are never blocks. Nulls: a null or empty page, or one without main text, gives an empty text. Repeated rows are each
-returned. Pages of any length are parsed in one pass; unclosed elements end with the page.
+returned, an empty table gives no rows, clashing output names get underscores. Pages of any length and nesting are parsed in one pass, in time
+proportional to their length; unclosed elements end with the page. Quotes in tags protect ">"; once a tag's
+quotes don't end, they protect nothing in the rest of the page.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ from pyspark.sql import types as T
 
 from .common import map_text
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "select", "button")}
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRS = re.compile(r"""((?:"[^"]*"|'[^']*'|[^>"'])*+)>""")
+_ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "template", "svg", "iframe", "select", "button")}
 #: What may lack an end tag; then only the start tag goes. A button or select ends at the next one too.
-_MAY_STAY_OPEN = frozenset(("noscript", "template", "svg", "iframe", "select", "button"))
+_MAY_STAY_OPEN = frozenset(("template", "svg", "iframe", "select", "button"))
 _NEXT = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in ("select", "button")}
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 # fixed values: HTML elements by role
-BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - {"body", "html", "head"}
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -43,49 +47,76 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta noscript script s
 SCOPE = frozenset("ul ol dl table article section div nav aside main body".split())
 
 
+class Element:
+    """An open element that counts: its tag, the features of its tag and attributes, and its parent."""
+
+    __slots__ = ("tag", "own", "parent", "seen")
+
+    def __init__(self, tag: str, own: tuple[str, ...], parent: Element | None):
+        self.tag, self.own, self.parent, self.seen = tag, own, parent, None
+
+    def all(self, known: frozenset | None) -> frozenset:
+        """The features of this element and its ancestors (of those known); elements that add nothing share their parent's."""
+        way, e = [], self
+        while e is not None and not (e.seen and e.seen[0] is known):
+            way.append(e)
+            e = e.parent
+        got = e.seen[1] if e is not None else frozenset()
+        for e in reversed(way):
+            more = [f for f in e.own if f not in got and (known is None or f in known)]
+            got = got.union(more) if more else got
+            e.seen = known, got
+        return got
+
+
 class Block:
-    """A leaf block: its text, its ancestors' features and how much of it is links."""
+    """A leaf block: its text, the element that it is in (or nothing) and how much of it is links."""
 
     __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple, linked: float):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, path: Element | None | tuple, linked: float):
+        self.text, self.path, self.linked = text, path or None, linked
 
 
-@lru_cache(200_000)
-def _entry(tag: str, attrs: str) -> tuple[str, ...]:
+def _words(tag: str, attrs: str) -> tuple[str, ...]:
     """Features of one element: its tag, and the words of its class, id, role and item property."""
     words = {tag}
-    for kind, a, b, c in _ATTR.findall(attrs):
+    for _, a, b, c in _ATTR.findall(attrs):
         for x in _NAME.findall(_html.unescape(a or b or c).lower()):
             if not x.isdigit():
                 words.add("." + x)
-        if kind.lower() in ("hidden",):
-            words.add(".hidden")
+    if _HIDDEN.search(attrs):
+        words.add(".hidden")
     return tuple(sorted(words))
 
 
+_short_words = lru_cache(50_000)(_words)
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Element | None]] = []
+    open_: dict[str, int] = {}
     out: list[Block] = []
     parts: list[str] = []
-    links = 0
-    in_link = 0
-    at, size = 0, len(page)
-    endless = set()  # elements without an end tag in the rest of the page
+    links = in_link = 0
+    at = scan = 0
+    size, last = len(page), page.rfind(">")
+    ends: dict[str, re.Match | None] = {}  # the next end tag of each raw element, as last found
+    quoted = True
 
     def flush():
         nonlocal parts, links
         if parts:
             t = _SPACE.sub(" ", "".join(parts)).strip()
-            if t:
-                out.append(Block(t, tuple(e for _, e in stack if e), min(1.0, links / len(t))))
+            if t and not any(tag == "head" for tag, _ in stack[:2]):
+                out.append(Block(t, stack[-1][1] if stack else None, min(1.0, links / len(t))))
             parts, links = [], 0
 
     def pop(k: int):
         nonlocal in_link
         for t, _ in stack[k:]:
+            open_[t] -= 1
             in_link -= t == "a"
         del stack[k:]
 
@@ -96,6 +127,16 @@ def blocks(page: str) -> list[Block]:
                 pop(k)
                 break
 
+    def close(tags: tuple[str, ...]):
+        """Ends the innermost open element of these that no sectioning element separates."""
+        if any(open_.get(t) for t in tags):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in tags:
+                    pop(k)
+                    break
+                if stack[k][0] in SCOPE:
+                    break
+
     def text(raw: str):
         nonlocal links
         if raw:
@@ -107,34 +148,53 @@ def blocks(page: str) -> list[Block]:
                 links += len(t.strip())
 
     while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
+        i = page.find("<", scan)
+        if i < 0 or i > last:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if page.startswith("<!--", i):
+            text(page[at:i])
+            end = page.find("-->", i + 4)
+            at = scan = end + 3 if end >= 0 else size
             continue
-        tag, attrs = name.lower(), m[3] if m[2] else m[6]
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in BLOCK_TAGS:
-                        flush()
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPE and tag not in BLOCK_TAGS:
-                    break
+        m = _TAG.match(page, i)
+        if not m:
+            if page[i + 1 : i + 2] not in ("!", "?", "/"):
+                scan = i + 1  # a "<" of the text
+                continue
+            text(page[at:i])
+            at = scan = page.index(">", i) + 1
+            continue
+        text(page[at:i])
+        got = _ATTRS.match(page, m.end()) if quoted else None
+        if got:
+            attrs, at = got[1], got.end()
+        else:
+            quoted = False
+            at = page.index(">", m.end()) + 1
+            attrs = page[m.end() : at - 1]
+        scan = at
+        tag = m[2].lower()
+        if m[1]:
+            if open_.get(tag):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        if tag in BLOCK_TAGS:
+                            flush()
+                        pop(k)
+                        break
+                    if stack[k][0] in SCOPE and tag not in BLOCK_TAGS:
+                        break
             continue
         if tag not in IN_HEAD:
             leave_head()
         if tag in _RAW_END and not attrs.endswith("/"):
-            end = None if tag in endless else _RAW_END[tag].search(page, at)
-            if not end and tag in _MAY_STAY_OPEN:
-                endless.add(tag)
-            elif not (tag in _NEXT and _NEXT[tag].search(page, at, end.start())):
-                at = end.end() if end else size
+            end = ends.get(tag)
+            if tag not in ends or (end and end.start() < at):
+                end = ends[tag] = _RAW_END[tag].search(page, at)
+            if end or tag not in _MAY_STAY_OPEN:
+                if not (end and tag in _NEXT and _NEXT[tag].search(page, at, end.start())):
+                    at = scan = end.end() if end else size
             if tag in ("textarea", "title", "select", "button"):
                 parts.append(" ")
             continue
@@ -144,37 +204,28 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
             if tag in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop(k)
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SAME.get(tag, ()):
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+                close(("p",))
+            if tag in SAME:
+                close(SAME[tag])
         if tag not in VOID_TAGS and not attrs.endswith("/"):
-            stack.append((tag, _entry(tag, attrs) if tag in BLOCK_TAGS or tag == "a" else ()))
+            within = stack[-1][1] if stack else None
+            if tag in BLOCK_TAGS or tag == "a":
+                within = Element(tag, (_short_words if len(attrs) < 300 else _words)(tag, attrs), within)
+            stack.append((tag, within))
+            open_[tag] = open_.get(tag, 0) + 1
             in_link += tag == "a"
     flush()
-    return [b for b in out if not any(e[-1] == "head" or "head" in e for e in b.path[:2])]
+    return out
 
 
 _END = frozenset(".!?…。\"'”’")
 
 
-def features(b: Block) -> list[str]:
-    """Ancestor and text features of a block."""
+def features(b: Block, known: frozenset | None = None) -> list[str]:
+    """Ancestor (of those known) and text features of a block."""
     out = ["bias"]
-    tags = set()
-    for e in b.path:
-        tags.update(e)
-    out += ["^" + t for t in tags if t not in ("html", "body")]
-    own = [x for x in (b.path[-1] if b.path else ()) if x[0] != "."]
-    out.append("own:" + (own[0] if own else ""))
+    out += ["^" + t for t in (b.path.all(known) if b.path else ()) if t not in ("html", "body")]
+    out.append("own:" + (b.path.tag if b.path else ""))
     words = b.text.count(" ") + 1
     out.append(f"words:{min(8, int(math.log2(words)))}")
     out.append(f"links:{int(b.linked * 4)}")
@@ -195,10 +246,13 @@ class Chain:
         self.weight: dict[str, float] = {}
         self.move = [[0.0, 0.0], [0.0, 0.0]]
         self.start = [0.0, 0.0]
+        self.known: frozenset | None = None
 
     def scores(self, page: list[Block]) -> list[float]:
         w = self.weight
-        return [sum(w.get(f, 0.0) for f in features(b)) for b in page]
+        if self.known is None:
+            self.known = frozenset(f[1:] for f in w if f[0] == "^")
+        return [sum(w.get(f, 0.0) for f in features(b, self.known)) for b in page]
 
     def decode(self, s: list[float]) -> list[int]:
         """Viterbi: the likeliest labels."""
@@ -277,7 +331,7 @@ class Chain:
 # ---- labelled pages -------------------------------------------------------------------------
 
 # fixed values: names that page authors give to containers
-MAIN_NAMES = ["content", "main-content", "post", "post-body", "entry-content", "article-body", "story", "article", "text", "page-content", "body-text"]
+MAIN_NAMES = ["content", "main-content", "main", "post", "post-body", "entry-content", "article-body", "story", "article", "text", "page-content", "body-text", "maincontent", "entry", "blog-post", "prose", "markdown-body", "single-post", "news-item", "documentation"]
 SIDE_NAMES = ["sidebar", "side", "related", "widget", "recommended", "popular", "tags", "share", "social", "newsletter", "promo", "breadcrumb", "toc"]
 AD_NAMES = ["ad", "ads", "advert", "banner", "sponsored", "ad-slot", "adbox"]
 NOTICE_NAMES = ["cookie-notice", "notice", "cookie", "consent", "alert", "modal", "popup", "disclaimer"]
@@ -287,7 +341,7 @@ HEAD_NAMES = ["header", "site-header", "masthead", "top", "branding"]
 FOOT_NAMES = ["footer", "site-footer", "bottom", "colophon", "copyright", "legal"]
 
 
-def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[str, list[int]]]:
+def labelled_pages(count: int = 600, seed: int = 3) -> list[tuple[str, list[int]]]:
     """Pages in many layouts with the label of each leaf block (1: main text), known by construction."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbg"
@@ -330,6 +384,11 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[str, list[int]
             else:
                 add(a + "".join(f"<p>{prose(1, 3)}</p>" for _ in range(n)) + b, *[0] * n)
 
+        def widget():
+            a, b = box(SIDE_NAMES, "aside")
+            n = rng.randint(1, 3)
+            add(a + "<table>" + "".join(f"<tr><td>{sentence(1, 3)}</td><td>{rng.randint(1, 999)}</td></tr>" for _ in range(n)) + "</table>" + b, *[0] * (2 * n))
+
         def ad():
             a, b = box(AD_NAMES)
             add(rng.choice([f"{a}{prose(1, 2)}{b}", f"{a}<p>{prose(1, 2)}</p>{b}"]), 0)
@@ -359,18 +418,32 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[str, list[int]
 
         def main():
             kind = rng.random()
-            a, b = ("<article>", "</article>") if kind < 0.45 else ("<main>", "</main>") if kind < 0.6 else ("<main><article>", "</article></main>") if kind < 0.7 else box(MAIN_NAMES)
+            a, b = ("<article>", "</article>") if kind < 0.38 else ("<main>", "</main>") if kind < 0.5 else ("<main><article>", "</article></main>") if kind < 0.58 else ("", "") if kind < 0.61 else (f'<div class="{word()}">', "</div>") if kind < 0.65 else box(MAIN_NAMES)
             add(a)
             if rng.random() < 0.85:
                 add(f"<h1>{sentence(1, 10)}</h1>", 1)
+            para = rng.choice(["p", "p", "p", "p", "div"])
+            inner = rng.random() < 0.15
+            add("<div>" if inner else "")
             for _ in range(rng.randint(0, 9)):
                 k = rng.random()
-                if k < 0.62:
-                    add(f"<p>{prose()}</p>", 1)
+                if k < 0.5:
+                    add(f"<{para}>{prose()}</{para}>", 1)
+                elif k < 0.53:
+                    n = rng.randint(1, 4)
+                    add("<table>" + "".join(f"<tr><th>{sentence(1, 3)}</th><td>{sentence(1, 8)}</td></tr>" for _ in range(n)) + "</table>", *[1] * (2 * n))
+                elif k < 0.56:
+                    add(f'<figure><img src="{word()}.png"><figcaption>{sentence(2, 12)}</figcaption></figure>', 1)
+                elif k < 0.59:
+                    n = rng.randint(1, 3)
+                    add("<dl>" + "".join(f"<dt>{sentence(1, 3)}</dt><dd>{sentence(2, 12)}</dd>" for _ in range(n)) + "</dl>", *[1] * (2 * n))
+                elif k < 0.62:
+                    add(rng.choice([f"<p hidden>{prose(1, 2)}</p>", f'<div style="display:none"><p>{prose(1, 2)}</p></div>', f"<noscript>{prose(1, 1)}</noscript>"]), 0)
                 elif k < 0.7:
-                    add(f"<p><b>{prose()}<br>", 1)
+                    add(f"<p><b>{prose()}<br>", 1) if para == "p" else add(f"<div><b>{prose()}</b><br></div>", 1)
                 elif k < 0.76:
-                    add(f"<h2>{sentence(1, 6)}</h2>", 1)
+                    h = rng.choice(["h2", "h2", "h3", "h3", "h4"])
+                    add(f"<{h}>{sentence(1, 6)}</{h}>", 1)
                 elif k < 0.82:
                     n = rng.randint(1, 4)
                     add("<ul>" + "".join(f"<li>{sentence(2, 10)}</li>" for _ in range(n)) + "</ul>", *[1] * n)
@@ -388,6 +461,7 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[str, list[int]
                     side()
                 else:
                     form()
+            add("</div>" if inner else "")
             if rng.random() < 0.08:
                 comments()
             add(b)
@@ -401,7 +475,7 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[str, list[int]
         wrap = rng.random() < 0.3
         add('<div class="container"><div class="row">' if wrap else "")
         main()
-        for f, p in ((side, 0.3), (ad, 0.2), (comments, 0.3), (form, 0.15), (notice, 0.1)):
+        for f, p in ((side, 0.3), (widget, 0.1), (ad, 0.2), (comments, 0.3), (form, 0.15), (notice, 0.1)):
             if rng.random() < p:
                 f()
         add("</div></div>" if wrap else "")

@@ -250,7 +250,41 @@ def test_html_head_without_end_tag(start):
     assert [b.text for b in html_text.blocks(page)] == ["Words of the article.", "More of it."]
 
 
-@pytest.mark.parametrize("tag", ["button", "select", "svg", "noscript", "template", "iframe"])
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<nav><a href=/>Home</a></nav><div id=main><div>A paragraph that stands in a plain div, with words.</div><div>Another such paragraph, also of some words.</div></div>", ["A paragraph that stands in a plain div, with words.", "Another such paragraph, also of some words."]),
+        ("<div class=story><h1>Title</h1><p>Some words that tell the story here.</p><table><tr><th>Year</th><td>Many things happened then.</td></tr></table><figure><img src=a><figcaption>What the picture shows us.</figcaption></figure></div>", ["Title", "Some words that tell the story here.", "Year", "Many things happened then.", "What the picture shows us."]),
+        ("<article><h1>Title</h1><p>Some words that tell the story here.</p><h3>A lesser heading</h3><p>And the rest of it follows below.</p></article>", ["Title", "Some words that tell the story here.", "A lesser heading", "And the rest of it follows below."]),
+        ("<article><p>Some words that tell the story here.</p><p hidden>Nobody is to see these words here.</p><p>And the rest of it follows below.</p></article>", ["Some words that tell the story here.", "And the rest of it follows below."]),
+        ("<article><dl><dt>Term</dt><dd>What the term means in a few words.</dd></dl></article><aside class=related><p>See this one too, it is good.</p></aside>", ["Term", "What the term means in a few words."]),
+    ],
+)
+def test_main_text_of_other_layouts(page, want):
+    assert html_text.main_text(f"<html><head><title>t</title></head><body>{page}</body></html>", html_text.trained()) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<p><b>", "<button>", '<a ">" ', "</section>", "<!", "<x y='", '<div class="c%d">x', "<!--", "<script>", "<li><span>x", "<select><option>x"])
+def test_parsing_takes_time_in_proportion(part):
+    import time
+
+    took = []
+    for size in (200_000, 1_000_000):
+        page = "".join(part % k if "%d" in part else part for k in range(size // len(part))) + ">"
+        began = time.process_time()
+        html_text.main_text(page, html_text.trained())
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5 and took[1] < 8
+
+
+def test_pages_of_an_empty_table_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "<article><p>Some words that tell the story here.</p></article>", "a", 7)], "page_id long, html string, text string, N_CHARS long")
+    got = html_text.extract(df)
+    assert got.columns == ["page_id", "html", "text", "N_CHARS", "text_", "n_chars_"] and got.first().text_ == "Some words that tell the story here."
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "template", "iframe"])
 def test_html_elements_without_end_tag(tag):
     page = f"<body><p>One.</p><{tag} id=x><p>Two.</p><{tag}><div>Three.</div>"
     assert [b.text for b in html_text.blocks(page)] == ["One.", "Two.", "Three."]
