@@ -1,13 +1,17 @@
 """License scan by canonical digest, with DataFrame functions only.
 
-A text is put in canonical form: A-Z lower-cased, copyright lines dropped,
+A text is put in canonical form: copyright lines dropped, A-Z lower-cased,
 equivalent spellings replaced, every run of punctuation and white space one
 space. The SHA-256 of the whole canonical text is hash-joined to the digests of known
 licenses. Lines that name a license are looked up in the same way among known notices.
+Callers may add texts of their own (``more``: kind, license_id, text).
+
+A copyright line names an owner or a year ("Copyright (c) 2020 X", "Copyright Jane Doe", "(c) 1999 X", "© X") or is the bare word; lines of a
+license that only begin with the word ("copyright notice ...", "COPYRIGHT HOLDERS ...", item "(c) You must ...") stay, so that wrapping doesn't matter.
 
 Nulls: a null text has no digest, no license and no notice; an empty text (or
 one of copyright lines only) has the digest of the empty string and no license. Repeated rows are
-each returned.
+each returned, an empty table gives no rows, long texts are digested whole. A new name that clashes with a kept column gets underscores.
 """
 
 from __future__ import annotations
@@ -45,54 +49,119 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
-LICENSES = {"MIT": MIT, "ISC": ISC, "0BSD": ZERO_BSD, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3, "Zlib": ZLIB}
-TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
-NOTICES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "Released under the Apache License 2.0."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0."],
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+LICENSES = {"MIT": MIT, "ISC": ISC, "0BSD": ZERO_BSD, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3, "Zlib": ZLIB, "Unlicense": UNLICENSE, "BSL-1.0": BSL, "Apache-2.0": APACHE_HEADER}
+# fixed values: digests of the canonical forms of long licenses' published texts
+DIGESTS = {
+    "Apache-2.0": ["4a6318c7afd8feed8c4463ea5ae0f2f609d433928a8b17f31104c8e7743de2c5"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
+    "GFDL-1.3": ["7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"],
+    "GPL-1.0": ["8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"],
+    "GPL-2.0": ["efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"],
+    "GPL-3.0": ["a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"],
+    "LGPL-2.1": ["4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"],
+    "MPL-2.0": ["4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6"],
 }
+# fixed values: titles, the first line of a license, and names that notices use
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License, Version 1.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL, version 2", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL, version 3", "GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+}
+#: How a line names a license.
+WORDINGS = ["Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "This project is licensed under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This software is licensed under the {}.", "This file is licensed under the {}.", "Distributed under the {}.", "License: {}"]
+
+
+def notices_of(license_id: str) -> list[str]:
+    """Lines that name the license."""
+    lines = [w.format(t) for t in [*TITLES[license_id], license_id] for w in WORDINGS] + [f"SPDX-License-Identifier: {license_id}"]
+    if license_id == "Apache-2.0":
+        lines.append('Licensed under the Apache License, Version 2.0 (the "License");')
+    return lines
+
+
 #: Equivalent spellings, replaced in this order in lower-case text.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("redistribution s", "redistributions"), ("http://", "https://"), ("&", " and ")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright [^a-z]|copyright:|\(c\)|©|all rights reserved)[^\n]*"
+_MARGIN = r"^[ \t*#/;%!>-]*"
+#: Lines that name an owner or a year, and lines that look so but belong to a license.
+COPYRIGHT_LINE = _MARGIN + r"(?:(?i:copyright)[ \t]*(?:(?i:\(c\)|&copy;|by[ \t])|©|:|[0-9]{4})|(?i:\(c\)|&copy;)[ \t]*(?:(?i:copyright)|[0-9]{4})|©|Copyright[ \t]+(?:[A-Z0-9<\[{(]|the[ \t])|(?:Copyright|(?i:all rights reserved))[. \t\r]*$)"
+NO_COPYRIGHT_LINE = _MARGIN + r"Copyright[ \t]+(?i:licen[cs]e|notice|law|act[ ,.]|holder|owner|statement|management|interest|disclaimer|term|and |or |the above|the copyright)"
 #: ASCII that is no letter or digit, and typographic quotes, dashes, dots and spaces.
 FILLER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2026}]+"
 NAMES_LICENSE = r"licen[cs]e"
 
 
 def canonical(text: Column) -> Column:
-    t = F.translate(text, UPPER, LOWER)
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(COPYRIGHT_LINE) | x.rlike(NO_COPYRIGHT_LINE))
+    t = F.translate(F.array_join(lines, "\n"), UPPER, LOWER)
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(t, FILLER, " "))
 
 
 def known_texts() -> list[tuple[str, str, str]]:
-    """(kind, license, text); a license counts with and without its title."""
-    rows = [("license", k, t) for k, t in LICENSES.items()] + [("license", k, f"{TITLES[k]}\n\n{t}") for k, t in LICENSES.items()]
-    return rows + [(kind, k, t) for k, ts in NOTICES.items() for t in ts for kind in ("license", "notice")]
+    """(kind, license, text); a license counts with and without its titles, a notice also as a whole text."""
+    rows = [("license", k, t) for k, t in LICENSES.items()] + [("license", k, f"{x}\n\n{t}") for k, t in LICENSES.items() for x in TITLES[k]]
+    return rows + [(kind, k, t) for k in TITLES for t in notices_of(k) for kind in ("license", "notice")]
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """Digests of the known texts: kind, license_id, digest."""
+def known(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """Digests of the known texts: kind, license_id, digest; of licenses with one digest the first counts."""
     rows = spark.createDataFrame(known_texts(), "kind string, license_id string, t string")
-    return rows.select("kind", "license_id", F.sha2(canonical(F.col("t")), 256).alias("digest")).distinct()
+    if more is not None:
+        rows = rows.union(more.select("kind", "license_id", F.col("text").alias("t")))
+    rows = rows.select("kind", "license_id", F.sha2(canonical(F.col("t")), 256).alias("digest"))
+    rows = rows.union(spark.createDataFrame([("license", k, d) for k, ds in DIGESTS.items() for d in ds], rows.schema))
+    return rows.groupBy("kind", "digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, more: DataFrame | None = None) -> DataFrame:
     """Adds: digest of the canonical text, license_id (null if unknown), notices (identifiers
     named by lines of the text, sorted, comma-joined) and n_notices (such lines).
 
-    Both look-ups are joins with a fixed table of a few dozen digests, so the
-    broadcast doesn't grow; no shuffle of the documents is needed.
+    Both look-ups are joins with a fixed table of some hundred digests (and the rows of ``more``: kind, "license" for
+    whole texts or "notice" for lines, license_id, text), so the broadcast doesn't grow; no shuffle of the documents is needed.
     """
     keep = docs.columns if keep is None else keep
-    k = known(docs.sparkSession)
+    k = known(docs.sparkSession, more)
     lines = F.filter(F.split(F.translate(F.col(text), UPPER, LOWER), "\n", -1), lambda x: x.rlike(NAMES_LICENSE))
     digests = F.transform(lines, lambda x: F.sha2(canonical(x), 256))
     kd, lid = fresh(docs, "sg_digest"), fresh(docs, "sg_license")
@@ -110,7 +179,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
 def _sql_canonical(x: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    t = f"regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), {q(COPYRIGHT_LINE)}, chr(10), 'g')"
+    t = f"translate(array_to_string(list_filter(string_split({x}, chr(10)), lambda l: not regexp_matches(l, {q(COPYRIGHT_LINE)}) or regexp_matches(l, {q(NO_COPYRIGHT_LINE)})), chr(10)), '{UPPER}', '{LOWER}')"
     for a, b in SPELLINGS:
         t = f"replace({t}, {q(a)}, {q(b)})"
     return f"trim(regexp_replace({t}, {q(FILLER)}, ' ', 'g'))"
@@ -119,8 +188,9 @@ def _sql_canonical(x: str) -> str:
 def scan_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in known_texts())
+    digests = "".join(f" union all select 'license', {q(k)}, {q(d)}" for k, ds in DIGESTS.items() for d in ds)
     return f"""
-with k as (select distinct kind, license_id, sha256({_sql_canonical('t')}) digest from (values {rows}) v(kind, license_id, t)),
+with k as (select kind, min(license_id) license_id, digest from (select kind, license_id, sha256({_sql_canonical('t')}) digest from (values {rows}) v(kind, license_id, t){digests}) group by kind, digest),
 d as (select doc_id, text, sha256({_sql_canonical('text')}) digest from documents),
 l as (select doc_id, unnest(string_split(translate(text, '{UPPER}', '{LOWER}'), chr(10))) line from documents),
 n as (select doc_id, string_agg(distinct license_id, ',' order by license_id) notices, count(*) n

@@ -21,6 +21,50 @@ def test_license_digests(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+# written by hand, without the module's expressions: text, license
+EXPECTED = [
+    ("Copyright Jane Doe 2020\n\n{mit}", "MIT"),
+    ("Copyright the contributors.\n\n{mit}", "MIT"),
+    ("The MIT License (MIT)\n\nCopyright (c) 2013-2014 A, B and C\n\n{mit}", "MIT"),
+    ("Copyright \n{mit}", "MIT"),
+    ("# MIT License\n#\n# © 2021 X\n# All rights reserved.\n#\n{mit}", "MIT"),
+    ("{mit} Copyright (c) 2020 X", None),
+    ("(c) You may not.\n\n{mit}", None),
+    ("(c) 1999 Someone\n{isc}", "ISC"),
+    ("ISC License (ISC)\nCopyright: Someone\n{isc}", "ISC"),
+    ("The Unlicense\n\n{free}", "Unlicense"),
+    ("Boost Software License - Version 1.0 - August 17th, 2003\n\n{boost}", "BSL-1.0"),
+    ("   Copyright 2019 The Authors\n\n   {apache}", "Apache-2.0"),
+    ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+    ("Released under the GNU General Public License v3.0.", "GPL-3.0"),
+    ("Released under the MIT License and another one.", None),
+]
+
+
+def test_expected_licenses(spark):
+    """MIT wrapped at the word "COPYRIGHT" as well: a line of a license may begin with it."""
+    texts = {"mit": licenses.MIT.replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"), "isc": licenses.ISC, "free": licenses.UNLICENSE.replace(" copyright", "\ncopyright"), "boost": licenses.BSL, "apache": licenses.APACHE_HEADER}
+    rows = [(i, t.format(**texts)) for i, (t, _) in enumerate(EXPECTED)]
+    rows += [(100, licenses.MIT + "\n" + "word " * 2_000_000), (101, "Our own words.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame([("license", "Own-1", "our OWN words"), ("notice", "Own-1", "Our license.")], "kind string, license_id string, text string")
+    got = {r.doc_id: r for r in licenses.scan(df.union(df), more=more).collect()}
+    assert [got[i].license_id for i in range(len(EXPECTED))] == [x for _, x in EXPECTED]
+    assert got[100].license_id is None and got[101].license_id == "Own-1"
+    assert licenses.scan(df.union(df)).count() == 2 * len(rows)
+
+
+@pytest.mark.parametrize(("name", "want"), [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_published_texts(spark, name, want):
+    path = f"/usr/share/common-licenses/{name}"
+    if not __import__("os").path.exists(path):
+        pytest.skip("no published license texts here")
+    with open(path) as f:
+        t = f.read()
+    df = spark.createDataFrame([(1, t), (2, t.replace("\n", "\r\n").upper().replace("COPYRIGHT (C)", "Copyright (C)"))], "doc_id long, text string")
+    assert licenses.scan(df).orderBy("doc_id").first().license_id == want
+
+
 def graded(n, seed, levels=2):
     """Texts whose words of one kind grow with the grade."""
     r = random.Random(seed)
