@@ -163,6 +163,32 @@ def test_language_identification(spark):
     assert {x.lang_pred for x in langid.identify(df, none).collect()} == {"und"}
 
 
+def test_many_languages_in_groups(spark, monkeypatch):
+    """Twenty languages in ten scripts: small tables; in groups the same results; clashing names, repeated rows and ties."""
+    r = random.Random(6)
+    starts = [0x61, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x10D0, 0x3041, 0xAC00]
+    words = {f"l{k:02d}": ["".join(chr(starts[k // 2] + r.randrange(20)) for _ in range(r.randint(2, 5))) for _ in range(40)] for k in range(20)}
+    rows = [(n, " ".join(r.choice(words[k]) for _ in range(60)), k) for n, k in enumerate(list(words) * 12)]
+    df = spark.createDataFrame([(*x, "s", 1.5) for x in rows + rows[-5:]], "doc_id long, text string, lang string, lang_pred string, score double")
+    trees = langid.train(df.where("doc_id < 200"))
+    assert trees.nbytes() < 20 << 20
+    got = langid.identify(df, trees)
+    assert got.columns == [*df.columns, "lang_pred_", "score_"] and got.count() == 245
+    one = {x.doc_id: (x.lang_pred_, x.score_) for x in got.collect()}
+    assert sum(one[n][0] == k for n, _, k in rows[200:]) >= 39
+    monkeypatch.setattr(langid, "GROUP_BYTES", trees.nbytes() // 3)
+    assert len(trees.groups(langid.GROUP_BYTES)) > 1
+    assert {x.doc_id: (x.lang_pred_, x.score_) for x in langid.identify(df, trees).collect()} == one
+    same = langid.Trees(["b", "c"], [[b"one text"], [b"one text"]])
+    assert {(x.lang_pred_, x.score_) for x in langid.identify(df, same).collect()} == {("b", 0.5)}
+
+
+def test_languages_of_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_BYTES", 20)
+    df = spark.createDataFrame([(1, "the cat sat on the mat and the hat", "en"), (2, "les chats", "fr"), (3, "les chats sont sur le toit rouge", "fr")], "doc_id long, text string, lang string")
+    assert langid.train(df).langs == ["en", "fr"] and langid.train(df.limit(0)).langs == []
+
+
 def test_main_text_on_unseen_layouts():
     wrong = total = 0
     for page, y in html_text.labelled_pages(120, seed=77):
