@@ -13,7 +13,8 @@ without a shuffle.
 
 Nulls: null and empty texts have no word features; rows with a null grade or id
 don't train; without labelled rows every document gets the lowest known grade
-(0) with tail probability 0.
+(0) with tail probability 0. Repeated rows are each graded alike; of several labels of one id the highest counts. An empty
+table gives no rows, long texts are graded whole, clashing output names get underscores.
 """
 
 from __future__ import annotations
@@ -102,14 +103,16 @@ class Ordinal:
     theta: np.ndarray
     weights: np.ndarray
 
-    def score(self, doc: np.ndarray, f: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Expected grade and P(grade is the highest) of each of n texts."""
+    def score(self, doc: np.ndarray, f: np.ndarray, n: int, tail: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Expected grade and P(grade >= tail) of each of n texts; the highest grade, if None."""
         if len(self.grades) < 2:
-            return np.full(n, float(self.grades[0]) if len(self.grades) else 0.0), np.zeros(n)
+            sure = len(self.grades) > 0 and tail is not None and self.grades[0] >= tail
+            return np.full(n, float(self.grades[0]) if len(self.grades) else 0.0), np.full(n, float(sure))
         z = np.bincount(doc, self.weights[f], n)
         at_most = _sigmoid(self.theta[None, :] - z[:, None])
         p = np.diff(np.concatenate([np.zeros((n, 1)), at_most, np.ones((n, 1))], 1), axis=1)
-        return p @ self.grades.astype(float), p[:, -1]
+        high = self.grades >= (self.grades[-1] if tail is None else tail)
+        return p @ self.grades.astype(float), p[:, high].sum(1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -191,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, features: str = "words",
     return fit_rows(doc, np.concatenate(xs) if xs else np.zeros(0, np.int32), np.array(ys), **options)
 
 
-def grade(docs: DataFrame, model: Ordinal, features: str = "words", text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("expected_grade", "p_top")) -> DataFrame:
-    """Adds the expected grade and the probability of the highest grade."""
+def grade(docs: DataFrame, model: Ordinal, features: str = "words", text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("expected_grade", "p_top"), tail: float | None = None) -> DataFrame:
+    """Adds the expected grade and the probability of at least the grade ``tail`` (the highest, if None)."""
     make = FEATURES[features]
     used = np.flatnonzero(model.weights)
     sent = docs.sparkSession.sparkContext.broadcast((model.grades, model.theta, used, model.weights[used]))
@@ -204,7 +207,7 @@ def grade(docs: DataFrame, model: Ordinal, features: str = "words", text: str =
         m = Ordinal(grades, theta, w)
 
         def f(raw, off, _):
-            e, p = m.score(*make(raw, off), len(off) - 1)
+            e, p = m.score(*make(raw, off), len(off) - 1, tail)
             return [pa.array(e), pa.array(p)]
 
         return f

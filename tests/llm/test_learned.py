@@ -92,6 +92,69 @@ def test_ordinal_grades(spark, levels):
     assert kept.columns == df.columns and kept.count() < 903
 
 
+def test_ordinal_fit_is_the_optimum():
+    """The penalised likelihood, written out anew, has no slope at the fit (or less than the penalty where a weight is 0)."""
+    import math
+
+    r = np.random.default_rng(8)
+    x = r.random((240, 7)) < 0.4
+    z = x @ np.array([1.5, -1.0, 0.8, 0.0, 0.0, 2.0, -0.5]) + r.logistic(size=240)
+    y = (z > 0.6).astype(int) + (z > 2.0)
+    doc, f = np.nonzero(x)
+    l1 = 2e-3
+    m = ordinal.fit_rows(doc, f, y, l1=l1, steps=20_000, least_docs=1, least_far=0.0)
+    count = [int((y == g).sum()) for g in range(3)]
+
+    def loss(theta, w):
+        total = 0.0
+        for i in range(240):
+            s = sum(w[j] for j in range(7) if x[i, j])
+            below = [0.0, *(1 / (1 + math.exp(-(t - s))) for t in theta), 1.0]
+            total -= math.log(below[y[i] + 1] - below[y[i]]) / 3 / count[y[i]]
+        return total
+
+    theta, w = m.theta.tolist(), m.weights[:7].tolist()
+    e = 1e-5
+    for k in range(2):
+        up, down = list(theta), list(theta)
+        up[k] += e
+        down[k] -= e
+        assert abs(loss(up, w) - loss(down, w)) / (2 * e) < 1e-3
+    for j in range(7):
+        up, down = list(w), list(w)
+        up[j] += e
+        down[j] -= e
+        slope = (loss(theta, up) - loss(theta, down)) / (2 * e)
+        assert abs(slope + l1 * np.sign(w[j])) < 1e-3 if w[j] else abs(slope) < l1 + 1e-3
+    expected, tail = m.score(doc, f, 240, tail=1)
+    s = x @ np.array(w)
+    at_least = [1 - 1 / (1 + np.exp(-(t - s))) for t in theta]
+    assert np.allclose(tail, at_least[0]) and np.allclose(expected, at_least[0] + at_least[1])
+    assert np.allclose(m.score(doc, f, 240)[1], at_least[1])
+
+
+@pytest.mark.parametrize(("grade", "features", "least"), [("quality", "quality", 0.97), ("toxic", "words", 0.92)])
+def test_ordinal_on_held_out_labels(spark, grade, features, least):
+    """Trained on the labelled documents of one half, by id, the other half's are graded right (mean over the grades)."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = ordinal.fit(docs, labels.where("doc_id % 2 = 0"), grade, features)
+    got = ordinal.grade(docs.join(labels.where("doc_id % 2 = 1"), "doc_id"), model, features, keep=["doc_id", grade]).toPandas()
+    right = (got.p_top >= 0.5) == (got[grade] == 1)
+    assert right.groupby(got[grade]).mean().mean() >= least
+
+
+def test_ordinal_odd_tables(spark):
+    """Clashing names, repeated rows, an empty table and a long text."""
+    df = spark.createDataFrame([(1, "vile " * 9, 0.5), (2, "good " * 9, 0.5), (2, "good " * 9, 0.5), (3, "good " * 3_000_000, 0.5)], "doc_id long, text string, P_TOP double")
+    model = ordinal.fit(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), "toxic", least_docs=1, least_far=0.0)
+    got = ordinal.grade(df, model)
+    assert got.columns == [*df.columns, "expected_grade", "p_top_"]
+    rows = sorted((r.doc_id, r.p_top_) for r in got.collect())
+    assert len(rows) == 4 and rows[1] == rows[2] and rows[0][1] > 0.5 > rows[1][1] and abs(rows[3][1] - rows[1][1]) < 1e-12
+    assert ordinal.grade(df.limit(0), model).count() == 0 and ordinal.reject(df, model).count() == 3
+
+
 def test_ordinal_without_labels(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     model = ordinal.fit(df, spark.createDataFrame([], "doc_id long, toxic int"), "toxic")
