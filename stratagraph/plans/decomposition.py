@@ -68,15 +68,21 @@ class Decomposition:
         size = self.edges.count()
         return {"input": self.path, "strategy": self.strategy, "vertices": s.n, "edges": size, "max_core": s.max_core, "avg_core": s.avg_core, **{k: round(v, 3) for k, v in self.times.items()}, "comment": self.comment}
 
+    def measure(self, repeats: int = 5) -> dict:
+        """Runs again and again: mean, least and most seconds, and the driver's JVM memory peak in MB (executors included on a local master)."""
+        took = []
+        for _ in range(repeats):
+            self.run()
+            took.append(self.times["decompose_s"])
+        pools = self.spark._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+        peak = sum(p.getPeakUsage().getUsed() for p in pools)
+        return {"repeats": repeats, "mean_s": round(sum(took) / len(took), 3), "min_s": round(min(took), 3), "max_s": round(max(took), 3), "peak_mb": round(peak / 2**20, 1)}
+
     def write_results(self, path: str, fmt: str | None = None) -> None:
+        """By extension, as in writers.write_results."""
         if self.cores is None:
             self.run()
-        if (fmt or path.rpartition(".")[2]) == "json":
-            writers.write_cores_json(self.cores, path)
-        elif (fmt or path.rpartition(".")[2]) in ("txt", "tsv"):
-            writers.write_text(self.cores.orderBy("v"), path)
-        else:
-            writers.write_parquet(self.cores, path)
+        writers.write_results(self.cores, path, fmt)
 
     def write_profile(self, path: str, append: bool = True) -> None:
         writers.write_profile(self.spark, self.profile(), path, append)

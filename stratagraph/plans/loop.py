@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> None:
-    """Takes the session's checkpoint folder; sets a local one only where none is named."""
+    """Takes the session's checkpoint folder; sets a local one only where none is named and the master is local, else it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (sc.master or "").split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratagraph-"))
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -355,3 +356,64 @@ def cores_json(spark, sf_dir):
     from .sources.writers import json_lines
 
     return json_lines(_cores(spark, sf_dir))
+
+
+def _round_trip(spark, e, ext):
+    """What comes back of a graph written in a format to the session's shared folder."""
+    from .sources import readers, writers
+
+    path = f"{spark.sparkContext.getCheckpointDir()}/io-{uuid.uuid4().hex}/g.{ext}"
+    writers.write_graph(e, path)
+    return readers.read_graph(spark, path)
+
+
+def _io(name: str, ext: str) -> None:
+    def f(spark, sf_dir):
+        return _round_trip(spark, _graph(spark, sf_dir), ext)
+
+    f.__name__ = name
+    query("select src, dst from a")(f)
+
+
+for _name, _ext in (("io_text", "txt"), ("io_text_gz", "txt.gz"), ("io_text_zip", "zip"), ("io_header_text", "edges"), ("io_mtx", "mtx"), ("io_mtx_gz", "mtx.gz"), ("io_mtx_zip", "mtx.zip"), ("io_adjlist", "adjlist"), ("io_npz", "npz"), ("io_parquet", "parquet")):
+    _io(_name, _ext)
+
+
+@query(ORACLES["prepare_input"].removeprefix(GRAPH))
+def io_csr(spark, sf_dir):
+    """The densely numbered graph through the CSR text cache."""
+    return _round_trip(spark, cl.prepare_input(_raw(spark, sf_dir))[0], "csr")
+
+
+@query("select (select max(greatest(src, dst)) from a) + 1 n")
+def io_header_vertices(spark, sf_dir):
+    """The number of ids in the header of a text file."""
+    from .sources import readers, writers
+
+    e = _graph(spark, sf_dir)
+    path = f"{spark.sparkContext.getCheckpointDir()}/io-{uuid.uuid4().hex}/g.edges"
+    writers.write_graph(e, path)
+    return readers.read_vertices(spark, path).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(CORES + "select v, core from c where core > 0")
+def io_cores_json(spark, sf_dir):
+    """Core numbers written as one JSON object and read line by line."""
+    from .sources import writers
+
+    c = _cores(spark, sf_dir)
+    path = f"{spark.sparkContext.getCheckpointDir()}/io-{uuid.uuid4().hex}/cores.json"
+    writers.write_results(c, path)
+    x = r'^,?"(-?\d+)": (\d+)$'
+    return spark.read.text(path).where(F.col("value").rlike(x)).select(F.regexp_extract("value", x, 1).cast("long").alias("v"), F.regexp_extract("value", x, 2).cast("int").alias("core"))
+
+
+@query(CORES + "select v, core from c")
+def io_cores_mtx(spark, sf_dir):
+    """Core numbers written as MatrixMarket entries and read back."""
+    from .sources import readers, writers
+
+    c = _cores(spark, sf_dir)
+    path = f"{spark.sparkContext.getCheckpointDir()}/io-{uuid.uuid4().hex}/cores.mtx"
+    writers.write_results(c, path)
+    return readers.read_graph(spark, path).select(F.col("src").alias("v"), F.col("dst").cast("int").alias("core"))

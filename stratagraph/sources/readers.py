@@ -6,9 +6,11 @@ per file on an executor through the binaryFile source. Inputs are never changed.
 
 from __future__ import annotations
 
+import gzip
 import io
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,27 +40,36 @@ def read_mtx(spark: SparkSession, path: str) -> DataFrame:
     """MatrixMarket: comments, then one size line of three integers, then entries (a value after them is ignored).
 
     The size line is the first line of a file that is no comment, found by its
-    offset in the file, so files may be split.
+    offset in the file, so files may be split. Of several files where some have a banner, the
+    others are the further parts of one text and have no size line.
     """
     lines = spark.read.text(path, wholetext=False).withColumn("f", F.col("_metadata.file_path")).withColumn("at", F.col("_metadata.file_block_start")).withColumn("k", F.monotonically_increasing_id())
-    data = lines.where(~F.ltrim("value").startswith("%") & (F.trim("value") != ""))
-    head = data.groupBy("f").agg(F.min(F.struct("at", "k")).alias("h"))
-    body = data.join(F.broadcast(head), "f").where((F.col("at") != F.col("h.at")) | (F.col("k") != F.col("h.k")))
-    return _split(body.select("value"))
+    comment = F.ltrim("value").startswith("%")
+    files = lines.groupBy("f").agg(F.min(F.when(~comment & (F.trim("value") != ""), F.struct("at", "k"))).alias("h"), F.max(F.lower("value").startswith("%%matrixmarket")).alias("banner"))
+    banners = files.agg(F.max("banner")).first()[0]
+    head = files.where("banner") if banners else files
+    body = lines.where(~comment & (F.trim("value") != "")).join(F.broadcast(head.select("f", "h")), "f", "left")
+    return _split(body.where(F.col("h").isNull() | (F.col("at") != F.col("h.at")) | (F.col("k") != F.col("h.k"))).select("value"))
 
 
-def read_adjlist(spark: SparkSession, path: str) -> DataFrame:
-    """Lines `v n1 n2 ...`."""
+def _neighbours(lines: DataFrame) -> DataFrame:
+    """Edges of lines `v n1 n2 ...`."""
     x = F.transform(F.filter(F.split(F.trim("value"), r"\s+"), lambda s: s != ""), lambda s: s.try_cast("bigint"))
-    lines = spark.read.text(path).where(~F.ltrim("value").startswith("#")).select(x.alias("x")).where("size(x) > 1")
+    lines = lines.where(~F.ltrim("value").startswith("#")).select(x.alias("x")).where("size(x) > 1")
     return lines.select(F.col("x")[0].alias("src"), F.explode(F.expr("slice(x, 2, size(x) - 1)")).alias("dst")).where("src is not null and dst is not null")
 
 
+def read_adjlist(spark: SparkSession, path: str) -> DataFrame:
+    """Lines `v n1 n2 ...`."""
+    return _neighbours(spark.read.text(path))
+
+
 def _binary(spark: SparkSession, path: str, load) -> DataFrame:
     def run(frames):
         for pdf in frames:
             for content in pdf["content"]:
-                src, dst = load(bytes(content))
+                content = bytes(content)
+                src, dst = load(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
                 for i in range(0, len(src), 100_000):
                     yield pd.DataFrame({"src": src[i : i + 100_000].astype("int64"), "dst": dst[i : i + 100_000].astype("int64")})
 
@@ -69,8 +80,6 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
     """NumPy archives with arrays src and dst."""
 
     def load(content):
-        import numpy as np
-
         with np.load(io.BytesIO(content)) as z:
             return z["src"], z["dst"]
 
@@ -94,7 +103,7 @@ def read_hdf5(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """A `.zip` of exactly one text member."""
+    """A `.zip` of exactly one member, read by the member's extension: MatrixMarket, adjacency lists, a NumPy archive, or an edge list."""
 
     def run(frames):
         for pdf in frames:
@@ -103,25 +112,34 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
                     names = z.namelist()
                     if len(names) != 1:
                         raise ValueError(f"the archive holds {len(names)} members, not one")
+                    kind = names[0].rpartition(".")[2].lower()
                     with z.open(names[0]) as f:
-                        lines: list[str] = []
+                        if kind == "npz":
+                            with np.load(io.BytesIO(f.read())) as arrays:
+                                lines = (f"{a} {b}" for a, b in zip(arrays["src"].tolist(), arrays["dst"].tolist(), strict=True))
+                                yield pd.DataFrame({"kind": "txt", "value": list(lines)})
+                            continue
+                        held: list[str] = []
+                        sized = kind != "mtx"  # a size line comes before the entries
                         for line in io.TextIOWrapper(f, "utf-8"):
-                            lines.append(line)
-                            if len(lines) == 50_000:
-                                yield pd.DataFrame({"value": lines})
-                                lines = []
-                        yield pd.DataFrame({"value": lines})
+                            if not sized and line.strip() and not line.lstrip().startswith("%"):
+                                sized = True
+                                continue
+                            held.append(line)
+                            if len(held) == 50_000:
+                                yield pd.DataFrame({"kind": kind, "value": held})
+                                held = []
+                        yield pd.DataFrame({"kind": kind, "value": held}, dtype=object)
 
-    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
-    return _split(text.where(~F.substring(F.ltrim("value"), 1, 1).isin("#", "%")))
+    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "kind string, value string")
+    edges = _split(text.where((F.col("kind") != "adjlist") & ~F.substring(F.ltrim("value"), 1, 1).isin("#", "%")))
+    return edges.unionByName(_neighbours(text.where("kind = 'adjlist'")))
 
 
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
     """The text cache `V E degrees offsets neighbours` (white space between numbers), a whole file at a time."""
 
     def load(content):
-        import numpy as np
-
         x = np.array(content.split(), np.int64)
         v, e = int(x[0]), int(x[1])
         off = x[2 + v : 3 + 2 * v]
@@ -136,12 +154,15 @@ def read_query_graphs(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("size(x) >= 2").select("query", F.col("x")[0].cast("long").alias("src"), F.col("x")[1].cast("long").alias("dst"))
 
 
-READERS = {"txt": read_text, "csv": read_text, "gz": read_text, "edges": read_text, "mtx": read_mtx, "npz": read_npz, "h5": read_hdf5, "hdf5": read_hdf5, "zip": read_zip, "adjlist": read_adjlist, "csr": read_csr}
+READERS = {"txt": read_text, "csv": read_text, "edges": read_text, "mtx": read_mtx, "npz": read_npz, "h5": read_hdf5, "hdf5": read_hdf5, "zip": read_zip, "adjlist": read_adjlist, "csr": read_csr}
 
 
 def read_graph(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Reads by format, or by extension; a path without a known one is Parquet with columns src and dst."""
-    fmt = fmt or path.rstrip("/").rpartition(".")[2].lower()
+    """Reads by format, or by extension; after `.gz` the extension before it counts (an edge list, if there is none). A path without a known one is Parquet with columns src and dst."""
+    name = path.rstrip("/").rpartition("/")[2].lower().split(".")
+    if (fmt or name[-1]) == "gz":
+        fmt = name[-2] if len(name) > 2 and name[-2] in READERS else "txt"
+    fmt = fmt or name[-1]
     if fmt in READERS:
         return READERS[fmt](spark, path)
     return spark.read.parquet(path).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))

@@ -36,7 +36,7 @@ def test_text_forms(spark, tmp_path):
 
 def test_every_format_gives_the_same_graph(spark, tmp_path):
     e = spark.createDataFrame(EDGES, "src long, dst long")
-    for ext in ("txt", "mtx", "npz", "parquet"):
+    for ext in ("txt", "txt.gz", "zip", "edges", "mtx", "mtx.gz", "mtx.zip", "npz", "adjlist", "parquet"):
         path = str(tmp_path / f"g.{ext}")
         writers.write_graph(e, path)
         assert rows(readers.read_graph(spark, path)) == EDGES, ext
@@ -50,6 +50,71 @@ def test_every_format_gives_the_same_graph(spark, tmp_path):
     assert rows(readers.read_graph(spark, str(p))) == rows(cl.clean(e))
 
 
+def test_csr_round_trip_with_isolated_ids(spark, tmp_path):
+    e = cl.clean(spark.createDataFrame([*EDGES, (9, 8)], "src long, dst long"))
+    path = str(tmp_path / "g.csr")
+    writers.write_graph(e, path)
+    text = " ".join(open(f"{path}/{f}").read() for f in os.listdir(path) if f.startswith("part")).split()
+    assert text[:2] == ["10", "14"] and text[2:12] == ["2", "3", "2", "3", "0", "0", "2", "0", "1", "1"] and text[22] == "14"
+    assert rows(readers.read_graph(spark, path)) == rows(e)
+
+
+def test_part_files_in_order(spark, tmp_path, monkeypatch):
+    """Texts of many part files read as one, the banner and size line being in the first."""
+    monkeypatch.setattr(writers, "ONE_FILE_ROWS", 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    e = spark.createDataFrame([(i, i + 1) for i in range(500)], "src long, dst long").repartition(7)
+    for ext in ("mtx", "mtx.gz", "edges"):
+        path = str(tmp_path / f"g.{ext}")
+        writers.write_graph(e, path)
+        parts = sorted(f for f in os.listdir(path) if f.startswith("part"))
+        assert len(parts) > 1 and rows(readers.read_graph(spark, path)) == rows(e)
+        if ext == "edges":
+            text = "".join(open(f"{path}/{f}").read() for f in parts)
+            assert text == "# 501\n" + "".join(f"{i} {i + 1}\n" for i in range(500))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_archives_have_a_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "ARRAY_ROWS", 3)
+    e = spark.createDataFrame(EDGES, "src long, dst long")
+    for ext in ("npz", "zip", "csr"):
+        with pytest.raises(ValueError, match="too many"):
+            writers.write_graph(e, str(tmp_path / f"g.{ext}"))
+
+
+def test_results_by_extension(spark, tmp_path):
+    c = spark.createDataFrame([(3, 2), (1, 0), (2, 5)], "v long, core int")
+    writers.write_results(c, str(tmp_path / "r.npz"))
+    with np.load(tmp_path / "r.npz") as z:
+        assert z["N"].tolist() == [1, 2, 3] and z["K"].tolist() == [0, 5, 2]
+    writers.write_results(c, str(tmp_path / "r.mtx"))
+    assert rows(readers.read_graph(spark, str(tmp_path / "r.mtx"))) == [(1, 0), (2, 5), (3, 2)]
+    writers.write_results(c, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 3
+    with pytest.raises(ValueError, match="xyz"):
+        writers.write_results(c, str(tmp_path / "r.xyz"))
+
+
+def test_zip_of_lists_and_arrays(spark, tmp_path):
+    (tmp_path / "g.adjlist").write_text("# c\n0 6\n1 2 3\n2 3\n3 0\n6 1\n7\n")
+    np.savez(tmp_path / "a.npz", src=np.array([a for a, _ in EDGES]), dst=np.array([b for _, b in EDGES]))
+    for name in ("g.adjlist", "a.npz"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.write(tmp_path / name, name)
+        assert rows(readers.read_graph(spark, str(tmp_path / f"{name}.zip"))) == EDGES
+    with gzip.open(tmp_path / "a.npz.gz", "wb") as f:
+        f.write((tmp_path / "a.npz").read_bytes())
+    assert rows(readers.read_graph(spark, str(tmp_path / "a.npz.gz"))) == EDGES
+
+
+def test_repeated_runs(spark, tmp_path):
+    p = tmp_path / "g.txt"
+    p.write_text("0 1\n1 2\n2 0\n")
+    m = Decomposition(spark, str(p), strategy="local").measure(2)
+    assert m["repeats"] == 2 and 0 < m["min_s"] <= m["mean_s"] <= m["max_s"] and m["peak_mb"] > 1
+
+
 def test_header_keeps_isolated_vertices(spark, tmp_path):
     from stratagraph.operators.degree import degrees
 
