@@ -211,7 +211,7 @@ def best_fit_decreasing(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.nd
 
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, group_rows: int | None = None, with_ids: bool = False) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, an array)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     kind = d.schema["doc_id"].dataType
     fields = [T.StructField("doc_id", kind)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
@@ -243,7 +243,9 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     cut = flat_text(d, "t", task, T.StructType(fields), PIECE_BYTES)
     group_rows = group_rows or (GROUP_ROWS_WITH_IDS if with_ids else GROUP_ROWS)
     groups = max(1, -(-docs.count() // group_rows))
-    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    # ids travel as bytes and leave as an array, in the same task: one Python worker at a time
+    given = [T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in cut.schema.fields]
+    schema = T.StructType([*given, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def bins(batches):
         held = [b for b in batches if b.num_rows]
@@ -255,7 +257,13 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         number = (TaskContext.get().partitionId() << 32) + window
         table = table.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
         del held
-        yield from table.to_batches(max_chunksize=BATCH_WITH_IDS if with_ids else 20_000)
+        for b in table.to_batches(max_chunksize=BATCH_WITH_IDS if with_ids else 20_000):
+            if with_ids:
+                k = b.schema.get_field_index("ids")
+                data = b.column(k).to_pylist()
+                arrays = ragged(np.frombuffer(b"".join(data), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]), pa.int32())
+                b = pa.RecordBatch.from_arrays([arrays if i == k else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
+            yield b
         del table
         give_back()
 
@@ -265,13 +273,5 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
 
 
 def with_id_arrays(pieces: DataFrame) -> DataFrame:
-    """Turns the binary ids of ``pack(with_ids=True)`` into an array<int> column."""
-
-    def run(batches):
-        for b in batches:
-            k = b.schema.get_field_index("ids")
-            data = b.column(k).to_pylist()
-            arr = ragged(np.frombuffer(b"".join(data), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([arr if i == k else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
-
-    return pieces.mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in pieces.schema]))
+    """The pieces as they are: ``pack`` gives arrays itself."""
+    return pieces
