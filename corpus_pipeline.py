@@ -54,7 +54,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into windows of 2048 tokens: one row a piece, with its ids."""
     prepare(spark)
-    return packing.with_id_arrays(packing.pack(docs, tokenizer_path(), with_ids=True))
+    return packing.pack(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("packing", pack)]
