@@ -270,8 +270,3 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     # pieces (small rows: ids only if asked for) are dealt once; a total order makes a repeated task give the same numbers
     dealt = cut.withColumn("g", F.xxhash64("doc_id", "start", "ids_crc32"))
     return dealt.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(bins, schema)
-
-
-def with_id_arrays(pieces: DataFrame) -> DataFrame:
-    """The pieces as they are: ``pack`` gives arrays itself."""
-    return pieces

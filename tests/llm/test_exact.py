@@ -333,7 +333,7 @@ def test_packing(docs, corpus, nothing, spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    pieces = packing.with_id_arrays(packing.pack(docs, tokenizer_path(), size=64, group_rows=20, with_ids=True)).collect()
+    pieces = packing.pack(docs, tokenizer_path(), size=64, group_rows=20, with_ids=True).collect()
     by = {}
     for p in pieces:
         assert p.length == len(p.ids) and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
