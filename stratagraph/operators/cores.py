@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loop import numbered, settle
+from ..plans.loop import BROADCAST_ROWS, Dealt, Rounds, numbered, settle
 from .clean import relabel
-from .degree import degrees, hindex_round
+from .degree import degrees, hindex_of, hindex_of_counts
 from .expand import induced
 
 LOCAL_EDGES = 4_000_000
@@ -46,56 +46,66 @@ def core_numbers(e: DataFrame, strategy: str = "auto", isolated: DataFrame | Non
 
 
 def _hindex(e: DataFrame, max_rounds: int) -> DataFrame:
-    # the edges stay dealt by the side that meets the estimates: a round moves estimates, not edges
-    e = e.repartition("dst").persist()
+    """Estimates of few vertices are broadcast to edges dealt by source: a round has no shuffle but that of hubs' counts.
+    Else the edges stay dealt by the side that meets the estimates: a round moves estimates, not edges."""
+    tables, e = Rounds(e.sparkSession), settle(e)
+    est, seen = tables.keep(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("est")), n=F.count(F.lit(1)), edges=F.sum("est"))
+    n, changed = seen["n"], None
+    small = n <= BROADCAST_ROWS
+    dealt = Dealt(e, "src" if small else "dst", seen["edges"] or 0)
     try:
-        est = settle(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("est")))
-        n = est.count()
-        changed = None
         for _ in range(max_rounds):
-            part = e
-            if changed is not None:
-                hit = e.join(changed.select(F.col("v").alias("dst")), "dst", "left_semi").select("src").distinct()
-                part = e.join(hit, "src", "left_semi")
-            h = hindex_round(part, est)
-            both = settle(est.join(h, "v", "left").select("v", F.least("est", F.coalesce("h", "est")).alias("est"), F.col("est").alias("old")))
-            moved = both.where("est < old").count()
+            near = est.select(F.col("v").alias("dst"), F.col("est").alias("ne"))
+            if small:
+                c = dealt.edges.join(F.broadcast(near), "dst").groupBy("src", "lot", "hub", "ne").agg(F.count(F.lit(1)).alias("c"))
+                h = hindex_of_counts(c.where("not hub") if dealt.has_hubs else c, "src", "lot")
+                if dealt.has_hubs:
+                    h = h.unionByName(hindex_of_counts(c.where("hub").groupBy("src", "ne").agg(F.sum("c").alias("c")), "src"))
+                both = h.join(F.broadcast(est), "v")
+            else:
+                part = dealt.join(near)
+                if changed is not None:
+                    part = part.join(dealt.join(changed).select("src").distinct(), "src", "left_semi")
+                both = est.join(hindex_of(part), "v", "left")
+            both, seen = tables.keep(both.select("v", F.least("est", F.coalesce("h", "est")).alias("est"), F.col("est").alias("old")), moved=F.count_if(F.col("est") < F.col("old")))
             est = both.select("v", "est")
-            if not moved:
-                return est.select("v", F.col("est").cast("int").alias("core"))
-            changed = both.where("est < old").select("v") if moved * 10 < n else None
+            if not seen["moved"]:
+                return settle(est.select("v", F.col("est").cast("int").alias("core")))
+            changed = both.where("est < old").select(F.col("v").alias("dst")) if seen["moved"] * 10 < n else None
         raise RuntimeError("estimates did not settle")
     finally:
-        e.unpersist()
+        dealt.unpersist()
+        tables.clear()
 
 
 def peel(e: DataFrame, compact_below: float = 0.0, max_rounds: int = 1_000_000) -> DataFrame:
     """(v, core, round): level-synchronous deletion; round counts from 1 within a level."""
-    e = e.repartition("src").persist()
-    state = settle(degrees(e))
-    n = alive = state.count()
-    gone, level, r = [], -1, 0
+    tables, e = Rounds(e.sparkSession), settle(e)
+    dealt = Dealt(e, "src", e.count())
+    figures = {"alive": F.count(F.lit(1)), "least": F.min("deg")}
     try:
+        state, seen = tables.keep(degrees(e), **figures)
+        n, gone, level, r = seen["alive"], [], -1, 0
         for _ in range(max_rounds):
-            if not alive:
+            if not seen["alive"]:
                 break
-            least = state.agg(F.min("deg")).first()[0]
-            level, r = (least, 1) if least > level else (level, r + 1)
+            level, r = (seen["least"], 1) if seen["least"] > level else (level, r + 1)
             front = state.where(F.col("deg") <= level).select("v")
             gone.append(front.withColumn("core", F.lit(int(level))).withColumn("round", F.lit(r)))
-            hits = front.join(e.select(F.col("src").alias("v"), "dst"), "v").groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("hits"))
-            state = settle(state.where(F.col("deg") > level).join(hits, "v", "left").select("v", (F.col("deg") - F.coalesce("hits", F.lit(0))).alias("deg")))
+            hits = dealt.join(front.select(F.col("v").alias("src"))).groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("hits"))
+            rest = state.where(F.col("deg") > level).join(hits, "v", "left").select("v", (F.col("deg") - F.coalesce("hits", F.lit(0))).alias("deg"))
+            state, seen = tables.keep(rest, **figures)
             if len(gone) >= 16:
                 gone = [settle(_union(gone))]
-            left = state.count()
+            left = seen["alive"]
             if compact_below and left and left < compact_below * n:
-                small = settle(induced(e, state))
-                e.unpersist()
-                e, n = small.repartition("src").persist(), left
-            alive = left
-        return settle(_union(gone)) if gone else state.select("v", F.lit(0).alias("core"), F.lit(0).alias("round"))
+                few = settle(induced(dealt.edges.select("src", "dst"), state))
+                dealt.unpersist()
+                dealt, n = Dealt(few, "src", few.count()), left
+        return settle(_union(gone)) if gone else settle(state.select("v", F.lit(0).alias("core"), F.lit(0).alias("round")))
     finally:
-        e.unpersist()
+        dealt.unpersist()
+        tables.clear()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

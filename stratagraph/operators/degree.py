@@ -57,9 +57,17 @@ def hindex_round(e: DataFrame, est: DataFrame) -> DataFrame:
     Neighbours are first counted by estimate, which combines on the map side: a
     hub becomes at most as many rows as there are different estimates.
     """
-    n = est.select(F.col("v").alias("dst"), F.col("est").alias("ne"))
-    c = e.join(n, "dst").groupBy("src", "ne").agg(F.count(F.lit(1)).alias("c"))
+    return hindex_of(e.join(est.select(F.col("v").alias("dst"), F.col("est").alias("ne")), "dst"))
+
+
+def hindex_of(near: DataFrame) -> DataFrame:
+    """hindex_round from edges (src, ne) that hold their neighbour's estimate."""
+    return hindex_of_counts(near.groupBy("src", "ne").agg(F.count(F.lit(1)).alias("c")), "src")
+
+
+def hindex_of_counts(c: DataFrame, *keys: str) -> DataFrame:
+    """(v, h) from the number c of a vertex's neighbours of each estimate ne; one row for each key."""
     runs = F.array_sort(F.collect_list(F.struct((-F.col("ne")).alias("k"), F.col("c").alias("c"))))
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("h"))
     step = lambda a, x: F.struct((a.seen + x.c).alias("seen"), F.greatest(a.h, F.least(-x.k, a.seen + x.c)).alias("h"))
-    return c.groupBy(F.col("src").alias("v")).agg(F.aggregate(runs, start, step, lambda a: a.h).alias("h"))
+    return c.groupBy(*keys).agg(F.aggregate(runs, start, step, lambda a: a.h).alias("h")).select(F.col("src").alias("v"), "h")

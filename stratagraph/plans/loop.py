@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +25,59 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """The tables of an iteration in the shared checkpoint folder: each written by one job, which also gives
+    aggregates of its rows (counted once a result task, so a lost executor doesn't matter); all deleted by ``clear``."""
+
+    def __init__(self, spark: SparkSession):
+        prepare(spark)
+        self.spark, self.at, self.number = spark, f"{spark.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        path = f"{self.at}/{self.number}"
+        self.number += 1
+        df.observe(seen, *[c.alias(k) for k, c in aggregates.items()]).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get
+
+    def clear(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of a few numbers each that may be broadcast; beyond, joins are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+class Dealt:
+    """Edges dealt by one end and kept, the edges of a hub in several lots.
+
+    A vertex of more than ``most`` edges (at least 100,000, and so many that such vertices are fewer than BROADCAST_ROWS) has a
+    lot for each ``most`` of them; what is joined to the edges by ``spread`` goes to all lots of its vertex.
+    """
+
+    def __init__(self, e: DataFrame, key: str, edges: int, most: int = 100_000):
+        other = "dst" if key == "src" else "src"
+        most = max(most, -(-edges // BROADCAST_ROWS))
+        hubs = e.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("lots")).where("lots > 1")
+        self.key, self.hubs = key, settle(hubs)
+        self.has_hubs = self.hubs.limit(1).count() > 0
+        lot = F.pmod(F.xxhash64(other), F.coalesce("lots", F.lit(1)))
+        self.edges = e.join(F.broadcast(self.hubs), key, "left").select("src", "dst", lot.alias("lot"), F.col("lots").isNotNull().alias("hub")).repartition(key, "lot").persist()
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows with a column named like the key, once for each lot of it."""
+        lots = F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1)
+        return df.join(F.broadcast(self.hubs), self.key, "left").select(*df.columns, F.explode(lots).alias("lot"))
+
+    def join(self, df: DataFrame) -> DataFrame:
+        """Edges with the columns of the frame's row for their key."""
+        return self.edges.join(self.spread(df), [self.key, "lot"]).drop("lot", "hub")
+
+    def unpersist(self) -> None:
+        self.edges.unpersist()
+
+
 def numbered(df: DataFrame, *order: Column | str, name: str = "idx") -> DataFrame:
     """Numbers rows from 0 in a total order without gathering them in one partition.
 

@@ -13,7 +13,7 @@ from .operators import clean as cl
 from .operators import cliques, cores
 from .operators import degree as dg
 from .operators import expand as ex
-from .plans.loop import prepare
+from .plans.loop import prepare, settle
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,7 +300,7 @@ k as (select [src, dst] c, list_intersect(x.ns, y.ns) b from e join n x on x.v =
 
 def _purchases(spark, sf_dir):
     prepare(spark)
-    return cl.clean(tables.co_purchase(spark, sf_dir))
+    return settle(cl.clean(tables.co_purchase(spark, sf_dir)))
 
 
 @query(PURCHASE + "select count(*) n from k where len(b) = 0")
@@ -325,8 +325,8 @@ s as (select a, b from e union all select b, a from e)
 def common_neighbours(spark, sf_dir):
     """For each co-purchase edge, how many triangles it is in."""
     prepare(spark)
-    pairs = tables.co_purchase(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    e = cl.clean(pairs.toDF("src", "dst"))
+    pairs = settle(tables.co_purchase(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    e = settle(cl.clean(pairs.toDF("src", "dst")))
     return ex.common_neighbours(e, pairs).select("a", "b", F.size("both").cast("long").alias("n"))
 
 
@@ -334,8 +334,8 @@ def common_neighbours(spark, sf_dir):
 def neighbour_difference(spark, sf_dir):
     """For each co-purchase edge, the first end's neighbours that the second one doesn't have."""
     prepare(spark)
-    pairs = tables.co_purchase(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    e = cl.clean(pairs.toDF("src", "dst"))
+    pairs = settle(tables.co_purchase(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    e = settle(cl.clean(pairs.toDF("src", "dst")))
     return ex.neighbour_difference(e, pairs).select("a", "b", F.size("only").cast("long").alias("n"))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratagraph.operators import clean as cl
 from stratagraph.operators import cliques, cores
@@ -189,3 +190,40 @@ def test_neighbour_sets(spark):
     e = cl.clean(frame(spark, [(1, 2), (1, 3), (2, 3), (1, 4)]))
     pairs = spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")
     assert {(r.a, r.b): r.only for r in ex.neighbour_difference(e, pairs).collect()} == {(1, 2): [4], (2, 1): []}
+
+
+def test_hubs_are_dealt_in_lots(spark):
+    """A star with a clique: the hub's edges go to several lots, and nothing is lost or doubled."""
+    from stratagraph.plans.loop import Dealt
+
+    star = [(0, i) for i in range(1, 60)] + [(a, b) for a in range(1, 5) for b in range(a + 1, 5)]
+    e = cl.clean(spark.createDataFrame(star, "src long, dst long"))
+    for key in ("src", "dst"):
+        d = Dealt(e, key, e.count(), most=7)
+        assert d.edges.where(f"{key} = 0").select("lot").distinct().count() > 4
+        v = e.select(key).distinct().withColumn("w", F.col(key) * 2)
+        got = d.join(v)
+        assert sorted((r.src, r.dst) for r in got.collect()) == sorted((r.src, r.dst) for r in e.collect()) and got.where(f"w <> {key} * 2").count() == 0
+        d.unpersist()
+    want = {v: 4 if v < 5 else 1 for v in range(60)}
+    for strategy in ("hindex", "peel", "compacting", "local"):
+        assert {r.v: r.core for r in cores.core_numbers(e, strategy).collect()} == want, strategy
+
+
+def test_large_estimates_are_not_broadcast(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(cores, "BROADCAST_ROWS", 3)
+    r = random.Random(5)
+    e = cl.clean(spark.createDataFrame([(r.randrange(40), r.randrange(40)) for _ in range(150)], "src long, dst long"))
+    assert {x.v: x.core for x in cores.core_numbers(e, "hindex").collect()} == {x.v: x.core for x in cores.core_numbers(e, "local").collect()}
+
+
+def test_pairs_with_hubs(spark):
+    star = [(0, i) for i in range(1, 30)] + [(1, 2), (2, 3)]
+    e = cl.clean(spark.createDataFrame(star, "src long, dst long"))
+    pairs = spark.createDataFrame([(0, 1), (0, 5), (1, 3), (2, 0), (7, 99)], "a long, b long")
+    both = {(r.a, r.b): r.both for r in ex.common_neighbours(e, pairs).collect()}
+    assert both == {(0, 1): [2], (0, 5): [], (1, 3): [0, 2], (2, 0): [1, 3]}
+    only = {(r.a, r.b): r.only for r in ex.neighbour_difference(e, pairs).collect()}
+    assert only[(0, 1)] == list(range(3, 30)) and only[(1, 3)] == [] and only[(2, 0)] == []
