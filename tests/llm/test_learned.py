@@ -161,6 +161,26 @@ def test_ordinal_without_labels(spark):
     assert ordinal.grade(df, model).first()[2:] == (0.0, 0.0) and ordinal.reject(df, model).count() == 1
 
 
+def test_texts_of_tens_of_megabytes(spark):
+    """Batches are cut by bytes: a dozen texts of 20 MB in one partition pass through a task one after another."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from stratagraph.llm import common
+
+    common.prepare(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= common.BATCH_BYTES
+    df = spark.range(12).coalesce(1).select("id", F.repeat(F.lit("word "), 4_000_000).alias("text"))
+
+    def task():
+        import pyarrow as pa
+
+        return lambda raw, off, rows: [pa.array(np.diff(off)), pa.array([rows.num_rows] * rows.num_rows, pa.int64())]
+
+    got = common.map_text(df, "text", task, [T.StructField("n", T.LongType()), T.StructField("rows", T.LongType())], ["id"]).collect()
+    assert sorted(r.id for r in got) == list(range(12)) and {r.n for r in got} == {20_000_000} and {r["rows"] for r in got} == {1}
+
+
 def test_quality_features_cover_whole_texts():
     off, raw = string_buffers(__import__("pyarrow").array(["a b c " * 400 + "tail###", None, ""]))
     doc, f = ordinal.quality_features(raw, off)
