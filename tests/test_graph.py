@@ -154,9 +154,11 @@ def test_cliques_against_brute_force(spark, seed):
             if all(b in near[a] for a, b in itertools.combinations(c, 2)) and not any(all(u in near[v] for v in c) for u in near if u not in c):
                 want.add(c)
     order = cores.degeneracy_order(cores.local_peel(e))
-    back = {r.ord: r.v for r in order.collect()}
-    got = [tuple(sorted(back[m] for m in r.members)) for r in cliques.maximal_cliques(e, order).collect()]
+    place = {r.v: r.ord for r in order.collect()}
+    rows = cliques.maximal_cliques(e, order).collect()
+    got = [tuple(r.members) for r in rows]
     assert len(got) == len(set(got)) and set(got) == want
+    assert all(r.root == min(r.members, key=place.get) and r.size == len(r.members) for r in rows)
     assert cliques.clique_count(e, order).first().n == len(want)
 
 
@@ -177,7 +179,7 @@ def test_peel_on_arrays(edges):
 @given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), max_size=30))
 def test_bron_kerbosch(edges):
     near = {u: {b for a, b in edges if a == u != b} | {a for a, b in edges if b == u != a} for u in range(9)}
-    got = [tuple(sorted(c)) for c in cliques.bron_kerbosch(set(near), set(), near)]
+    got = [tuple(sorted(c)) for c in cliques.bron_kerbosch([sum(1 << v for v in near[u]) for u in range(9)])]
     want = set()
     for k in range(1, 10):
         for c in itertools.combinations(range(9), k):
@@ -186,6 +188,29 @@ def test_bron_kerbosch(edges):
     assert sorted(got) == sorted(want)
 
 
+def test_cliques_of_a_hub(spark):
+    """A vertex joined to all, with more earlier neighbours than different sets of them: one row a set, cliques in several batches."""
+    core = [(a, b) for a in range(1, 5) for b in range(a + 1, 5)]
+    e = cl.clean(frame(spark, core + [(0, v) for v in range(1, 45)] + [(1, v) for v in range(5, 25)]))
+    order = cores.degeneracy_order(cores.local_peel(e))
+    got = {tuple(r.members) for r in cliques.maximal_cliques(e, order, out_members=5).collect()}
+    assert got == {(0, 1, 2, 3, 4), *((0, 1, v) for v in range(5, 25)), *((0, v) for v in range(25, 45))}
+    assert cliques._subproblems(e, order).where("a is null").groupBy("root").count().agg(F.max("count")).first()[0] < 8
+    none = e.where("src < 0")
+    assert cliques.clique_count(none, order).first().n == 0 and cliques.maximal_cliques(none, order).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), max_size=30), st.integers(1, 8))
+def test_bron_kerbosch_with_vertices_elsewhere(edges, inside):
+    """Of the maximal cliques of a whole graph, those that lie inside a part of it."""
+    near = {u: {b for a, b in edges if a == u != b} | {a for a, b in edges if b == u != a} for u in range(9)}
+    mask = [sum(1 << v for v in near[u] if v < inside) for u in range(9)]
+    got = {tuple(sorted(c)) for c in cliques.bron_kerbosch(mask[:inside], mask[inside:])}
+    whole = {tuple(sorted(c)) for c in cliques.bron_kerbosch([sum(1 << v for v in near[u]) for u in range(9)])}
+    assert got == {c for c in whole if all(v < inside for v in c)}
+
+
 def test_neighbour_sets(spark):
     e = cl.clean(frame(spark, [(1, 2), (1, 3), (2, 3), (1, 4)]))
     pairs = spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")
