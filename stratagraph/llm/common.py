@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -161,15 +162,17 @@ def small_or_not(ids: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(ids) if n <= BROADCAST_ROWS else ids
 
 
-_STORED: list[str] = []
+#: The tables of the innermost ``scratch`` of this thread of control; None outside of one.
+_RUN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables of a run", default=None)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes the frame as a table in the shared checkpoint folder and reads it back; ``discard`` deletes such tables."""
+    """Writes the frame as a table in the shared checkpoint folder and reads it back; ``scratch`` deletes such tables."""
     prepare(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    if (run := _RUN.get()) is not None:
+        run.append(path)
     df.write.parquet(path)
-    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -180,10 +183,16 @@ def delete(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def discard(spark: SparkSession) -> None:
-    """Deletes the tables stored so far: for when the results that were made from them have been written."""
-    while _STORED:
-        delete(spark, _STORED.pop())
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables stored within it and no others: for work whose result is written before it ends."""
+    mine: list[str] = []
+    token = _RUN.set(mine)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        delete(spark, *mine)
 
 
 def with_group(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, least: int = 1000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, jaccard, langid, licenses, ordinal, packing, substring
+from . import ann, decontaminate, fim, html_text, jaccard, langid, licenses, ordinal, packing, substring
 from .common import read
 
 
@@ -104,6 +104,21 @@ i as (select doc_id, count(distinct item) n, string_agg(distinct item, ',' order
 select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(i.n, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join x using (doc_id) left join i using (doc_id)"""
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fim.transform(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore("output", "form"), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+with d as (select doc_id, coalesce(text, '') text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) x from documents),
+t as (select *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') w from d),
+h as (select *, len(w) n, cast('0x' || x[1:8] as bigint) h1, cast('0x' || x[9:16] as bigint) h2, cast('0x' || x[17:24] as bigint) h3, cast('0x' || x[25:32] as bigint) h4 from t),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+      case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end form from h),
+p as (select *, array_to_string(w[1 : a], '') p, array_to_string(w[a + 1 : b], '') m, array_to_string(w[b + 1 : n], '') s from f)
+select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(text) restored_sha256 from p"""
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -115,5 +130,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
-ORACLES = {"op1_license_scan": licenses.scan_sql(), "op2_jaccard_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES = {"op1_license_scan": licenses.scan_sql(), "op2_jaccard_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
