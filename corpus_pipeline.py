@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from stratagraph.llm import decontaminate, jaccard, ordinal, packing, substring
-from stratagraph.llm.common import delete, discard, prepare
+from stratagraph.llm.common import delete, prepare, scratch
 from stratagraph.llm.queries import tokenizer_path
 
 
@@ -66,16 +66,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage gives is written to the shared checkpoint folder and read by the next.
 
-    What a stage has read goes, with its working tables, once its own rows are written; the last stage's stay.
+    What a stage has read goes, with its own working tables, once its rows are written; the tables of other frames of the session stay.
     """
     prepare(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
-        discard(spark)
         if before:
             delete(spark, before)
         before = at
