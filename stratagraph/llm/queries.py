@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, fim, html_text, jaccard, langid, licenses, ordinal, packing, substring
+from . import ann, decontaminate, fim, html_text, jaccard, langid, licenses, mixing, ordinal, packing, substring
 from .common import read
 
 
@@ -119,6 +119,25 @@ p as (select *, array_to_string(w[1 : a], '') p, array_to_string(w[a + 1 : b], '
 select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
 sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(text) restored_sha256 from p"""
 
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+
+
+# a source is full if its part is above its top when all that fill up before it are; these come first by size over weight
+OP12_SQL = r"""
+with d as (select doc_id, source, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) size, sha256('42:' || coalesce(cast(doc_id as varchar), ''))[1:15] k from documents),
+s as (select source, sum(size)::bigint source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 w from d group by source),
+o as (select *, sum(source_size) over () t, sum(w) over () ws, coalesce(sum(3 * source_size) over r, 0) given, coalesce(sum(w) over r, 0) gone from s
+      window r as (order by source_size / w, source nulls last rows between unbounded preceding and 1 preceding)),
+f as (select *, 3 * source_size * (ws - gone) < w * (t - given) filled from o),
+x as (select *, sum(case when filled then 3 * source_size else 0 end) over () g, sum(case when filled then 0 else w end) over () v from f),
+y as (select source, source_size, case when filled then (3 * source_size)::double else (w * (t - g))::double / v::double end target from x),
+z as (select *, floor(target + 0.5)::bigint budget from y),
+p as (select *, coalesce(sum(size) over (partition by source order by k, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint before from d)
+select doc_id, size, source_size, target, case when source_size = 0 then 0 else budget // source_size * size + greatest(0, least(size, budget % source_size - before)) end::bigint taken
+from p join z on p.source is not distinct from z.source"""
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -131,5 +150,6 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_decontaminate": op10_decontaminate,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_mix_sources": op12_mix_sources,
 }
-ORACLES = {"op1_license_scan": licenses.scan_sql(), "op2_jaccard_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLES = {"op1_license_scan": licenses.scan_sql(), "op2_jaccard_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_mix_sources": OP12_SQL}

@@ -77,6 +77,16 @@ def test_run_on_empty_tables_and_clashing_columns(spark, folder, tmp_path):
     assert not [x for x in os.listdir(left) if x.startswith("table-")]
 
 
+def test_other_frames_live_through_a_run(spark, folder):
+    """Frames built before a run, on working tables of their own, still count after it."""
+    sf = "/root/testdata/sf0.001"
+    alive = {n: queries.QUERIES[n](spark, sf) for n in ("op2_jaccard_join", "op3_substring_dedup", "op4_nearest_neighbours", "op12_mix_sources")}
+    corpus_pipeline.run(spark, folder)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert {k: f.count() for k, f in alive.items() if k != "op4_nearest_neighbours"} == {"op2_jaccard_join": n, "op3_substring_dedup": n, "op12_mix_sources": n}
+    assert alive["op4_nearest_neighbours"].count() > 0
+
+
 def test_queries_have_their_columns(spark):
     want = {
         "op2_jaccard_join": ["doc_id", "n_shingles", "component_id"],

@@ -12,7 +12,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratagraph.llm import fim
+from pyspark.sql import functions as F
+
+from stratagraph.llm import fim, mixing
 
 TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,3 +69,85 @@ def test_fim_chunks(texts, size, block):
     at = [(d, k) for d, w in enumerate(tokens) for k in range(1, len(w) + 1)]
     doc, ranks = np.array([d for d, _ in at], np.int64), np.array([k for _, k in at], np.int64)
     assert fim.cut_places(raw, off, ranks, doc, counted, size).tolist() == [len("".join(tokens[d][:k])) for d, k in at]
+
+
+def mix_by_hand(rows, weights=(1, 2, 3), most=3, seed=42):
+    """{row number: (size, source size, target, taken)} of rows (id, text, source); targets by exact fractions."""
+    from fractions import Fraction
+
+    size = [len(re.findall(WORD, t or "")) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    of = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    full = {}
+    while True:
+        left, weight = Fraction(sum(size) - sum(full.values())), sum(w[s] for s in names if s not in full)
+        over = [s for s in names if s not in full and w[s] * left / weight > most * of[s]]
+        if not over:
+            break
+        full |= {s: most * of[s] for s in over}
+    goal = {s: Fraction(full[s]) if s in full else w[s] * left / weight for s in names}
+    out = {}
+    for s in names:
+        budget = int(goal[s] + Fraction(1, 2))
+        mine = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (hashlib.sha256(f"{seed}:{'' if rows[k][0] is None else rows[k][0]}".encode()).hexdigest()[:15], rows[k][0] is not None, rows[k][0] or 0, size[k]))
+        taken = dict.fromkeys(mine, 0)
+        while budget and of[s]:
+            for k in mine:
+                n = min(size[k], budget)
+                taken[k] += n
+                budget -= n
+        out |= {k: (size[k], of[s], float(goal[s]), taken[k]) for k in mine}
+    return out
+
+
+MIXES = [
+    [(i, "w " * (i % 7), f"s{i % 4}") for i in range(60)],
+    [(i, "w " * (1 + i % 5), "hot" if i % 3 else f"s{i}") for i in range(90)],
+    [(1, "a b", "x"), (1, "a b", "x"), (1, "a b", "x"), (None, "c", None), (None, "c", None), (2, None, "y"), (3, "", "z"), (4, "é ü \U0001f600", "\U0001f600"), (5, "k " * 40, "￮"), (6, "l " * 3, "")],
+    [(9, "only one source here", "s")],
+    [(1, None, "a"), (2, " ", None)],
+]
+
+
+@pytest.mark.parametrize("rows", MIXES)
+@pytest.mark.parametrize("few", [10_000, 1])
+def test_mix(spark, monkeypatch, rows, few):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    docs = spark.createDataFrame([(*r, "o", 3) for r in rows], "doc_id long, text string, source string, size string, mix_docs long").repartition(3)
+    got = mixing.mix(docs, keep=["doc_id", "text", "source", "size", "mix_docs"])
+    assert got.columns == ["doc_id", "text", "source", "size", "mix_docs", "size_", "source_size", "target", "epochs", "part"]
+    got = got.withColumn("taken", F.col("epochs") * F.col("size_") + F.col("part")).collect()
+    want = mix_by_hand(rows)
+    assert sorted(((r.doc_id, r.text, r.source, r.size_, r.source_size, r.target, r.taken) for r in got), key=repr) == sorted(((*rows[k], *v) for k, v in want.items()), key=repr)
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        assert sum(r.taken for r in mine) == int(mine[0].target + 0.5) if mine[0].source_size else all(r.taken == 0 for r in mine)
+    assert all(r.taken <= 3 * r.size_ for r in got)
+
+
+def test_mix_gives_texts(spark):
+    rows = [(1, " one  two\nthree ", "a"), (2, "vier fünf", "b"), (3, "sechs", "b"), (4, None, "b")]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=["doc_id", "text"])
+    plan = {r.doc_id: r for r in mixed.collect()}
+    out = defaultdict(list)
+    for r in mixing.emit(mixed).orderBy("copy").collect():
+        out[r.doc_id].append(r.text)
+    for i, t, _ in rows:
+        assert out[i][: plan[i].epochs] == [t] * plan[i].epochs
+        assert [len(re.findall(WORD, x)) for x in out[i][plan[i].epochs :]] == ([plan[i].part] if plan[i].part else [])
+        assert all((t or "").startswith(x or "") for x in out[i])
+
+
+def test_mix_spreads_a_hot_source_and_equal_rows(spark, nothing):
+    """One source holds nearly all rows and one row a third of them: the sort deals both to several tasks, and a second run gives the same."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    docs = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "'a b c' as text", "if(id % 100 = 1, 's', 'hot') as source")
+    a = mixing.mix(docs)
+    sums = a.groupBy("source_size").agg(F.sum(F.col("epochs") * F.col("size") + F.col("part")).alias("n"), F.max("target").alias("t")).collect()
+    assert len(sums) == 2 and all(r.n == int(r.t + 0.5) for r in sums)
+    again = mixing.mix(docs)
+    assert a.exceptAll(again).count() == 0 and again.exceptAll(a).count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    none = nothing.selectExpr("*", "'a' as source")
+    assert mixing.mix(none).collect() == []
