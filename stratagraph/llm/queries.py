@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, fim, html_text, jaccard, langid, licenses, mixing, ordinal, packing, substring
+from . import ann, conversations, decontaminate, fim, html_text, jaccard, langid, licenses, mixing, ordinal, packing, substring
 from .common import read
 
 
@@ -138,6 +138,34 @@ p as (select *, coalesce(sum(size) over (partition by source order by k, doc_id
 select doc_id, size, source_size, target, case when source_size = 0 then 0 else budget // source_size * size + greatest(0, least(size, budget % source_size - before)) end::bigint taken
 from p join z on p.source is not distinct from z.source"""
 
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return conversations.digests(conversations.repair(rows, present="present"))
+
+
+# crc32 bit by bit; then, from the last row backwards, for each role before a row (0 none, 1 s, 2 u, 3 a) the least (cost, audit) with its lines
+OP13_SQL = r"""
+with recursive c as (select conv_id, coalesce('=' || conv_id, '') key, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') w from conversations),
+h as (select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(w, ''), lambda x: ascii(x)::bigint)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 z from c),
+d as (select conv_id, key, turn, case when z = 4 then 'user' else role end as role, case z when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case when z = 3 then [0, 1] else [0] end) copy from h where z <> 0),
+r as (select *, row_number() over (partition by key order by turn nulls first, role, sha256(text), copy) - 1 i, left(role, 1) l from d),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when row_number() over (partition by key, role, text order by i) > 1 then 2
+  when not contains('.!?', regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1)) then 3 else 0 end fault, coalesce(lag(l) over (partition by key order by i) || l not in ('su', 'ua', 'au'), false) bad,
+  case l when 's' then 1 when 'u' then 2 when 'a' then 3 else 0 end own from r),
+n as (select conv_id, key, count(f.i) n, coalesce(max(f.turn) - min(f.turn) + 1 - count(distinct f.turn), 0) gaps, count(*) filter (fault = 1) blank, count(*) filter (fault = 2) duplicate, count(*) filter (fault = 3) truncated, count(*) filter (bad) illegal
+  from (select distinct conv_id, key from c) left join (select * exclude (conv_id) from f) f using (key) group by conv_id, key),
+g(q, t, many, line) as (values (0, 1, 0, ''), (0, 2, 0, ''), (0, 3, 1, E'user:\n'), (1, 2, 0, ''), (1, 3, 1, E'user:\n'), (2, 2, 1, E'assistant:\n'), (2, 3, 0, ''), (3, 2, 0, ''), (3, 3, 1, E'user:\n')),
+b(q, cost, audit, body) as (values (0, 0, '', ''), (1, 4, 'II', E'user:\nassistant:\n'), (2, 2, 'I', E'assistant:\n'), (3, 0, '', '')),
+e as (select key, n i, q, {'cost': cost::bigint, 'audit': audit, 'body': body} x from n, b union all
+  select key, i, q, min(x) from (
+    select e.key, f.i, e.q, {'cost': x.cost + 3, 'audit': 'D' || x.audit, 'body': x.body} x from e join f on f.key = e.key and f.i = e.i - 1
+    union all
+    select e.key, f.i, g.q, {'cost': x.cost + 2 * many + case when own = t then 0 else 2 end + case when fault = 3 then 1 else 0 end, 'audit': repeat('I', many) || case when own = t then 'K' else 'R' end || x.audit,
+      'body': line || case when own = t then role when t = 2 then 'user' else 'assistant' end || ':' || text || E'\n' || x.body}
+    from e join f on f.key = e.key and f.i = e.i - 1 join g on g.t = e.q where fault in (0, 3) and (own = t or t > 1)) group by key, i, q)
+select conv_id, gaps, blank, duplicate, truncated, illegal, x.cost as cost, x.audit as audit, sha256(left(x.body, greatest(length(x.body) - 1, 0))) repaired_sha256 from n join e using (key) where e.i = 0 and e.q = 0"""
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -151,5 +179,6 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_mix_sources": op12_mix_sources,
+    "op13_repair_conversations": op13_repair_conversations,
 }
-ORACLES = {"op1_license_scan": licenses.scan_sql(), "op2_jaccard_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_mix_sources": OP12_SQL}
+ORACLES = {"op1_license_scan": licenses.scan_sql(), "op2_jaccard_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_mix_sources": OP12_SQL, "op13_repair_conversations": OP13_SQL}

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from stratagraph.llm import fim, mixing
+from stratagraph.llm import conversations, fim, mixing
 
 TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,3 +151,161 @@ def test_mix_spreads_a_hot_source_and_equal_rows(spark, nothing):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     none = nothing.selectExpr("*", "'a' as source")
     assert mixing.mix(none).collect() == []
+
+
+LEGAL = re.compile(r"(s?(ua)+)?")
+
+
+def repair_by_hand(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, lines) of rows (turn, role, text) in order: edits one at a time, audits compared as strings."""
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    fault, seen = [], set()
+    for _, role, text in rows:
+        body = text.strip(" \t\n\v\f\r")
+        fault.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    initials = [r[:1] for _, r, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    go = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    long = {"u": "user", "a": "assistant"}
+    later = {q: (0, "", []) if q in "a" else None for q in ("", "s", "u", "a")}
+
+    def inserts(best):
+        """An inserted turn leads from one state to another of the same row; two are enough."""
+        for _ in range(3):
+            for (q, x), to in go.items():
+                if x in "ua" and best[to] is not None:
+                    c, a, o = best[to]
+                    new = (c + 2, "I" + a, [f"{long[x]}:", *o])
+                    if best[q] is None or new[:2] < best[q][:2]:
+                        best[q] = new
+        return best
+
+    later = inserts(later)
+    for (_, role, text), f in reversed(list(zip(rows, fault, strict=True))):
+        now = {}
+        for q in later:
+            c, a, o = later[q]
+            options = [(c + 3, "D" + a, o)]
+            if f in ("", "truncated"):
+                extra = f == "truncated"
+                if to := go.get((q, role[:1])):
+                    c, a, o = later[to]
+                    options.append((c + extra, "K" + a, [f"{role}:{text}", *o]))
+                for x in "ua":
+                    if (to := go.get((q, x))) and x != role[:1]:
+                        c, a, o = later[to]
+                        options.append((c + 2 + extra, "R" + a, [f"{long[x]}:{text}", *o]))
+            now[q] = min(options, key=lambda z: z[:2])
+        later = inserts(now)
+    c, a, o = later[""]
+    return gaps, fault.count("blank"), fault.count("duplicate"), fault.count("truncated"), illegal, c, a, o
+
+
+def test_repair_by_hand_is_exhaustive():
+    """The reference of these tests against all sequences of edits, for short conversations."""
+    r = random.Random(2)
+    for _ in range(40):
+        rows = [(k, r.choice(["user", "assistant", "system", "tool"]), r.choice(["a.", "b", " ", "c!"])) for k in range(r.randrange(4))]
+        _, _, _, _, _, cost, audit, lines = repair_by_hand(rows)
+        fault, seen = [], set()
+        for _, role, text in rows:
+            fault.append(not text.strip() or (role, text) in seen)
+            seen.add((role, text))
+        best = None
+        options = [[("D", 3, None)] + ([] if fault[k] else [(x, c + (text.strip()[-1] not in ".!?"), y) for x, c, y in (("K", 0, role), ("R", 2, "user"), ("R", 2, "assistant"))]) for k, (_, role, text) in enumerate(rows)]
+        extra = [[], ["user"], ["assistant"], ["user", "assistant"], ["assistant", "user"]]
+        for picks in itertools.product(*options):
+            for ins in itertools.product(extra, repeat=len(rows) + 1):
+                roles, letters, total = [], "", 0
+                for k in range(len(rows) + 1):
+                    roles += ins[k]
+                    letters += "I" * len(ins[k])
+                    total += 2 * len(ins[k])
+                    if k < len(rows):
+                        letters += picks[k][0]
+                        total += picks[k][1]
+                        roles += [picks[k][2]] if picks[k][2] else []
+                if LEGAL.fullmatch("".join(x[0] for x in roles)) and (best is None or (total, letters) < best):
+                    best = (total, letters)
+        assert (cost, audit) == best, rows
+        assert LEGAL.fullmatch("".join(x[0] for x in lines))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", " "]), st.sampled_from(["a.", "b", " ", "c!", "d?", "e.", "f.", "g."])), max_size=14))
+def test_solve(turns):
+    rows = [(k, *x) for k, x in enumerate(turns)]
+    want = repair_by_hand(rows)
+    p = conversations._Piece(0, 0)
+    for t, role, text in rows:
+        p.add(t, role, text, text.encode())
+    x = p.facts()
+    ((cost, role, audit),) = conversations.solve(x["initial"], x["fault"], conversations.AT_END)
+    audit += "I" * conversations._END[role]
+    assert (cost, audit) == want[5:7]
+    assert [f"{t['role']}:{t['text']}" for t in conversations.turns_of(audit, 0, p.roles, p.texts)] == want[7]
+
+
+def damaged_by_hand(rows):
+    """{conv_id: rows in order} after the faults of the query."""
+    out = {c: [] for c, _, _, _ in rows}
+    word = lambda x: " " if x is None else str(x)
+    for c, t, role, text in rows:
+        k = zlib.crc32(f"{word(c)}:{word(t)}".encode()) % 20
+        role, text = word(role), word(text)
+        if k:
+            x = (t, "user" if k == 4 else role, "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text)
+            out[c] += [x, x] if k == 3 else [x]
+    return {c: sorted(x, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest())) for c, x in out.items()}
+
+
+def talk(seed, many=160):
+    r, rows = random.Random(seed), []
+    for c in [*range(many), None]:
+        n = r.choice([1, 2, 3, 4, 6, 9, 40])
+        texts = [f"{r.choice('abcdefgh')} {r.randrange(4)}{r.choice(['.', '!', '?', '', ' '])}" for _ in range(n)]
+        for k in range(n):
+            role = ["user", "assistant"][k % 2] if r.random() < 0.8 else r.choice(["user", "assistant", "system", "tool", None, ""])
+            rows.append((c, None if r.random() < 0.03 else k + (k > 4) * r.randrange(3), role, None if r.random() < 0.03 else texts[k]))
+    rows += [(9000, 1, "user", "the same."), (9000, 1, "user", "the same."), (9001, 5, "assistant", "x" * 100_000 + ".")]
+    return rows
+
+
+@pytest.mark.parametrize(("piece", "size"), [(1000, 4 << 20), (1, 4 << 20), (3, 4 << 20), (1000, 10)])
+def test_conversations(spark, tmp_path, piece, size):
+    """Whole pieces, and conversations cut into many pieces over several tasks."""
+    rows = talk(3)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "c"))
+    df = spark.read.parquet(str(tmp_path / "c"))
+    want = {c: repair_by_hand(x) for c, x in damaged_by_hand(rows).items()}
+    repaired = conversations.repair(conversations.damage(df), present="present", piece_rows=piece, piece_bytes=size)
+    got = conversations.digests(repaired)
+    assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    rows = got.collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        w = want[r.conv_id]
+        assert tuple(r)[1:] == (*w[:7], hashlib.sha256("\n".join(w[7]).encode()).hexdigest()), r.conv_id
+    turns = defaultdict(list)
+    for r in repaired.orderBy("part").collect():
+        turns[r.conv_id] += [f"{t.role}:{t.text}" for t in r.turns]
+    assert dict(turns) == {c: w[7] for c, w in want.items()}
+    if piece == 1:
+        assert repaired.where("parts > 10").count() > 0
+
+
+def test_a_hot_conversation_and_none(spark):
+    """One conversation holds most rows, half of them the same text: its pieces lie in many tasks, none is large."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(30_000).selectExpr("if(id % 9 = 0, id, 5) as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "if(id % 4 = 1, 'again.', id || '.') as text")
+    rows = sorted((tuple(r) for r in df.collect()), key=lambda r: r[1])
+    want = repair_by_hand([r[1:] for r in rows if r[0] == 5])
+    repaired = conversations.repair(df)
+    assert repaired.where("conv_id = 5").count() >= 27 and repaired.where("conv_id = 5").agg(F.max(F.length("audit"))).first()[0] < 2200
+    r = conversations.digests(repaired).where("conv_id = 5").first()
+    assert tuple(r)[1:] == (*want[:7], hashlib.sha256("\n".join(want[7]).encode()).hexdigest())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    none = conversations.digests(conversations.repair(df.where("turn < 0")))
+    assert none.collect() == []
