@@ -2,15 +2,15 @@
 
 core_numbers takes a clean (symmetric, loop-free, distinct) edge list. Strategies:
 
-* hindex: every vertex lowers its estimate (first its degree) to the h-index of its neighbours'
-  estimates until nothing changes. Few rounds, no order of deletion; the default beyond one task's size.
-  Once under a tenth of the vertices changed, only their neighbours are worked out again.
+* hindex (and auto, the default): every vertex lowers its estimate (first its degree) to the h-index of its neighbours'
+  estimates until nothing changes. Each keeps the number of neighbours at or above its estimate; a changed vertex tells its neighbours, which
+  take off those that fell below them, and only vertices with too few left look at their neighbours again. Few rounds, no order of deletion.
 * peel: level by level, all vertices of degree <= level go at once. Gives the round in
   the level, hence a degeneracy order. Empty levels are skipped; with ``compact_below`` the edges are
   restricted to the survivors when few are left.
-* local: connected components, each peeled in one task on arrays; components beyond ``most_edges``
-  go by peel instead.
-* auto: local for graphs of at most LOCAL_EDGES directed edges, else hindex.
+* local: connected components of at most ``most_edges`` edges are each peeled in one task on arrays; larger ones go by hindex.
+
+``shells`` gives peel's rounds from known core numbers, with the removals of all levels side by side.
 """
 
 from __future__ import annotations
@@ -20,24 +20,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loop import BROADCAST_ROWS, Dealt, Rounds, numbered, settle
+from ..plans.loop import BROADCAST_ROWS, Dealt, Rounds, lookup, numbered, settle
 from .clean import relabel
-from .degree import degrees, hindex_of, hindex_of_counts
+from .degree import degrees, hindex_of_counts
 from .expand import induced
 
-LOCAL_EDGES = 4_000_000
+#: Directed edges of a component that one task may peel.
+LOCAL_EDGES = 20_000
 
 
 def core_numbers(e: DataFrame, strategy: str = "auto", isolated: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
     """(v bigint, core int); isolated vertices have core 0."""
-    if strategy == "auto":
-        strategy = "local" if e.count() <= LOCAL_EDGES else "hindex"
-    if strategy == "hindex":
+    if strategy in ("auto", "hindex"):
         c = _hindex(e, max_rounds)
     elif strategy in ("peel", "compacting"):
         c = peel(e, 0.02 if strategy == "compacting" else 0.0).select("v", "core")
     elif strategy == "local":
-        c = local_peel(e).select("v", "core")
+        c = local_cores(e)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     if isolated is None:
@@ -46,53 +45,116 @@ def core_numbers(e: DataFrame, strategy: str = "auto", isolated: DataFrame | Non
 
 
 def _hindex(e: DataFrame, max_rounds: int) -> DataFrame:
-    """Estimates of few vertices are broadcast to edges dealt by source: a round has no shuffle but that of hubs' counts.
-    Else the edges stay dealt by the side that meets the estimates: a round moves estimates, not edges."""
+    """(v, core). State of a vertex: est, cnt (neighbours of an estimate of est or more, as far as it was told) and old (est before the last round).
+
+    A round reads the edges of the vertices that changed in the round before, which go to their neighbours as counts, and those of
+    the vertices that this leaves too few. The stored edges themselves are never moved.
+    """
     tables, e = Rounds(e.sparkSession), settle(e)
-    est, seen = tables.keep(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("est")), n=F.count(F.lit(1)), edges=F.sum("est"))
-    n, changed = seen["n"], None
-    small = n <= BROADCAST_ROWS
-    dealt = Dealt(e, "src" if small else "dst", seen["edges"] or 0)
+    dealt = Dealt(e, "src", e.count())
+    hubs = dealt.hubs.select(F.col("src").alias("dst")) if dealt.has_hubs else None
+    moved = {"moved": F.count_if(F.col("est") < F.col("old")), "n": F.count(F.lit(1))}
+
+    def found(near: DataFrame) -> DataFrame:
+        """(v, h, cnt) from edges (src, ne)."""
+        return hindex_of_counts(near.groupBy("src", "ne").agg(F.count(F.lit(1)).alias("c")), "src")
+
     try:
+        deg, seen = tables.keep(_degrees(dealt), n=F.count(F.lit(1)))
+        small = seen["n"] <= BROADCAST_ROWS
+        # all send their degrees: edges are symmetric, so what goes out along a stored edge is what its other end needs
+        told = dealt.join(deg.select(F.col("v").alias("src"), F.col("deg").alias("ne")), small).select(F.col("dst").alias("src"), "ne")
+        first = found(told).join(deg, "v").select("v", F.col("h").alias("est"), "cnt", F.col("deg").alias("old"))
+        state, seen = tables.keep(first, **moved)
         for _ in range(max_rounds):
-            near = est.select(F.col("v").alias("dst"), F.col("est").alias("ne"))
-            if small:
-                c = dealt.edges.join(F.broadcast(near), "dst").groupBy("src", "lot", "hub", "ne").agg(F.count(F.lit(1)).alias("c"))
-                h = hindex_of_counts(c.where("not hub") if dealt.has_hubs else c, "src", "lot")
-                if dealt.has_hubs:
-                    h = h.unionByName(hindex_of_counts(c.where("hub").groupBy("src", "ne").agg(F.sum("c").alias("c")), "src"))
-                both = h.join(F.broadcast(est), "v")
-            else:
-                part = dealt.join(near)
-                if changed is not None:
-                    part = part.join(dealt.join(changed).select("src").distinct(), "src", "left_semi")
-                both = est.join(hindex_of(part), "v", "left")
-            both, seen = tables.keep(both.select("v", F.least("est", F.coalesce("h", "est")).alias("est"), F.col("est").alias("old")), moved=F.count_if(F.col("est") < F.col("old")))
-            est = both.select("v", "est")
             if not seen["moved"]:
-                return settle(est.select("v", F.col("est").cast("int").alias("core")))
-            changed = both.where("est < old").select(F.col("v").alias("dst")) if seen["moved"] * 10 < n else None
+                return settle(state.select("v", F.col("est").cast("int").alias("core")))
+            now = state.select(F.col("v").alias("dst"), "est")
+            fell = state.where("est < old").select(F.col("v").alias("src"), "old", F.col("est").alias("new"))
+            # neighbours that counted a vertex and no longer can
+            lost = dealt.join(fell, small).groupBy("dst", "old", "new").agg(F.count(F.lit(1)).alias("c")) if not small else dealt.join(fell, True).withColumn("c", F.lit(1))
+            lost = lookup(lost, "dst", now, small).where("old >= est and est > new").groupBy(F.col("dst").alias("v")).agg(F.sum("c").alias("lost"))
+            after = state.join(lost, "v", "left").select("v", "est", (F.col("cnt") - F.coalesce("lost", F.lit(0))).alias("cnt"))
+            short = after.where("cnt < est").select(F.col("v").alias("src"), F.col("est").alias("top"))
+            near = lookup(dealt.join(short, small), "dst", now, small, hubs).select("src", F.least("est", "top").alias("ne"))
+            lower = found(near).select("v", "h", F.col("cnt").alias("base"))
+            both = after.join(lower, "v", "left").select("v", F.coalesce("h", "est").alias("est"), F.coalesce("base", "cnt").alias("cnt"), F.col("est").alias("old"))
+            state, seen = tables.keep(both, **moved)
         raise RuntimeError("estimates did not settle")
     finally:
-        dealt.unpersist()
+        dealt.clear()
+        tables.clear()
+
+
+def _degrees(dealt: Dealt) -> DataFrame:
+    """(v, deg) from stored edges dealt by source: counted where they lie, then summed over the lots of hubs."""
+    d = dealt.edges.groupBy("src", "lot").agg(F.count(F.lit(1)).alias("deg"))
+    return (d.groupBy("src").agg(F.sum("deg").alias("deg")) if dealt.has_hubs else d).select(F.col("src").alias("v"), "deg")
+
+
+def shells(e: DataFrame, cores: DataFrame, max_rounds: int = 1_000_000) -> DataFrame:
+    """(v, core, round): the rounds of ``peel``, from known core numbers.
+
+    When its level begins, a vertex has its neighbours of equal or higher core left, and goes in the first round in which those of equal core that
+    remain are no more than its core less those of higher core. So the levels don't wait for each other: the removals of all of them
+    run side by side, over edges inside shells alone, and there are as many rounds as the longest level has.
+    """
+    tables, e, cores = Rounds(e.sparkSession), settle(e), settle(cores.select("v", "core"))
+    edges, n = e.count(), cores.count()
+    small, dealt, inner = n <= BROADCAST_ROWS, Dealt(e, "src", edges), None
+    hubs = dealt.hubs.select(F.col("src").alias("dst")) if dealt.has_hubs else None
+    try:
+        both = lookup(dealt.join(cores.select(F.col("v").alias("src"), F.col("core").alias("cs")), small), "dst", cores.select(F.col("v").alias("dst"), F.col("core").alias("cd")), small, hubs).where("cd >= cs")
+        start = both.groupBy(F.col("src").alias("v")).agg(F.first("cs").alias("core"), F.count_if(F.col("cd") > F.col("cs")).alias("higher"), F.count_if(F.col("cd") == F.col("cs")).alias("left"))
+        figures = {"alive": F.count(F.lit(1)), "inside": F.sum("left")}
+        state, seen = tables.keep(start.select("v", "core", (F.col("core") - F.col("higher")).alias("room"), "left"), **figures)
+        if not seen["alive"]:
+            return settle(state.select("v", "core", F.lit(1).alias("round")))
+        inner = Dealt(both.where("cd = cs").select("src", "dst"), "src", seen["inside"] or 0)
+        gone = []
+        for r in range(1, max_rounds):
+            goes = F.col("left") <= F.col("room")
+            front = state.where(goes)
+            gone.append(front.select("v", "core", F.lit(r).alias("round")))
+            hits = inner.join(front.select(F.col("v").alias("src")), small).groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("hits"))
+            rest = state.where(~goes).join(hits, "v", "left").select("v", "core", "room", (F.col("left") - F.coalesce("hits", F.lit(0))).alias("left"))
+            state, seen = tables.keep(rest, **figures)
+            if len(gone) >= 64:
+                gone = [settle(_union(gone))]
+            if not seen["alive"]:
+                return settle(_union(gone))
+        raise RuntimeError("the rounds did not end")
+    finally:
+        dealt.clear()
+        if inner is not None:
+            inner.clear()
         tables.clear()
 
 
+def ordered(e: DataFrame, strategy: str = "auto") -> DataFrame:
+    """(v, core, round): by known core numbers and ``shells``, or by ``peel``."""
+    if strategy in ("peel", "compacting"):
+        return peel(e, 0.02 if strategy == "compacting" else 0.0)
+    e = settle(e)
+    return shells(e, core_numbers(e, strategy))
+
+
 def peel(e: DataFrame, compact_below: float = 0.0, max_rounds: int = 1_000_000) -> DataFrame:
     """(v, core, round): level-synchronous deletion; round counts from 1 within a level."""
     tables, e = Rounds(e.sparkSession), settle(e)
     dealt = Dealt(e, "src", e.count())
     figures = {"alive": F.count(F.lit(1)), "least": F.min("deg")}
     try:
-        state, seen = tables.keep(degrees(e), **figures)
+        state, seen = tables.keep(_degrees(dealt), **figures)
         n, gone, level, r = seen["alive"], [], -1, 0
+        small = n <= BROADCAST_ROWS
         for _ in range(max_rounds):
             if not seen["alive"]:
                 break
             level, r = (seen["least"], 1) if seen["least"] > level else (level, r + 1)
             front = state.where(F.col("deg") <= level).select("v")
             gone.append(front.withColumn("core", F.lit(int(level))).withColumn("round", F.lit(r)))
-            hits = dealt.join(front.select(F.col("v").alias("src"))).groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("hits"))
+            hits = dealt.join(front.select(F.col("v").alias("src")), small).groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("hits"))
             rest = state.where(F.col("deg") > level).join(hits, "v", "left").select("v", (F.col("deg") - F.coalesce("hits", F.lit(0))).alias("deg"))
             state, seen = tables.keep(rest, **figures)
             if len(gone) >= 16:
@@ -100,11 +162,11 @@ def peel(e: DataFrame, compact_below: float = 0.0, max_rounds: int = 1_000_000)
             left = seen["alive"]
             if compact_below and left and left < compact_below * n:
                 few = settle(induced(dealt.edges.select("src", "dst"), state))
-                dealt.unpersist()
+                dealt.clear()
                 dealt, n = Dealt(few, "src", few.count()), left
         return settle(_union(gone)) if gone else settle(state.select("v", F.lit(0).alias("core"), F.lit(0).alias("round")))
     finally:
-        dealt.unpersist()
+        dealt.clear()
         tables.clear()
 
 
@@ -116,21 +178,33 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def connected_components(e: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(v, component): the least id reachable. Labels spread to neighbours and then jump to their label's label."""
-    e = e.persist()
+    """(v, component): the least id reachable. Labels go out along the edges and then jump to their label's label.
+
+    A hub's neighbours meet as partial minima, its own edges lie in lots, and a label of many vertices is looked up once.
+    """
+    tables, e = Rounds(e.sparkSession), settle(e)
+    dealt = Dealt(e, "src", e.count())
     try:
-        c = settle(e.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("m")).select("v", F.least("v", "m").alias("component")))
+        lowest = dealt.edges.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("v"), F.least("src", "m").alias("component"))
+        c, seen = tables.keep(lowest, n=F.count(F.lit(1)))
+        small = seen["n"] <= BROADCAST_ROWS
         for _ in range(max_rounds):
-            near = e.join(c.select(F.col("v").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("v")).agg(F.min("component").alias("m"))
+            near = dealt.join(c.select(F.col("v").alias("src"), "component"), small).groupBy(F.col("dst").alias("v")).agg(F.min("component").alias("m"))
             step = c.join(near, "v").select("v", F.least("component", "m").alias("to"), F.col("component").alias("old"))
-            jump = c.select(F.col("v").alias("to"), F.col("component").alias("far"))
-            new = settle(step.join(jump, "to").select("v", F.least("to", "far").alias("component"), "old"))
-            if not new.where("component <> old").limit(1).count():
-                return new.select("v", "component")
-            c = new.select("v", "component")
+            far = c.select(F.col("v").alias("to"), F.col("component").alias("far"))
+            if small:
+                new = step.join(F.broadcast(far), "to")
+            else:
+                names, labels = tables.keep(step.select("to").distinct().join(far, "to"), n=F.count(F.lit(1)))
+                new = lookup(step, "to", names, labels["n"] <= BROADCAST_ROWS)
+            c, seen = tables.keep(new.select("v", F.least("to", "far").alias("component"), "old"), moved=F.count_if(F.col("component") != F.col("old")))
+            c = c.select("v", "component")
+            if not seen["moved"]:
+                return settle(c)
         raise RuntimeError("components did not settle")
     finally:
-        e.unpersist()
+        dealt.clear()
+        tables.clear()
 
 
 def peel_arrays(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,21 +233,35 @@ def peel_arrays(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return v, core, rnd
 
 
-def local_peel(e: DataFrame, most_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(v, core, round) by connected components, each in one task; larger components by ``peel``."""
+def _split(e: DataFrame, most_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Edges of components of at most ``most_edges`` edges, with the component, and the edges of the others."""
     e = settle(e)
-    comp = connected_components(e)
-    tagged = e.join(comp.select(F.col("v").alias("src"), "component"), "src")
-    large = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).select("component")
-    big = large.count()
-    small = tagged.join(large, "component", "left_anti") if big else tagged
+    tagged = settle(e.join(connected_components(e).select(F.col("v").alias("src"), "component"), "src"))
+    sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = settle(sizes.where(F.col("n") > most_edges).select("component"))
+    # at most edges / most_edges of them
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    return tagged.join(large, "component", "left_anti"), settle(tagged.join(large, "component", "left_semi").select("src", "dst"))
 
+
+def _peel_small(tagged: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v, core, rnd = peel_arrays(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
         return pd.DataFrame({"v": v, "core": core.astype("int32"), "round": rnd.astype("int32")})
 
-    out = small.groupBy("component").applyInPandas(run, "v long, core int, round int")
-    return out.unionByName(peel(tagged.join(large, "component", "left_semi").select("src", "dst"))) if big else out
+    return tagged.groupBy("component").applyInPandas(run, "v long, core int, round int")
+
+
+def local_cores(e: DataFrame, most_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(v, core) by connected components: small ones in a task each, larger ones by hindex."""
+    tagged, rest = _split(e, most_edges)
+    return _peel_small(tagged).select("v", "core").unionByName(_hindex(rest, 100_000))
+
+
+def local_peel(e: DataFrame, most_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(v, core, round) by connected components: small ones in a task each, larger ones by ``shells``."""
+    tagged, rest = _split(e, most_edges)
+    return _peel_small(tagged).unionByName(shells(rest, _hindex(rest, 100_000)))
 
 
 def degeneracy_order(peeled: DataFrame) -> DataFrame:

@@ -62,12 +62,19 @@ def hindex_round(e: DataFrame, est: DataFrame) -> DataFrame:
 
 def hindex_of(near: DataFrame) -> DataFrame:
     """hindex_round from edges (src, ne) that hold their neighbour's estimate."""
-    return hindex_of_counts(near.groupBy("src", "ne").agg(F.count(F.lit(1)).alias("c")), "src")
+    return hindex_of_counts(near.groupBy("src", "ne").agg(F.count(F.lit(1)).alias("c")), "src").select("v", "h")
 
 
 def hindex_of_counts(c: DataFrame, *keys: str) -> DataFrame:
-    """(v, h) from the number c of a vertex's neighbours of each estimate ne; one row for each key."""
+    """(v, h, cnt) from the number c of a vertex's neighbours of each estimate ne, one row for each key; cnt: neighbours of an estimate of h or more."""
     runs = F.array_sort(F.collect_list(F.struct((-F.col("ne")).alias("k"), F.col("c").alias("c"))))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("h"))
-    step = lambda a, x: F.struct((a.seen + x.c).alias("seen"), F.greatest(a.h, F.least(-x.k, a.seen + x.c)).alias("h"))
-    return c.groupBy(*keys).agg(F.aggregate(runs, start, step, lambda a: a.h).alias("h")).select(F.col("src").alias("v"), "h")
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("seen"), none.alias("h"), none.alias("cnt"))
+
+    def step(a, x):
+        seen = a.seen + x.c
+        h = F.greatest(a.h, F.least(-x.k, seen))
+        return F.struct(seen.alias("seen"), h.alias("h"), F.when(-x.k >= h, seen).otherwise(a.cnt).alias("cnt"))
+
+    got = c.groupBy(*keys).agg(F.aggregate(runs, start, step).alias("r"))
+    return got.select(F.col("src").alias("v"), F.col("r")["h"].alias("h"), F.col("r")["cnt"].alias("cnt"))

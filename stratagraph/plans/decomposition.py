@@ -39,7 +39,7 @@ class Decomposition:
         elif relabel == "degree_desc":
             self.mapping = cl.degree_desc_mapping(self.edges)
         elif relabel == "degeneracy":
-            order = cores.degeneracy_order(cores.local_peel(self.edges))
+            order = cores.degeneracy_order(cores.ordered(self.edges))
             self.mapping = order.select("v", F.col("ord").alias("idx"))
         elif relabel:
             raise ValueError(f"unknown relabelling {relabel!r}")

@@ -41,41 +41,80 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(path), seen.get
 
     def clear(self) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, self.at)
 
 
 #: Rows of a few numbers each that may be broadcast; beyond, joins are shuffled.
 BROADCAST_ROWS = 500_000
+#: Edges of a bucket of a stored edge list, about.
+BUCKET_EDGES = 4_000_000
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Dealt:
-    """Edges dealt by one end and kept, the edges of a hub in several lots.
+    """Edges stored once, as a table bucketed and sorted by one end in the shared checkpoint folder: all rounds read it without an exchange
+    or a sort of the edges, and a lost executor loses nothing. The edges of a hub are in several lots.
 
     A vertex of more than ``most`` edges (at least 100,000, and so many that such vertices are fewer than BROADCAST_ROWS) has a
     lot for each ``most`` of them; what is joined to the edges by ``spread`` goes to all lots of its vertex.
     """
 
     def __init__(self, e: DataFrame, key: str, edges: int, most: int = 100_000):
-        other = "dst" if key == "src" else "src"
+        spark, other = e.sparkSession, "dst" if key == "src" else "src"
         most = max(most, -(-edges // BROADCAST_ROWS))
         hubs = e.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("lots")).where("lots > 1")
-        self.key, self.hubs = key, settle(hubs)
+        self.spark, self.key, self.hubs = spark, key, settle(hubs)
         self.has_hubs = self.hubs.limit(1).count() > 0
-        lot = F.pmod(F.xxhash64(other), F.coalesce("lots", F.lit(1)))
-        self.edges = e.join(F.broadcast(self.hubs), key, "left").select("src", "dst", lot.alias("lot"), F.col("lots").isNotNull().alias("hub")).repartition(key, "lot").persist()
+        dealt = e.select("src", "dst")
+        if self.has_hubs:
+            lot = F.pmod(F.xxhash64(other), F.coalesce("lots", F.lit(1)))
+            dealt = e.join(F.broadcast(self.hubs), key, "left").select("src", "dst", lot.alias("lot"), F.col("lots").isNotNull().alias("hub"))
+        else:
+            dealt = dealt.withColumns({"lot": F.lit(0).cast("long"), "hub": F.lit(False)})
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges // BUCKET_EDGES))
+        self.name = f"stratagraph_{uuid.uuid4().hex}"
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/{self.name}"
+        # each task writes one bucket: one sorted file a bucket
+        dealt.repartition(buckets, key, "lot").write.bucketBy(buckets, key, "lot").sortBy(key, "lot").option("path", self.path).format("parquet").saveAsTable(self.name)
+        self.edges = spark.table(self.name)
 
     def spread(self, df: DataFrame) -> DataFrame:
         """Rows with a column named like the key, once for each lot of it."""
+        if not self.has_hubs:
+            return df.withColumn("lot", F.lit(0).cast("long"))
         lots = F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1)
         return df.join(F.broadcast(self.hubs), self.key, "left").select(*df.columns, F.explode(lots).alias("lot"))
 
-    def join(self, df: DataFrame) -> DataFrame:
-        """Edges with the columns of the frame's row for their key."""
+    def join(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """Edges with the columns of the frame's row for their key; ``small``: the frame has at most BROADCAST_ROWS rows."""
+        if small:
+            return self.edges.join(F.broadcast(df), self.key).drop("lot", "hub")
         return self.edges.join(self.spread(df), [self.key, "lot"]).drop("lot", "hub")
 
-    def unpersist(self) -> None:
-        self.edges.unpersist()
+    def clear(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+        delete(self.spark, self.path)
+
+
+def lookup(rows: DataFrame, key: str, values: DataFrame, small: bool, hubs: DataFrame | None = None) -> DataFrame:
+    """Rows with the columns of the row of ``values`` for their key (there is one for each key).
+
+    ``small`` values are broadcast. Else keys in ``hubs`` (a counted few, which many rows have) are met by a broadcast, and only the
+    others are shuffled.
+    """
+    if small:
+        return rows.join(F.broadcast(values), key)
+    if hubs is None:
+        return rows.join(values, key)
+    few = hubs.select(key)
+    hot = values.join(F.broadcast(few), key, "left_semi")
+    cold = rows.join(F.broadcast(few), key, "left_anti").join(values, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "idx") -> DataFrame:

@@ -75,7 +75,7 @@ def _cores(spark, sf_dir):
 
 
 def _order(e):
-    return cores.degeneracy_order(cores.local_peel(e))
+    return cores.degeneracy_order(cores.ordered(e))
 
 
 @query("select src, dst from raw where src <> dst")

@@ -1,7 +1,8 @@
 """Graph readers: every format becomes a frame (src bigint, dst bigint).
 
-Text parsing is native; archives and NumPy/HDF5 files, which hold whole arrays, are opened once
-per file on an executor through the binaryFile source. Inputs are never changed.
+Text parsing is native. NumPy archives, zips and CSR caches in a store that Python can open are read by several tasks, by ranges of bytes
+(``archives``); in a store that Spark alone reaches, and for HDF5 or a compressed copy of an archive, each file is opened once on an executor through the
+binaryFile source, which takes files of up to 2 GB. Inputs are never changed.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archives
+
 SCHEMA = "src long, dst long"
 
 
@@ -76,12 +79,14 @@ def _binary(spark: SparkSession, path: str, load) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
 
 
-def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """NumPy archives with arrays src and dst."""
+def read_npz(spark: SparkSession, path: str, names: tuple[str, str] = ("src", "dst"), range_bytes: int = archives.RANGE_BYTES) -> DataFrame:
+    """NumPy archives with arrays src and dst: ranges of rows where they are stored, a stream a file where they are compressed."""
+    if not path.endswith(".gz") and (at := archives.reachable(spark, path)):
+        return archives.load(spark, archives.Arrays, at, names=",".join(names), range_bytes=range_bytes)
 
     def load(content):
         with np.load(io.BytesIO(content)) as z:
-            return z["src"], z["dst"]
+            return z[names[0]], z[names[1]]
 
     return _binary(spark, path, load)
 
@@ -102,8 +107,8 @@ def read_hdf5(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path, load)
 
 
-def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """A `.zip` of exactly one member, read by the member's extension: MatrixMarket, adjacency lists, a NumPy archive, or an edge list."""
+def _member_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, value) lines of zips in a store that only Spark reads, a file at a time."""
 
     def run(frames):
         for pdf in frames:
@@ -116,8 +121,9 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
                     with z.open(names[0]) as f:
                         if kind == "npz":
                             with np.load(io.BytesIO(f.read())) as arrays:
-                                lines = (f"{a} {b}" for a, b in zip(arrays["src"].tolist(), arrays["dst"].tolist(), strict=True))
-                                yield pd.DataFrame({"kind": "txt", "value": list(lines)})
+                                src, dst = arrays["src"], arrays["dst"]
+                            for i in range(0, len(src), 50_000):
+                                yield pd.DataFrame({"kind": "txt", "value": [f"{a} {b}" for a, b in zip(src[i : i + 50_000].tolist(), dst[i : i + 50_000].tolist(), strict=True)]})
                             continue
                         held: list[str] = []
                         sized = kind != "mtx"  # a size line comes before the entries
@@ -131,21 +137,57 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
                                 held = []
                         yield pd.DataFrame({"kind": kind, "value": held}, dtype=object)
 
-    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "kind string, value string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "kind string, value string")
+
+
+def read_zip(spark: SparkSession, path: str, range_bytes: int = archives.RANGE_BYTES) -> DataFrame:
+    """A `.zip` of exactly one member, read by the member's extension: MatrixMarket, adjacency lists, a NumPy archive, or an edge list.
+
+    A stored member is cut into ranges; a compressed one can't be, and passes through one task as a stream.
+    """
+    at = archives.reachable(spark, path)
+    nested = at and any(archives.only_member(f).filename.lower().endswith(".npz") for f, _ in archives.files(at))
+    text = _member_lines(spark, path) if at is None or nested else archives.load(spark, archives.Lines, at, range_bytes=range_bytes)
     edges = _split(text.where((F.col("kind") != "adjlist") & ~F.substring(F.ltrim("value"), 1, 1).isin("#", "%")))
     return edges.unionByName(_neighbours(text.where("kind = 'adjlist'")))
 
 
-def read_csr(spark: SparkSession, path: str) -> DataFrame:
-    """The text cache `V E degrees offsets neighbours` (white space between numbers), a whole file at a time."""
+#: Neighbours of a block of the CSR cache: a vertex's row meets the blocks that its neighbours lie in.
+CSR_BLOCK = 64
 
-    def load(content):
-        x = np.array(content.split(), np.int64)
-        v, e = int(x[0]), int(x[1])
-        off = x[2 + v : 3 + 2 * v]
-        return np.repeat(np.arange(v), np.diff(off)), x[3 + 2 * v : 3 + 2 * v + e]
 
-    return _binary(spark, path, load)
+def read_csr(spark: SparkSession, path: str, range_bytes: int = archives.RANGE_BYTES) -> DataFrame:
+    """The text cache `V E degrees offsets neighbours` (white space between numbers).
+
+    Ranges of bytes give their numbers with their places in the range; the ranges' counts (one number each on the driver) give the places in the file. A
+    neighbour's place finds its vertex by the offsets, in blocks of places, so that a hub's neighbours are dealt over many.
+    """
+    at = archives.reachable(spark, path)
+    if at is None:
+
+        def load(content):
+            x = np.array(content.split(), np.int64)
+            v, e = int(x[0]), int(x[1])
+            off = x[2 + v : 3 + 2 * v]
+            return np.repeat(np.arange(v), np.diff(off)), x[3 + 2 * v : 3 + 2 * v + e]
+
+        return _binary(spark, path, load)
+    x = archives.load(spark, archives.Numbers, at, range_bytes=range_bytes)
+    v, e = archives.first_numbers(at, 2)
+    first, total = [], 0
+    for r in x.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        first.append((r.part, total))
+        total += r.n
+    if total != 3 + 2 * v + e:
+        raise ValueError(f"{path}: {total} numbers, not {3 + 2 * v + e}")
+    x = x.join(F.broadcast(spark.createDataFrame(first, "part int, before long")), "part").select((F.col("k") + F.col("before")).alias("i"), "value")
+    deg = x.where((F.col("i") >= 2) & (F.col("i") < 2 + v)).select((F.col("i") - 2).alias("src"), F.col("value").alias("deg")).where("deg > 0")
+    off = x.where((F.col("i") >= 2 + v) & (F.col("i") < 2 + 2 * v)).select((F.col("i") - (2 + v)).alias("src"), F.col("value").alias("lo"))
+    block = lambda c: F.call_function("div", c, F.lit(CSR_BLOCK))
+    own = deg.join(off, "src").withColumn("hi", F.col("lo") + F.col("deg")).withColumn("block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))))
+    place = F.col("i") - (3 + 2 * v)
+    near = x.where(F.col("i") >= 3 + 2 * v).select(place.alias("j"), block(place).alias("block"), F.col("value").alias("dst"))
+    return near.join(own, "block").where("lo <= j and j < hi").select("src", "dst")
 
 
 def read_query_graphs(spark: SparkSession, path: str) -> DataFrame:

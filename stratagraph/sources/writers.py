@@ -1,9 +1,9 @@
 """Sinks for edge lists, core numbers and run profiles. Parquet is the format for anything large.
 
 Text formats whose lines have an order are sorted as a whole and written as part files in that order: one
-file up to ``ONE_FILE_ROWS`` lines, more beyond; put one after another they are the text. Formats that are
-one array or one archive are made on the driver from at most ``ARRAY_ROWS`` rows; more is an error. Paths may be
-in any store that Spark writes to.
+file up to ``ONE_FILE_ROWS`` lines, more beyond; put one after another they are the text. NumPy archives and zips are single files that the tasks write together,
+each its blocks at places computed from running totals (``archives``), where the path is a mounted one. In another store they are made on the driver from at
+most ``ARRAY_ROWS`` rows, as HDF5 is; more is an error. All other paths may be in any store that Spark writes to.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.loop import numbered, prefix_sum
+from . import archives
 
 ONE_FILE_ROWS = 1_000_000
 ARRAY_ROWS = 20_000_000
@@ -86,7 +88,7 @@ def write_adjlist(e: DataFrame, path: str, gzip: bool = False) -> None:
 
 
 def write_csr(e: DataFrame, path: str) -> None:
-    """The text cache `V E`, degrees, offsets, neighbours, a number a line, in one file; ids should be dense.
+    """The text cache `V E`, degrees, offsets, neighbours, a number a line, as part files in order; ids should be dense.
 
     e is clean (both directions, no repeats); V is the largest id and one, ids without an edge have degree 0.
     """
@@ -94,24 +96,74 @@ def write_csr(e: DataFrame, path: str) -> None:
     if (size.least or 0) < 0:
         raise ValueError("ids of this format begin at 0")
     v = 0 if size.most is None else size.most + 1
-    if 2 * v + size.n > ARRAY_ROWS:
-        raise ValueError(f"{2 * v + size.n} numbers are too many for one file (at most {ARRAY_ROWS}); write Parquet")
     spark = e.sparkSession
     deg = spark.range(v).select(F.col("id").alias("v")).join(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("deg")), "v", "left").select("v", F.coalesce("deg", F.lit(0)).alias("deg"))
     at = prefix_sum(deg, "deg", "v") if v else deg.withColumn("off", F.lit(0))
     part = lambda df, p, a, b, value: df.select(F.lit(p).alias("p"), F.col(a).alias("a"), b.cast("long").alias("b"), F.col(value).cast("string").alias("value"))
     lines = _head(spark, f"{v} {size.n}").unionByName(part(at, 1, "v", F.lit(0), "deg")).unionByName(part(at, 2, "v", F.lit(0), "off"))
     lines = lines.unionByName(spark.createDataFrame([(2, v, 0, str(size.n))], lines.schema)).unionByName(part(e, 3, "src", F.col("dst"), "dst"))
-    lines.orderBy("p", "a", "b").select("value").coalesce(1).write.mode("overwrite").text(path)
+    lines.orderBy("p", "a", "b").select("value").write.mode("overwrite").text(path)
+
+
+def _joined_blocks(rows: DataFrame, place: str, size: int, *data: tuple[str, int]) -> DataFrame:
+    """(pos, data): the bytes of neighbouring rows put together, up to a block each.
+
+    rows are sorted by ``place`` in their tasks. data: columns with the place in the file of their row 0; integers take 8 bytes a place (size 8), text its own (size 1) and a line end.
+    """
+    names = [place, *[c for c, _ in data]]
+
+    def bytes_of(column: pa.Array) -> bytes:
+        if size == 8:
+            return column.to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+        return b"".join(x.encode() + b"\n" for x in column.to_pylist())
+
+    def run(batches):
+        held: dict[int, list] = {}  # by column: place of its first byte, its bytes
+
+        def out(k):
+            at, parts = held.pop(k)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([b"".join(parts)], pa.binary())], ["pos", "data"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column(0).to_numpy(zero_copy_only=False)
+            step = at[1:] - at[:-1]
+            lengths = [1] * b.num_rows if size == 8 else [len(x.encode()) + 1 for x in b.column(1).to_pylist()]
+            cuts = [0, *[i + 1 for i, (s, n) in enumerate(zip(step.tolist(), lengths, strict=False)) if s != n], b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                for k, (_, start) in enumerate(data):
+                    pos, raw = start + int(at[lo]) * size, bytes_of(b.column(1 + k).slice(lo, hi - lo))
+                    if k in held and held[k][0] + sum(map(len, held[k][1])) != pos:
+                        yield out(k)
+                    held.setdefault(k, [pos, []])[1].append(raw)
+                    if sum(map(len, held[k][1])) >= archives.BLOCK_BYTES:
+                        yield out(k)
+        for k in list(held):
+            yield out(k)
+
+    return rows.select(*names).mapInArrow(run, "pos long, data binary")
 
 
 def write_npz(e: DataFrame, path: str, names: tuple[str, str] = ("src", "dst")) -> None:
-    """A NumPy archive of two arrays."""
+    """A NumPy archive of two arrays, rows in the order of both columns: each task writes its rows at their place."""
     import numpy as np
 
-    data = io.BytesIO()
-    np.savez(data, **_arrays(e.select(*e.columns[:2]), names))
-    put_bytes(e.sparkSession, path, data.getvalue())
+    x, y = e.columns[:2]
+    e = e.select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
+    at = archives.local_path(e.sparkSession, path)
+    if at is None:
+        data = io.BytesIO()
+        np.savez(data, **_arrays(e.orderBy("x", "y"), names))
+        put_bytes(e.sparkSession, path, data.getvalue())
+        return
+    rows = numbered(e, "x", "y", name="i")
+    n = rows.count()
+    head = archives.array_head(n)
+    size = len(head) + 8 * n
+    heads = e.sparkSession.createDataFrame([(0, bytearray(head)), (size, bytearray(head))], "pos long, data binary")
+    blocks = _joined_blocks(rows, "i", 8, ("x", len(head)), ("y", size + len(head)))
+    archives.store(heads.unionByName(blocks), at, [(f"{c}.npy", size) for c in names])
 
 
 def write_hdf5(e: DataFrame, path: str, names: tuple[str, str] = ("src", "dst")) -> None:
@@ -128,15 +180,22 @@ def write_hdf5(e: DataFrame, path: str, names: tuple[str, str] = ("src", "dst"))
 
 
 def write_zip(e: DataFrame, path: str, member: str = "graph.txt") -> None:
-    """An archive of one text member: an edge list, or MatrixMarket if it is called so."""
-    lines, rows = _mtx_lines(e) if member.endswith(".mtx") else (_edge_lines(e), e.count())
+    """An archive of one stored text member: a sorted edge list, or MatrixMarket if it is called so. Each task writes its lines at their place."""
+    spark = e.sparkSession
+    lines, rows = _mtx_lines(e) if member.endswith(".mtx") else (_edge_lines(e), None)
+    if (at := archives.local_path(spark, path)) is not None:
+        placed = prefix_sum(lines.withColumn("n", F.octet_length("value") + 1), "n", "p", "a", "b")
+        size = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        archives.store(_joined_blocks(placed, "off", 1, ("value", 0)), at, [(member, size)])
+        return
+    rows = e.count() if rows is None else rows
     if rows > ARRAY_ROWS:
-        raise ValueError(f"{rows} rows are too many for one archive (at most {ARRAY_ROWS}); write Parquet or .gz")
+        raise ValueError(f"{rows} rows are too many for one archive in this store (at most {ARRAY_ROWS}); write Parquet or .gz")
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z, z.open(member, "w") as f:
         for r in lines.orderBy("p", "a", "b").select("value").toLocalIterator():
             f.write(r.value.encode() + b"\n")
-    put_bytes(e.sparkSession, path, data.getvalue())
+    put_bytes(spark, path, data.getvalue())
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -229,7 +229,7 @@ def test_hubs_are_dealt_in_lots(spark):
         v = e.select(key).distinct().withColumn("w", F.col(key) * 2)
         got = d.join(v)
         assert sorted((r.src, r.dst) for r in got.collect()) == sorted((r.src, r.dst) for r in e.collect()) and got.where(f"w <> {key} * 2").count() == 0
-        d.unpersist()
+        d.clear()
     want = {v: 4 if v < 5 else 1 for v in range(60)}
     for strategy in ("hindex", "peel", "compacting", "local"):
         assert {r.v: r.core for r in cores.core_numbers(e, strategy).collect()} == want, strategy
