@@ -45,13 +45,54 @@ def core_numbers(e: DataFrame, strategy: str = "auto", isolated: DataFrame | Non
 
 
 def _hindex(e: DataFrame, max_rounds: int) -> DataFrame:
-    """(v, core). State of a vertex: est, cnt (neighbours of an estimate of est or more, as far as it was told) and old (est before the last round).
+    """(v, core), by ``_settled`` where the estimates may be broadcast and no vertex is a hub, else by ``_told``."""
+    tables, e = Rounds(e.sparkSession), settle(e)
+    deg, seen = tables.keep(degrees(e), n=F.count(F.lit(1)), edges=F.sum("deg"), largest=F.max("deg"))
+    dealt = Dealt(e, "src", seen["edges"] or 0, largest=seen["largest"] or 0)
+    try:
+        small = seen["n"] <= BROADCAST_ROWS
+        if small and not dealt.has_hubs:
+            # the h-index of neighbours' estimates never rises, so it takes their place
+            est = _settled(dealt, tables, deg.select("v", F.col("deg").alias("x")), "size(filter(near, (y, i) -> y > i))", max_rounds).withColumnRenamed("x", "est")
+        else:
+            est = _told(dealt, tables, deg, small, max_rounds)
+        return settle(est.select("v", F.col("est").cast("int").alias("core")))
+    finally:
+        dealt.clear()
+        tables.clear()
+
+
+#: Rounds of one job where the values of all vertices are broadcast.
+ROUNDS_A_JOB = 4
+
+
+def _settled(dealt: Dealt, tables: Rounds, values: DataFrame, rule: str, max_rounds: int) -> DataFrame:
+    """(v, x): values of few vertices, each worked out from its neighbours' (``near``, largest first) until nothing changes.
+
+    A round is one stage over the stored edges, where they lie: one broadcast of the values, no exchange. Some rounds make a job, which writes the
+    values of the last one. ``rule`` may use further columns of the edges, equal for all edges of a vertex.
+    """
+    more = [c for c in dealt.edges.columns if c not in ("src", "dst")]
+    for _ in range(max_rounds):
+        for _ in range(ROUNDS_A_JOB):
+            before = values
+            seen = dealt.edges.join(F.broadcast(before.select(F.col("v").alias("dst"), "x")), "dst")
+            near = seen.groupBy("src").agg(F.sort_array(F.collect_list("x"), asc=False).alias("near"), *[F.first(c).alias(c) for c in more])
+            values = near.select(F.col("src").alias("v"), F.expr(rule).cast("long").alias("x"))
+        both = values.join(F.broadcast(before.select("v", F.col("x").alias("was"))), "v", "left")
+        values, seen = tables.keep(both, moved=F.count_if(~F.col("x").eqNullSafe(F.col("was"))))
+        values = values.select("v", "x")
+        if not seen["moved"]:
+            return values
+    raise RuntimeError("values did not settle")
+
+
+def _told(dealt: Dealt, tables: Rounds, deg: DataFrame, small: bool, max_rounds: int) -> DataFrame:
+    """(v, est), for graphs whose estimates are moved. State of a vertex: est, cnt (neighbours of an estimate of est or more, as far as it was told) and old (est before the last round).
 
     A round reads the edges of the vertices that changed in the round before, which go to their neighbours as counts, and those of
-    the vertices that this leaves too few. The stored edges themselves are never moved.
+    the vertices that this leaves too few; what it moves falls with the changes. The stored edges themselves are never moved.
     """
-    tables, e = Rounds(e.sparkSession), settle(e)
-    dealt = Dealt(e, "src", e.count())
     hubs = dealt.hubs.select(F.col("src").alias("dst")) if dealt.has_hubs else None
     moved = {"moved": F.count_if(F.col("est") < F.col("old")), "n": F.count(F.lit(1))}
 
@@ -59,78 +100,76 @@ def _hindex(e: DataFrame, max_rounds: int) -> DataFrame:
         """(v, h, cnt) from edges (src, ne)."""
         return hindex_of_counts(near.groupBy("src", "ne").agg(F.count(F.lit(1)).alias("c")), "src")
 
-    try:
-        deg, seen = tables.keep(_degrees(dealt), n=F.count(F.lit(1)))
-        small = seen["n"] <= BROADCAST_ROWS
-        # all send their degrees: edges are symmetric, so what goes out along a stored edge is what its other end needs
-        told = dealt.join(deg.select(F.col("v").alias("src"), F.col("deg").alias("ne")), small).select(F.col("dst").alias("src"), "ne")
-        first = found(told).join(deg, "v").select("v", F.col("h").alias("est"), "cnt", F.col("deg").alias("old"))
-        state, seen = tables.keep(first, **moved)
-        for _ in range(max_rounds):
-            if not seen["moved"]:
-                return settle(state.select("v", F.col("est").cast("int").alias("core")))
-            now = state.select(F.col("v").alias("dst"), "est")
-            fell = state.where("est < old").select(F.col("v").alias("src"), "old", F.col("est").alias("new"))
-            # neighbours that counted a vertex and no longer can
-            lost = dealt.join(fell, small).groupBy("dst", "old", "new").agg(F.count(F.lit(1)).alias("c")) if not small else dealt.join(fell, True).withColumn("c", F.lit(1))
-            lost = lookup(lost, "dst", now, small).where("old >= est and est > new").groupBy(F.col("dst").alias("v")).agg(F.sum("c").alias("lost"))
-            after = state.join(lost, "v", "left").select("v", "est", (F.col("cnt") - F.coalesce("lost", F.lit(0))).alias("cnt"))
-            short = after.where("cnt < est").select(F.col("v").alias("src"), F.col("est").alias("top"))
-            near = lookup(dealt.join(short, small), "dst", now, small, hubs).select("src", F.least("est", "top").alias("ne"))
-            lower = found(near).select("v", "h", F.col("cnt").alias("base"))
-            both = after.join(lower, "v", "left").select("v", F.coalesce("h", "est").alias("est"), F.coalesce("base", "cnt").alias("cnt"), F.col("est").alias("old"))
-            state, seen = tables.keep(both, **moved)
-        raise RuntimeError("estimates did not settle")
-    finally:
-        dealt.clear()
-        tables.clear()
-
-
-def _degrees(dealt: Dealt) -> DataFrame:
-    """(v, deg) from stored edges dealt by source: counted where they lie, then summed over the lots of hubs."""
-    d = dealt.edges.groupBy("src", "lot").agg(F.count(F.lit(1)).alias("deg"))
-    return (d.groupBy("src").agg(F.sum("deg").alias("deg")) if dealt.has_hubs else d).select(F.col("src").alias("v"), "deg")
+    # all send their degrees: edges are symmetric, so what goes out along a stored edge is what its other end needs
+    told = dealt.join(deg.select(F.col("v").alias("src"), F.col("deg").alias("ne")), small).select(F.col("dst").alias("src"), "ne")
+    first = found(told).join(deg, "v").select("v", F.col("h").alias("est"), "cnt", F.col("deg").alias("old"))
+    state, seen = tables.keep(first, **moved)
+    for _ in range(max_rounds):
+        if not seen["moved"]:
+            return state
+        now = state.select(F.col("v").alias("dst"), "est")
+        fell = state.where("est < old").select(F.col("v").alias("src"), "old", F.col("est").alias("new"))
+        # neighbours that counted a vertex and no longer can
+        lost = dealt.join(fell, small).groupBy("dst", "old", "new").agg(F.count(F.lit(1)).alias("c"))
+        lost = lookup(lost, "dst", now, small).where("old >= est and est > new").groupBy(F.col("dst").alias("v")).agg(F.sum("c").alias("lost"))
+        after = state.join(lost, "v", "left").select("v", "est", (F.col("cnt") - F.coalesce("lost", F.lit(0))).alias("cnt"))
+        short = after.where("cnt < est").select(F.col("v").alias("src"), F.col("est").alias("top"))
+        near = lookup(dealt.join(short, small), "dst", now, small, hubs).select("src", F.least("est", "top").alias("ne"))
+        lower = found(near).select("v", "h", F.col("cnt").alias("base"))
+        both = after.join(lower, "v", "left").select("v", F.coalesce("h", "est").alias("est"), F.coalesce("base", "cnt").alias("cnt"), F.col("est").alias("old"))
+        state, seen = tables.keep(both, **moved)
+    raise RuntimeError("estimates did not settle")
 
 
 def shells(e: DataFrame, cores: DataFrame, max_rounds: int = 1_000_000) -> DataFrame:
     """(v, core, round): the rounds of ``peel``, from known core numbers.
 
     When its level begins, a vertex has its neighbours of equal or higher core left, and goes in the first round in which those of equal core that
-    remain are no more than its core less those of higher core. So the levels don't wait for each other: the removals of all of them
+    remain are no more than its room: its core less its neighbours of higher core. So the levels don't wait for each other: the removals of all of them
     run side by side, over edges inside shells alone, and there are as many rounds as the longest level has.
+
+    Seen from a vertex, its round is one after that of the first neighbour too many: 1 + the (room + 1)-th largest round of its neighbours in the shell.
     """
     tables, e, cores = Rounds(e.sparkSession), settle(e), settle(cores.select("v", "core"))
-    edges, n = e.count(), cores.count()
-    small, dealt, inner = n <= BROADCAST_ROWS, Dealt(e, "src", edges), None
-    hubs = dealt.hubs.select(F.col("src").alias("dst")) if dealt.has_hubs else None
+    n, inner = cores.count(), None
+    small = n <= BROADCAST_ROWS
+    a, b = cores.select(F.col("v").alias("src"), F.col("core").alias("cs")), cores.select(F.col("v").alias("dst"), F.col("core").alias("cd"))
     try:
-        both = lookup(dealt.join(cores.select(F.col("v").alias("src"), F.col("core").alias("cs")), small), "dst", cores.select(F.col("v").alias("dst"), F.col("core").alias("cd")), small, hubs).where("cd >= cs")
-        start = both.groupBy(F.col("src").alias("v")).agg(F.first("cs").alias("core"), F.count_if(F.col("cd") > F.col("cs")).alias("higher"), F.count_if(F.col("cd") == F.col("cs")).alias("left"))
-        figures = {"alive": F.count(F.lit(1)), "inside": F.sum("left")}
-        state, seen = tables.keep(start.select("v", "core", (F.col("core") - F.col("higher")).alias("room"), "left"), **figures)
-        if not seen["alive"]:
-            return settle(state.select("v", "core", F.lit(1).alias("round")))
-        inner = Dealt(both.where("cd = cs").select("src", "dst"), "src", seen["inside"] or 0)
-        gone = []
+        met = (e.join(F.broadcast(a), "src").join(F.broadcast(b), "dst") if small else e.join(a, "src").join(b, "dst")).where("cd >= cs")
+        start = met.groupBy(F.col("src").alias("v")).agg(F.first("cs").alias("core"), F.count_if(F.col("cd") > F.col("cs")).alias("higher"), F.count_if(F.col("cd") == F.col("cs")).alias("inside"))
+        stay, seen = tables.keep(start.select("v", "core", (F.col("core") - F.col("higher")).alias("room"), "inside"), edges=F.sum("inside"), largest=F.max("inside"), alive=F.count(F.lit(1)))
+        edges, largest = seen["edges"] or 0, seen["largest"] or 0
+        rooms = stay.select(F.col("v").alias("src"), "room")
+        inside = met.where("cd = cs").select("src", "dst")
+        inner = Dealt(lookup(inside, "src", rooms, True) if small else inside, "src", edges, largest=largest)
+        if small and not inner.has_hubs:
+            rounds = _settled(inner, tables, stay.select("v", F.lit(1).cast("long").alias("x")), "if(size(near) <= room, 1, 1 + near[cast(room as int)])", max_rounds)
+            return settle(stay.join(rounds, "v", "left").select("v", "core", F.coalesce("x", F.lit(1)).cast("int").alias("round")))
+        kept, alive = [], seen["alive"]
         for r in range(1, max_rounds):
-            goes = F.col("left") <= F.col("room")
-            front = state.where(goes)
-            gone.append(front.select("v", "core", F.lit(r).alias("round")))
-            hits = inner.join(front.select(F.col("v").alias("src")), small).groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("hits"))
-            rest = state.where(~goes).join(hits, "v", "left").select("v", "core", "room", (F.col("left") - F.coalesce("hits", F.lit(0))).alias("left"))
-            state, seen = tables.keep(rest, **figures)
-            if len(gone) >= 64:
-                gone = [settle(_union(gone))]
-            if not seen["alive"]:
-                return settle(_union(gone))
-        raise RuntimeError("the rounds did not end")
+            if not alive:
+                break
+            # a round writes the vertices that stay, which tell their neighbours, as partial counts; a vertex goes in the last round that it is in
+            kept.append(stay.select("v", "core", F.lit(r).alias("round")))
+            if len(kept) >= 64:
+                kept = [settle(_last(kept))]
+            own = stay.select(F.col("v").alias("dst"), "core", "room")
+            left = inner.join(stay.select(F.col("v").alias("src")), small).groupBy("dst").agg(F.count(F.lit(1)).alias("left")).join(own, "dst")
+            stay, seen = tables.keep(left.where("left > room").select(F.col("dst").alias("v"), "core", "room"), alive=F.count(F.lit(1)))
+            alive = seen["alive"]
+        else:
+            raise RuntimeError("the rounds did not end")
+        return settle(_last(kept) if kept else cores.select("v", "core", F.lit(1).alias("round")))
     finally:
-        dealt.clear()
         if inner is not None:
             inner.clear()
         tables.clear()
 
 
+def _last(kept: list[DataFrame]) -> DataFrame:
+    return _union(kept).groupBy("v").agg(F.first("core").alias("core"), F.max("round").alias("round"))
+
+
 def ordered(e: DataFrame, strategy: str = "auto") -> DataFrame:
     """(v, core, round): by known core numbers and ``shells``, or by ``peel``."""
     if strategy in ("peel", "compacting"):
@@ -142,10 +181,10 @@ def ordered(e: DataFrame, strategy: str = "auto") -> DataFrame:
 def peel(e: DataFrame, compact_below: float = 0.0, max_rounds: int = 1_000_000) -> DataFrame:
     """(v, core, round): level-synchronous deletion; round counts from 1 within a level."""
     tables, e = Rounds(e.sparkSession), settle(e)
-    dealt = Dealt(e, "src", e.count())
+    state, seen = tables.keep(degrees(e), alive=F.count(F.lit(1)), least=F.min("deg"), edges=F.sum("deg"), largest=F.max("deg"))
+    dealt = Dealt(e, "src", seen["edges"] or 0, largest=seen["largest"] or 0)
     figures = {"alive": F.count(F.lit(1)), "least": F.min("deg")}
     try:
-        state, seen = tables.keep(_degrees(dealt), **figures)
         n, gone, level, r = seen["alive"], [], -1, 0
         small = n <= BROADCAST_ROWS
         for _ in range(max_rounds):

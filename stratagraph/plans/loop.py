@@ -58,42 +58,41 @@ def delete(spark: SparkSession, path: str) -> None:
 
 class Dealt:
     """Edges stored once, as a table bucketed and sorted by one end in the shared checkpoint folder: all rounds read it without an exchange
-    or a sort of the edges, and a lost executor loses nothing. The edges of a hub are in several lots.
+    of the edges, and a lost executor loses nothing. The edges of a hub are in several lots.
 
     A vertex of more than ``most`` edges (at least 100,000, and so many that such vertices are fewer than BROADCAST_ROWS) has a
     lot for each ``most`` of them; what is joined to the edges by ``spread`` goes to all lots of its vertex.
     """
 
-    def __init__(self, e: DataFrame, key: str, edges: int, most: int = 100_000):
+    def __init__(self, e: DataFrame, key: str, edges: int, most: int = 100_000, largest: int | None = None):
+        """Columns besides src and dst are kept. largest: the most edges of one vertex, if that is known."""
         spark, other = e.sparkSession, "dst" if key == "src" else "src"
+        prepare(spark)
         most = max(most, -(-edges // BROADCAST_ROWS))
-        hubs = e.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("lots")).where("lots > 1")
-        self.spark, self.key, self.hubs = spark, key, settle(hubs)
-        self.has_hubs = self.hubs.limit(1).count() > 0
-        dealt = e.select("src", "dst")
+        self.spark, self.key, self.hubs, self.has_hubs = spark, key, None, False
+        if largest is None or largest > most:
+            self.hubs = settle(e.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("lots")).where("lots > 1"))
+            self.has_hubs = self.hubs.limit(1).count() > 0
+        by, dealt = [key], e
         if self.has_hubs:
-            lot = F.pmod(F.xxhash64(other), F.coalesce("lots", F.lit(1)))
-            dealt = e.join(F.broadcast(self.hubs), key, "left").select("src", "dst", lot.alias("lot"), F.col("lots").isNotNull().alias("hub"))
-        else:
-            dealt = dealt.withColumns({"lot": F.lit(0).cast("long"), "hub": F.lit(False)})
+            by, lot = [key, "lot"], F.pmod(F.xxhash64(other), F.coalesce("lots", F.lit(1)))
+            dealt = e.join(F.broadcast(self.hubs), key, "left").select(*e.columns, lot.alias("lot"), F.col("lots").isNotNull().alias("hub"))
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges // BUCKET_EDGES))
         self.name = f"stratagraph_{uuid.uuid4().hex}"
         self.path = f"{spark.sparkContext.getCheckpointDir()}/{self.name}"
         # each task writes one bucket: one sorted file a bucket
-        dealt.repartition(buckets, key, "lot").write.bucketBy(buckets, key, "lot").sortBy(key, "lot").option("path", self.path).format("parquet").saveAsTable(self.name)
+        dealt.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", self.path).format("parquet").saveAsTable(self.name)
         self.edges = spark.table(self.name)
 
     def spread(self, df: DataFrame) -> DataFrame:
         """Rows with a column named like the key, once for each lot of it."""
-        if not self.has_hubs:
-            return df.withColumn("lot", F.lit(0).cast("long"))
         lots = F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1)
         return df.join(F.broadcast(self.hubs), self.key, "left").select(*df.columns, F.explode(lots).alias("lot"))
 
     def join(self, df: DataFrame, small: bool = False) -> DataFrame:
         """Edges with the columns of the frame's row for their key; ``small``: the frame has at most BROADCAST_ROWS rows."""
-        if small:
-            return self.edges.join(F.broadcast(df), self.key).drop("lot", "hub")
+        if small or not self.has_hubs:
+            return self.edges.join(F.broadcast(df) if small else df, self.key).drop("lot", "hub")
         return self.edges.join(self.spread(df), [self.key, "lot"]).drop("lot", "hub")
 
     def clear(self) -> None:

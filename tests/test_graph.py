@@ -83,6 +83,46 @@ def test_strategies_agree_on_random_graphs(spark, seed):
     assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
 
 
+@pytest.mark.parametrize("rows", [500_000, 3])
+def test_shells_side_by_side(spark, monkeypatch, rows):
+    """The rounds of a level-by-level peel, of graphs of many levels and of one with long levels; estimates broadcast or moved, hubs whole or in lots."""
+    monkeypatch.setattr(cores, "BROADCAST_ROWS", rows)
+    edges = random_edges(40, 150, 7) + [(100 + i, 101 + i) for i in range(17)] + [(a, b) for a in range(200, 207) for b in range(a)][-12:]
+    e = cl.clean(frame(spark, edges))
+    want = {}
+    src, dst = (np.array(x, np.int64) for x in zip(*[(r.src, r.dst) for r in e.collect()]))
+    for v, core, rnd in zip(*(x.tolist() for x in cores.peel_arrays(src, dst))):
+        want[v] = (core, rnd)
+    assert {r.v: (r.core, r.round) for r in cores.ordered(e).collect()} == want
+    if rows == 3:
+        from stratagraph.plans import loop
+
+        monkeypatch.setattr(cores, "Dealt", lambda e, key, edges, largest=None: loop.Dealt(e, key, edges, most=5))
+        assert {r.v: (r.core, r.round) for r in cores.ordered(e).collect()} == want
+
+
+def test_rounds_read_stored_edges_without_an_exchange(spark):
+    from stratagraph.plans.loop import Dealt
+
+    e = cl.clean(frame(spark, random_edges(50, 300, 3)))
+    d = Dealt(e, "src", e.count(), largest=50)
+    value = spark.range(50).select(F.col("id").alias("src"), F.col("id").alias("x"))
+    for met in (d.join(value, True), d.join(value.hint("merge"))):
+        got = met.groupBy("src").agg(F.sum("x").alias("x"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("\n")
+        at = next(i for i, x in enumerate(lines) if "FileScan" in x and "Bucketed: true" in x)
+        deep = lambda x: len(x) - len(x.lstrip(" :+-"))
+        above, depth = [], deep(lines[at])
+        for x in reversed(lines[:at]):  # the operators between the scan and the result
+            if deep(x) < depth:
+                depth = deep(x)
+                above.append(x)
+        assert not [x for x in above if "Exchange" in x], plan
+        assert got.count() == cl.vertices(e).count()
+    d.clear()
+
+
 def test_order_is_a_degeneracy_order(spark):
     e = cl.clean(frame(spark, random_edges(50, 260, 5)))
     order = {r.v: r for r in cores.degeneracy_order(cores.peel(e)).collect()}
@@ -211,6 +251,33 @@ def test_bron_kerbosch_with_vertices_elsewhere(edges, inside):
     assert got == {c for c in whole if all(v < inside for v in c)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=40), st.integers(1, 6), st.integers(1, 10))
+def test_searches_stop_and_go_on(edges, steps, inside):
+    """A search stopped every few steps and taken up from its rows gives the cliques of one that isn't."""
+    near = {u: {b for a, b in edges if a == u != b} | {a for a, b in edges if b == u != a} for u in range(10)}
+    mask = [sum(1 << v for v in near[u] if v < inside) for u in range(10)]
+    want = sorted(tuple(sorted(c)) for c in cliques.bron_kerbosch(mask[:inside], mask[inside:]))
+    todo, got = [cliques.Search(0, list(range(inside)), mask[:inside], [([], (1 << inside) - 1, 0, mask[inside:])])], []
+    while todo:
+        s = todo.pop()
+        got += [tuple(sorted([*s.taken, *(s.ids[i] for i in c)])) for c in s.cliques(steps)]
+        todo += [cliques.resumed(x) for x in s.open()]
+    assert sorted(got) == want
+
+
+def test_a_dense_core_is_many_tasks(spark):
+    """A planted core (all pairs of 18 vertices but a matching: 512 cliques) under one root, searched in small steps."""
+    core = [(a, b) for a in range(18) for b in range(a) if a - b != 9]
+    e = cl.clean(frame(spark, core + [(100 + i, i % 18) for i in range(30)]))
+    order = cores.degeneracy_order(cores.ordered(e))
+    got = {r.size: r.n for r in cliques.clique_sizes(e, order, steps=20).collect()}
+    assert got == {9: 512, 2: 30}
+    rows = cliques.maximal_cliques(e, order, out_members=50, steps=20)
+    assert rows.count() == 542 and rows.select("members").distinct().count() == 542
+    assert len(rows.inputFiles()) > 8
+
+
 def test_neighbour_sets(spark):
     e = cl.clean(frame(spark, [(1, 2), (1, 3), (2, 3), (1, 4)]))
     pairs = spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")
