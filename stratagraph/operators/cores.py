@@ -45,7 +45,12 @@ def core_numbers(e: DataFrame, strategy: str = "auto", isolated: DataFrame | Non
 
 
 def _hindex(e: DataFrame, max_rounds: int) -> DataFrame:
-    """(v, core), by ``_settled`` where the estimates may be broadcast and no vertex is a hub, else by ``_told``."""
+    """(v, core)."""
+    return _estimates(e, max_rounds, False).select("v", F.col("est").cast("int").alias("core"))
+
+
+def _estimates(e: DataFrame, jobs: int, early: bool) -> DataFrame:
+    """(v, est, deg), by ``_settled`` where the estimates may be broadcast and no vertex is a hub, else by ``_told``; ``early``: after so many jobs, settled or not."""
     tables, e = Rounds(e.sparkSession), settle(e)
     deg, seen = tables.keep(degrees(e), n=F.count(F.lit(1)), edges=F.sum("deg"), largest=F.max("deg"))
     dealt = Dealt(e, "src", seen["edges"] or 0, largest=seen["largest"] or 0)
@@ -53,20 +58,28 @@ def _hindex(e: DataFrame, max_rounds: int) -> DataFrame:
         small = seen["n"] <= BROADCAST_ROWS
         if small and not dealt.has_hubs:
             # the h-index of neighbours' estimates never rises, so it takes their place
-            est = _settled(dealt, tables, deg.select("v", F.col("deg").alias("x")), "size(filter(near, (y, i) -> y > i))", max_rounds).withColumnRenamed("x", "est")
+            est = _settled(dealt, tables, deg.select("v", F.col("deg").alias("x")), "size(filter(near, (y, i) -> y > i))", jobs, early).withColumnRenamed("x", "est")
         else:
-            est = _told(dealt, tables, deg, small, max_rounds)
-        return settle(est.select("v", F.col("est").cast("int").alias("core")))
+            est = _told(dealt, tables, deg, small, jobs * ROUNDS_A_JOB if early else jobs, early)
+        return settle(est.select("v", "est").join(deg, "v"))
     finally:
         dealt.clear()
         tables.clear()
 
 
+def early_order(e: DataFrame, jobs: int = 1) -> DataFrame:
+    """(v, est, deg, ord): numbers by estimate after some rounds, degree and id, for work that any order gives right and a degeneracy order makes small.
+
+    At most est neighbours have a higher estimate; those of an equal one add to them. Unlike the rounds of a peel, the work has a bound.
+    """
+    return numbered(_estimates(e, jobs, True), "est", "deg", "v", name="ord")
+
+
 #: Rounds of one job where the values of all vertices are broadcast.
 ROUNDS_A_JOB = 4
 
 
-def _settled(dealt: Dealt, tables: Rounds, values: DataFrame, rule: str, max_rounds: int) -> DataFrame:
+def _settled(dealt: Dealt, tables: Rounds, values: DataFrame, rule: str, max_rounds: int, early: bool = False) -> DataFrame:
     """(v, x): values of few vertices, each worked out from its neighbours' (``near``, largest first) until nothing changes.
 
     A round is one stage over the stored edges, where they lie: one broadcast of the values, no exchange. Some rounds make a job, which writes the
@@ -84,10 +97,12 @@ def _settled(dealt: Dealt, tables: Rounds, values: DataFrame, rule: str, max_rou
         values = values.select("v", "x")
         if not seen["moved"]:
             return values
+    if early:
+        return values
     raise RuntimeError("values did not settle")
 
 
-def _told(dealt: Dealt, tables: Rounds, deg: DataFrame, small: bool, max_rounds: int) -> DataFrame:
+def _told(dealt: Dealt, tables: Rounds, deg: DataFrame, small: bool, max_rounds: int, early: bool = False) -> DataFrame:
     """(v, est), for graphs whose estimates are moved. State of a vertex: est, cnt (neighbours of an estimate of est or more, as far as it was told) and old (est before the last round).
 
     A round reads the edges of the vertices that changed in the round before, which go to their neighbours as counts, and those of
@@ -118,6 +133,8 @@ def _told(dealt: Dealt, tables: Rounds, deg: DataFrame, small: bool, max_rounds:
         lower = found(near).select("v", "h", F.col("cnt").alias("base"))
         both = after.join(lower, "v", "left").select("v", F.coalesce("h", "est").alias("est"), F.coalesce("base", "cnt").alias("cnt"), F.col("est").alias("old"))
         state, seen = tables.keep(both, **moved)
+    if early or not seen["moved"]:
+        return state
     raise RuntimeError("estimates did not settle")
 
 

@@ -68,15 +68,45 @@ class Decomposition:
         size = self.edges.count()
         return {"input": self.path, "strategy": self.strategy, "vertices": s.n, "edges": size, "max_core": s.max_core, "avg_core": s.avg_core, **{k: round(v, 3) for k, v in self.times.items()}, "comment": self.comment}
 
+    def executors(self) -> dict[str, dict]:
+        """By executor (the driver is one on a local master): tasks, seconds in them, MB read by shuffles, and peak MB of heap and off-heap memory as the executor itself reported them.
+
+        Peaks come with the executors' heartbeats and are 0 before the first.
+        """
+        store = self.spark.sparkContext._jsc.sc().statusStore()
+        summaries, out = store.executorList(False), {}
+        for i in range(summaries.size()):
+            x = summaries.apply(i)
+            peaks = x.peakMemoryMetrics()
+            mb = lambda *names: round(sum(peaks.get().getMetricValue(n) for n in names) / 2**20, 1) if peaks.isDefined() else 0.0  # noqa: B023,E731
+            out[x.id()] = {
+                "tasks": x.totalTasks(),
+                "task_s": round(x.totalDuration() / 1000, 3),
+                "shuffle_read_mb": round(x.totalShuffleRead() / 2**20, 1),
+                "heap_mb": mb("JVMHeapMemory"),
+                "off_heap_mb": mb("JVMOffHeapMemory"),
+                "python_mb": mb("ProcessTreePythonRSSMemory"),
+            }
+        return out
+
     def measure(self, repeats: int = 5) -> dict:
-        """Runs again and again: mean, least and most seconds, and the driver's JVM memory peak in MB (executors included on a local master)."""
-        took = []
+        """Runs again and again: mean, least and most seconds, what each executor did meanwhile (``executors``), and the largest executor's peak in MB.
+
+        Before an executor has reported a peak (in the first seconds of a session) that of the driver's JVM stands for it.
+        """
+        took, before = [], self.executors()
         for _ in range(repeats):
             self.run()
             took.append(self.times["decompose_s"])
-        pools = self.spark._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
-        peak = sum(p.getPeakUsage().getUsed() for p in pools)
-        return {"repeats": repeats, "mean_s": round(sum(took) / len(took), 3), "min_s": round(min(took), 3), "max_s": round(max(took), 3), "peak_mb": round(peak / 2**20, 1)}
+        by = self.executors()
+        for k, x in by.items():
+            for c in ("tasks", "task_s", "shuffle_read_mb"):
+                x[c] = round(x[c] - before.get(k, {}).get(c, 0), 3)
+        peak = max((x["heap_mb"] + x["off_heap_mb"] + x["python_mb"] for x in by.values()), default=0)
+        if not peak:
+            pools = self.spark._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+            peak = sum(p.getPeakUsage().getUsed() for p in pools) / 2**20
+        return {"repeats": repeats, "mean_s": round(sum(took) / len(took), 3), "min_s": round(min(took), 3), "max_s": round(max(took), 3), "peak_mb": round(peak, 1), "executors": by}
 
     def write_results(self, path: str, fmt: str | None = None) -> None:
         """By extension, as in writers.write_results."""

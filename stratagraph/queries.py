@@ -189,8 +189,7 @@ def hindex_one_round(spark, sf_dir):
 @query("select x.src s, count(*) n, count(distinct y.dst) ends from a x join a y on x.dst = y.src group by x.src")
 def two_hop(spark, sf_dir):
     e = _graph(spark, sf_dir)
-    walks = ex.two_hop(e).select("s", "d").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("ends"))
-    return ex.two_hop_counts(e).join(walks, "s").select("s", "n", "ends")
+    return ex.two_hop_counts(e).join(ex.two_hop_ends(e), "s").select("s", "n", "ends")
 
 
 @query("select a.src, a.dst from a join d x on x.v = a.src join d y on y.v = a.dst where x.deg >= (select avg(deg) from d) and y.deg >= (select avg(deg) from d)")
@@ -306,13 +305,13 @@ def _purchases(spark, sf_dir):
 @query(PURCHASE + "select count(*) n from k where len(b) = 0")
 def maximal_clique_count(spark, sf_dir):
     e = _purchases(spark, sf_dir)
-    return cliques.clique_count(e, _order(e))
+    return cliques.clique_count(e, cores.early_order(e))
 
 
 @query(PURCHASE + "select len(c)::integer size, count(*) n from k where len(b) = 0 group by len(c)")
 def clique_size_histogram(spark, sf_dir):
     e = _purchases(spark, sf_dir)
-    return cliques.clique_sizes(e, _order(e))
+    return cliques.clique_sizes(e, cores.early_order(e))
 
 
 BOTH = """with l as (select distinct l_orderkey, l_partkey from lineitem),
@@ -327,7 +326,7 @@ def common_neighbours(spark, sf_dir):
     prepare(spark)
     pairs = settle(tables.co_purchase(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     e = settle(cl.clean(pairs.toDF("src", "dst")))
-    return ex.common_neighbours(e, pairs).select("a", "b", F.size("both").cast("long").alias("n"))
+    return ex.difference_counts(e, pairs).select("a", "b", F.col("common").alias("n"))
 
 
 @query(BOTH + "select e.a, e.b, count(*) filter (y.b is null and x.b <> e.b) n from e join s x on x.a = e.a left join s y on y.a = e.b and y.b = x.b group by e.a, e.b")
@@ -336,7 +335,7 @@ def neighbour_difference(spark, sf_dir):
     prepare(spark)
     pairs = settle(tables.co_purchase(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     e = settle(cl.clean(pairs.toDF("src", "dst")))
-    return ex.neighbour_difference(e, pairs).select("a", "b", F.size("only").cast("long").alias("n"))
+    return ex.difference_counts(e, pairs).select("a", "b", F.col("only").alias("n"))
 
 
 @query("with e as (select distinct user_id, event_type from events) select count(distinct user_id) users, count(distinct event_type) types, count(*) n from e")

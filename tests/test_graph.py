@@ -317,5 +317,46 @@ def test_pairs_with_hubs(spark):
     pairs = spark.createDataFrame([(0, 1), (0, 5), (1, 3), (2, 0), (7, 99)], "a long, b long")
     both = {(r.a, r.b): r.both for r in ex.common_neighbours(e, pairs).collect()}
     assert both == {(0, 1): [2], (0, 5): [], (1, 3): [0, 2], (2, 0): [1, 3]}
+    n = {(r.a, r.b): (r.common, r.only) for r in ex.difference_counts(e, pairs).collect()}
     only = {(r.a, r.b): r.only for r in ex.neighbour_difference(e, pairs).collect()}
+    assert n == {k: (len(both[k]), len(only[k])) for k in both}
     assert only[(0, 1)] == list(range(3, 30)) and only[(1, 3)] == [] and only[(2, 0)] == []
+
+
+@pytest.mark.parametrize("heavy", [None, 6, 2])
+def test_two_hop_ends(spark, heavy):
+    """Light and heavy middles, starts that are hubs themselves, and a star."""
+    edges = random_edges(40, 90, 12) + [(100, i) for i in range(25)] + [(101, i) for i in range(15, 40)] + [(200, 201), (202, 200)]
+    e = cl.clean(frame(spark, edges))
+    near = {}
+    for r in e.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+    want = {v: len(set().union(*(near[m] for m in near[v]))) for v in near}
+    assert {r.s: r.ends for r in ex.two_hop_ends(e, heavy).collect()} == want
+
+
+def test_a_star_is_not_squared(spark):
+    """Leaves of a hub reach each other through one set of heavy middles: no operator makes more than a few times the edges."""
+    n = 3000
+    e = cl.clean(spark.range(1, n + 1).selectExpr("0L as src", "id as dst"))
+    got = ex.two_hop_ends(e)
+    assert {r.ends for r in got.where("s > 0").collect()} == {n} and got.where("s = 0").first().ends == 1
+    plan = got._jdf.queryExecution().executedPlan()
+
+    def rows(p):
+        kids = p.children()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            yield from rows(p.executedPlan())
+        if "QueryStage" in p.nodeName():
+            yield from rows(p.plan())
+        m = p.metrics().get("numOutputRows")
+        if m.isDefined():
+            yield m.get().value()
+        for i in range(kids.size()):
+            yield from rows(kids.apply(i))
+
+    got._jdf.collectToPython()
+    assert n <= max(rows(plan)) <= 6 * n
+    pairs = spark.range(1, n + 1).selectExpr("0L as a", "id as b")
+    counts = ex.difference_counts(e, pairs)
+    assert {(r.common, r.only) for r in counts.collect()} == {(0, n - 1)}

@@ -182,6 +182,7 @@ def test_repeated_runs(spark, tmp_path):
     p.write_text("0 1\n1 2\n2 0\n")
     m = Decomposition(spark, str(p), strategy="local").measure(2)
     assert m["repeats"] == 2 and 0 < m["min_s"] <= m["mean_s"] <= m["max_s"] and m["peak_mb"] > 1
+    assert m["executors"] and all(x["tasks"] > 0 and x["task_s"] > 0 for x in m["executors"].values())
 
 
 def test_header_keeps_isolated_vertices(spark, tmp_path):
