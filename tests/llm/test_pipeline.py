@@ -96,6 +96,9 @@ def test_queries_have_their_columns(spark):
         "op8_language_id": ["doc_id", "held_out", "lang_pred", "score"],
         "op9_html_text": ["page_id", "url", "text", "n_chars"],
         "op10_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        "op11_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+        "op12_mix_sources": ["doc_id", "size", "source_size", "target", "taken"],
+        "op13_repair_conversations": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
     }
     for n, cols in want.items():
         assert queries.QUERIES[n](spark, "/root/testdata/sf0.001").columns == cols, n
