@@ -15,7 +15,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return jaccard.classes(docs, n=3, num=90, den=100, lower=True).select("doc_id", "n_shingles", "component_id")
+    return jaccard.classes(docs, n=3, num=90, den=100, lower=True).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 OP2_SQL = r"""
@@ -25,8 +25,11 @@ n as (select doc_id, count(*) n from s group by doc_id),
 o as (select a.doc_id x, b.doc_id y, count(*) o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
 l as (select x, y from o join n p on p.doc_id = x join n q on q.doc_id = y where 100 * o >= 90 * (p.n + q.n - o)),
 e as (select x, y from l union select y, x from l),
-r as (select doc_id, doc_id root from d union select e.y, r.root from r join e on e.x = r.doc_id)
-select d.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(root) component_id from d join r using (doc_id) left join n using (doc_id) group by d.doc_id"""
+r as (select doc_id, doc_id root from d union select e.y, r.root from r join e on e.x = r.doc_id),
+k as (select doc_id, min(doc_id) over (partition by h) class_id from (select doc_id, sha256(string_agg(g, chr(10) order by g)) h from s group by doc_id)),
+m as (select e.x doc_id, count(distinct b.class_id) n_links from e join k a on a.doc_id = e.x join k b on b.doc_id = e.y where a.class_id <> b.class_id group by e.x)
+select d.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(root) component_id, coalesce(any_value(k.class_id), d.doc_id) class_id, coalesce(any_value(m.n_links), 0) n_links
+from d join r using (doc_id) left join n using (doc_id) left join k using (doc_id) left join m using (doc_id) group by d.doc_id"""
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

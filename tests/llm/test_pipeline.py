@@ -89,7 +89,7 @@ def test_other_frames_live_through_a_run(spark, folder):
 
 def test_queries_have_their_columns(spark):
     want = {
-        "op2_jaccard_join": ["doc_id", "n_shingles", "component_id"],
+        "op2_jaccard_join": ["doc_id", "n_shingles", "component_id", "class_id", "n_links"],
         "op3_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
         "op4_nearest_neighbours": ["query_id", "rank", "vec_id", "score"],
         "op6_pack": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
