@@ -4,17 +4,18 @@ A document's tokens end with id 1. Documents longer than a window are first cut
 full windows, which fill a sequence each. What is left of every document
 is packed by best-fit decreasing: pieces come longest first, and a segment tree
 indexed by remaining capacity finds the tightest open window that still takes the
-piece. Packing runs in groups of about ``group_rows`` pieces dealt by a hash of the document,
-so a task's memory doesn't grow with the input, while the padding a group adds is
-at most part of one window.
+piece. Packing runs in groups dealt by a hash of the piece, of about ``group_rows`` documents and at most about
+``GROUP_BYTES`` of text. Full windows pass through a group as a stream: a task holds what is left of its documents only,
+so its memory doesn't grow with the input or with the length of documents, while the padding a group adds is at most part of one window.
 
 Tokens: each distinct word of the texts is encoded once a worker and kept in a bounded
 cache; words are independent under the tokenizer's own splitting, so the ids are those
 of encoding the text at once. (Words with characters for which that isn't plain go
 through the whole tokenizer.)
 
-Nulls: a null text is an empty one: the single id 1; a null id stays null. Repeated rows are packed each. Pieces of equal
-length are taken in the order of (hash of document, start and ids), so a repeated task gives the same numbers. An empty table gives no rows.
+Nulls: a null text is an empty one: the single id 1; a null id stays null. Repeated rows are packed each; those that different
+tasks read are dealt to different groups. Pieces of equal length are taken in the order of (hash of document, start, ids and the task that cut
+them), so a repeated task gives the same numbers. An empty table gives no rows.
 A long text is encoded in one piece of work, however long. Only the id and the text are read, so other columns can't clash.
 """
 
@@ -24,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +41,8 @@ GROUP_ROWS = 40_000
 #: Pieces of a group, and rows of a batch, when they carry their ids (some kilobytes each).
 GROUP_ROWS_WITH_IDS = 6_000
 BATCH_WITH_IDS = 500
+#: Bytes of text that a group is meant to have at most.
+GROUP_BYTES = 64 << 20
 #: Bytes of text encoded at once.
 PIECE_BYTES = 1 << 20
 #: Words whose ids a worker keeps (about 40 bytes each), and parts of words (about 150 bytes each).
@@ -242,21 +246,15 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
 
     cut = flat_text(d, "t", task, T.StructType(fields), PIECE_BYTES)
     group_rows = group_rows or (GROUP_ROWS_WITH_IDS if with_ids else GROUP_ROWS)
-    groups = max(1, -(-docs.count() // group_rows))
+    rows, size_of_all = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()
+    groups = max(1, -(-rows // group_rows), -(-size_of_all // GROUP_BYTES))
     # ids travel as bytes and leave as an array, in the same task: one Python worker at a time
     given = [T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in cut.schema.fields]
     schema = T.StructType([*given, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def bins(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).drop_columns(["g"])
-        # full windows come first in the order and fill a sequence each
-        window, offset = best_fit_decreasing(table.column("length").to_numpy(), size)
-        number = (TaskContext.get().partitionId() << 32) + window
-        table = table.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
-        del held
+    def placed(table, window, offset):
+        """The rows with the places given to them, in batches."""
+        table = table.append_column("sequence_id", pa.array(window)).append_column("offset", pa.array(offset))
         for b in table.to_batches(max_chunksize=BATCH_WITH_IDS if with_ids else 20_000):
             if with_ids:
                 k = b.schema.get_field_index("ids")
@@ -264,9 +262,28 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                 arrays = ragged(np.frombuffer(b"".join(data), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]), pa.int32())
                 b = pa.RecordBatch.from_arrays([arrays if i == k else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
             yield b
-        del table
+
+    def bins(batches):
+        number, held = TaskContext.get().partitionId() << 32, []
+        for b in batches:
+            table = pa.Table.from_batches([b]).drop_columns(["g"])
+            full = pc.equal(table.column("length"), size)
+            if n := pc.sum(full).as_py():
+                # a full window is a sequence of its own and leaves at once
+                yield from placed(table.filter(full), number + np.arange(n), np.zeros(n, np.int64))
+                number += n
+                table = table.filter(pc.invert(full))
+            if table.num_rows:
+                held.append(table)
+        if held:
+            table = pa.concat_tables(held)
+            window, offset = best_fit_decreasing(table.column("length").to_numpy(), size)
+            del held
+            yield from placed(table, number + window, offset)
+            del table
         give_back()
 
-    # pieces (small rows: ids only if asked for) are dealt once; a total order makes a repeated task give the same numbers
-    dealt = cut.withColumn("g", F.xxhash64("doc_id", "start", "ids_crc32"))
+    # pieces (small rows: ids only if asked for) are dealt once; a total order makes a repeated task give the same numbers. The number of
+    # the task that cut a piece is part of its key, so that equal rows don't all meet in one group
+    dealt = cut.withColumn("g", F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()))
     return dealt.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(bins, schema)

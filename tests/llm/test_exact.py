@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratagraph.llm import decontaminate, jaccard, packing, substring
 from stratagraph.llm.queries import tokenizer_path
@@ -355,6 +356,34 @@ def test_packing(docs, corpus, nothing, spark):
     assert packing.pack(nothing, tokenizer_path()).count() == 0
 
 
+def groups_of(frame):
+    """Pieces of each task that packs."""
+    return {r[0]: r["count"] for r in frame.groupBy(F.shiftright("sequence_id", 32)).count().collect()}
+
+
+def test_packing_of_long_documents_and_repeated_rows(spark, monkeypatch):
+    # many full windows from few documents: groups go by bytes, a full window is a sequence of its own
+    monkeypatch.setattr(packing, "GROUP_BYTES", 1 << 20)
+    long = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', id, ' of words. '), 6000)").alias("text"))
+    got = packing.pack(long, tokenizer_path()).cache()
+    assert len(groups_of(got)) >= 3 and got.where("length = 2048").count() > 400
+    assert got.where("length = 2048").select("sequence_id").distinct().count() == got.where("length = 2048").count()
+    used = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m"))
+    assert used.where("n > 2048 or n <> m").count() == 0
+    assert got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).where("n <> m").count() == 0
+    got.unpersist()
+    # one hot row of a null id and text: its copies are in several groups, each packed once
+    hot = spark.range(3000, numPartitions=16).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    parts = groups_of(packing.pack(hot, tokenizer_path(), group_rows=1000))
+    assert sum(parts.values()) == 3000 and len(parts) == 3 and max(parts.values()) < 2000
+
+
+def test_packing_of_one_text_of_tens_of_megabytes(spark):
+    one = spark.createDataFrame([(1, None)], "doc_id long, text string").withColumn("text", F.expr("repeat('a longer word and some more. ', 1000000)"))
+    got = packing.pack(one, tokenizer_path()).agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"), F.count_distinct("start").alias("k"), F.count(F.lit(1)).alias("c")).first()
+    assert got.n == got.m > 7_000_000 and got.k == got.c == -(-got.m // 2048)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit_is_tightest(sizes):
