@@ -78,13 +78,19 @@ class Block:
         self.text, self.path, self.linked = text, path or None, linked
 
 
+#: Words of names that are put together from an advertiser's word and another.
+_AD_WORD = re.compile(r"(?:google|dfp|gpt|web)?ads?(?:by[a-z]+|box|slot|unit|space|sense|wrapper|container|block|banner|zone|label|holder|frame|content|area)?|advert(?:s|ise[a-z]*|ising|orial)?|sponsor(?:s|ed|ship)?[a-z]*")
+
+
 def _words(tag: str, attrs: str) -> tuple[str, ...]:
-    """Features of one element: its tag, and the words of its class, id, role and item property."""
+    """Features of one element: its tag, the words of its class, id, role and item property, and whether one is an advert's."""
     words = {tag}
     for _, a, b, c in _ATTR.findall(attrs):
         for x in _NAME.findall(_html.unescape(a or b or c).lower()):
             if not x.isdigit():
                 words.add("." + x)
+            if _AD_WORD.fullmatch(x):
+                words.add(".advert-word")
     if _HIDDEN.search(attrs):
         words.add(".hidden")
     return tuple(sorted(words))
@@ -331,9 +337,10 @@ class Chain:
 # ---- labelled pages -------------------------------------------------------------------------
 
 # fixed values: names that page authors give to containers
-MAIN_NAMES = ["content", "main-content", "main", "post", "post-body", "entry-content", "article-body", "story", "article", "text", "page-content", "body-text", "maincontent", "entry", "blog-post", "prose", "markdown-body", "single-post", "news-item", "documentation"]
+MAIN_NAMES = ["content", "main-content", "main", "post", "post-body", "entry-content", "article-body", "story", "article", "text", "page-content", "body-text", "maincontent", "entry", "blog-post", "prose", "markdown-body", "single-post", "news-item", "documentation", "articleBody", "mw-parser-output", "post-content", "story-body"]
 SIDE_NAMES = ["sidebar", "side", "related", "widget", "recommended", "popular", "tags", "share", "social", "newsletter", "promo", "breadcrumb", "toc"]
-AD_NAMES = ["ad", "ads", "advert", "banner", "sponsored", "ad-slot", "adbox"]
+AD_NAMES = ["ad", "ads", "advert", "banner", "sponsored", "ad-slot", "adbox", "adsbygoogle", "advertisement", "ad-container", "adsense", "sponsor"]
+LINE_NAMES = ["siteSub", "contentSub", "jump-to-nav", "tagline"]
 NOTICE_NAMES = ["cookie-notice", "notice", "cookie", "consent", "alert", "modal", "popup", "disclaimer"]
 COMMENT_NAMES = ["comments", "comment-list", "comment", "replies", "discussion", "respond"]
 NAV_NAMES = ["nav", "menu", "navbar", "navigation", "main-menu"]
@@ -418,17 +425,20 @@ def labelled_pages(count: int = 600, seed: int = 3) -> list[tuple[str, list[int]
 
         def main():
             kind = rng.random()
-            a, b = ("<article>", "</article>") if kind < 0.38 else ("<main>", "</main>") if kind < 0.5 else ("<main><article>", "</article></main>") if kind < 0.58 else ("", "") if kind < 0.61 else (f'<div class="{word()}">', "</div>") if kind < 0.65 else box(MAIN_NAMES)
+            a, b = ("<article>", "</article>") if kind < 0.38 else ("<main>", "</main>") if kind < 0.5 else ("<main><article>", "</article></main>") if kind < 0.58 else ("", "") if kind < 0.61 else (f'<div class="{word()}">', "</div>") if kind < 0.65 else ("<section>", "</section>") if kind < 0.7 else ('<div itemprop="articleBody">', "</div>") if kind < 0.74 else box(MAIN_NAMES)
             add(a)
             if rng.random() < 0.85:
                 add(f"<h1>{sentence(1, 10)}</h1>", 1)
+            if rng.random() < 0.15:
+                add(f'<div {rng.choice(["class", "id"])}="{rng.choice(LINE_NAMES)}">{sentence(2, 6)}</div>', 0)
+            brief = rng.random() < 0.25  # an article of short paragraphs
             para = rng.choice(["p", "p", "p", "p", "div"])
             inner = rng.random() < 0.15
             add("<div>" if inner else "")
             for _ in range(rng.randint(0, 9)):
                 k = rng.random()
                 if k < 0.5:
-                    add(f"<{para}>{prose()}</{para}>", 1)
+                    add(f"<{para}>{sentence(2, 9) if brief or rng.random() < 0.1 else prose()}</{para}>", 1)
                 elif k < 0.53:
                     n = rng.randint(1, 4)
                     add("<table>" + "".join(f"<tr><th>{sentence(1, 3)}</th><td>{sentence(1, 8)}</td></tr>" for _ in range(n)) + "</table>", *[1] * (2 * n))
@@ -441,7 +451,10 @@ def labelled_pages(count: int = 600, seed: int = 3) -> list[tuple[str, list[int]
                     add(rng.choice([f"<p hidden>{prose(1, 2)}</p>", f'<div style="display:none"><p>{prose(1, 2)}</p></div>', f"<noscript>{prose(1, 1)}</noscript>"]), 0)
                 elif k < 0.7:
                     add(f"<p><b>{prose()}<br>", 1) if para == "p" else add(f"<div><b>{prose()}</b><br></div>", 1)
-                elif k < 0.76:
+                elif k < 0.72:
+                    n = rng.randint(1, 3)
+                    add(f"<section><h2>{sentence(1, 5)}</h2>" + "".join(f"<p>{sentence(2, 9) if brief else prose(1, 3)}</p>" for _ in range(n)) + "</section>", *[1] * (n + 1))
+                elif k < 0.77:
                     h = rng.choice(["h2", "h2", "h3", "h3", "h4"])
                     add(f"<{h}>{sentence(1, 6)}</{h}>", 1)
                 elif k < 0.82:

@@ -410,6 +410,11 @@ def test_html_head_without_end_tag(start):
         ("<div class=story><h1>Title</h1><p>Some words that tell the story here.</p><table><tr><th>Year</th><td>Many things happened then.</td></tr></table><figure><img src=a><figcaption>What the picture shows us.</figcaption></figure></div>", ["Title", "Some words that tell the story here.", "Year", "Many things happened then.", "What the picture shows us."]),
         ("<article><h1>Title</h1><p>Some words that tell the story here.</p><h3>A lesser heading</h3><p>And the rest of it follows below.</p></article>", ["Title", "Some words that tell the story here.", "A lesser heading", "And the rest of it follows below."]),
         ("<article><p>Some words that tell the story here.</p><p hidden>Nobody is to see these words here.</p><p>And the rest of it follows below.</p></article>", ["Some words that tell the story here.", "And the rest of it follows below."]),
+        ("<nav><a href=/>Home</a><a href=/x>More</a></nav><section><h2>The village</h2><p>The village lies on a river.</p><p>It has a church and a mill.</p></section><footer>&copy; 2020 Someone</footer>", ["The village", "The village lies on a river.", "It has a church and a mill."]),
+        ('<div itemprop="articleBody"><p>Mix flour.</p><ul><li>Two eggs</li><li>Some milk</li></ul><p>Bake it for an hour.</p></div>', ["Mix flour.", "Two eggs", "Some milk", "Bake it for an hour."]),
+        ('<article><p>Some words that tell the story here.</p><div class="adsbygoogle">Buy now!</div><p>And the rest of it follows below.</p></article>', ["Some words that tell the story here.", "And the rest of it follows below."]),
+        ('<div id="content"><h1>Mill</h1><div id="siteSub">From an encyclopedia</div><div class="mw-parser-output"><p>A mill grinds corn.</p><p>Many stand on rivers.</p></div></div>', ["Mill", "A mill grinds corn.", "Many stand on rivers."]),
+        ('<main><div class="address-book"><p>She added an address to the book.</p><p>It was short.</p></div></main>', ["She added an address to the book.", "It was short."]),
         ("<article><dl><dt>Term</dt><dd>What the term means in a few words.</dd></dl></article><aside class=related><p>See this one too, it is good.</p></aside>", ["Term", "What the term means in a few words."]),
     ],
 )
