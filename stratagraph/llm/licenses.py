@@ -6,7 +6,7 @@ space. The SHA-256 of the whole canonical text is hash-joined to the digests of
 licenses. Lines that name a license are looked up in the same way among known notices.
 Callers may add texts of their own (``more``: kind, license_id, text).
 
-A copyright line names an owner or a year ("Copyright (c) 2020 X", "Copyright Jane Doe", "(c) 1999 X", "© X") or is the bare word; lines of a
+A copyright line names an owner or a year ("Copyright (c) 2020 X", "Portions Copyright (c) X", "Copyright Jane Doe", "(c) 1999 X", "© X") or is the bare word; lines of a
 license that only begin with the word ("copyright notice ...", "COPYRIGHT HOLDERS ...", item "(c) You must ...") stay, so that wrapping doesn't matter.
 
 Nulls: a null text has no digest, no license and no notice; an empty text (or
@@ -105,6 +105,9 @@ TITLES = {
     "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
 }
+# fixed values: identifiers of which SPDX lines are known without a text or title here
+SPDX_IDS = ["GPL-1.0", "LGPL-2.0", "GFDL-1.3", "MPL-1.1", "MIT-0", "BSD-4-Clause", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "CDDL-1.0", "Artistic-2.0", "CC-BY-3.0", "CC-BY-SA-3.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "OFL-1.1", "PSF-2.0", "PostgreSQL", "NCSA", "X11", "WTFPL", "BlueOak-1.0.0", "MS-PL"]
+SPDX_IDS += [f"{k}-{x}" for k in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.3") for x in ("only", "or-later")]
 #: How a line names a license.
 WORDINGS = ["Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "This project is licensed under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This software is licensed under the {}.", "This file is licensed under the {}.", "Distributed under the {}.", "License: {}"]
 
@@ -122,11 +125,13 @@ SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infrin
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARGIN = r"^[ \t*#/;%!>-]*"
 #: Lines that name an owner or a year, and lines that look so but belong to a license.
-COPYRIGHT_LINE = _MARGIN + r"(?:(?i:copyright)[ \t]*(?:(?i:\(c\)|&copy;|by[ \t])|©|:|[0-9]{4})|(?i:\(c\)|&copy;)[ \t]*(?:(?i:copyright)|[0-9]{4})|©|Copyright[ \t]+(?:[A-Z0-9<\[{(]|the[ \t])|(?:Copyright|(?i:all rights reserved))[. \t\r]*$)"
+COPYRIGHT_LINE = _MARGIN + r"(?i:portions[ \t]+)?(?:(?i:copyright)[ \t]*(?:(?i:\(c\)|&copy;|by[ \t])|©|:|[0-9]{4})|(?i:\(c\)|&copy;)[ \t]*(?:(?i:copyright)|[0-9]{4})|©|Copyright[ \t]+(?:[A-Z0-9<\[{(]|the[ \t])|(?:Copyright|(?i:all rights reserved))[. \t\r]*$)"
 NO_COPYRIGHT_LINE = _MARGIN + r"Copyright[ \t]+(?i:licen[cs]e|notice|law|act[ ,.]|holder|owner|statement|management|interest|disclaimer|term|and |or |the above|the copyright)"
 #: ASCII that is no letter or digit, and typographic quotes, dashes, dots and spaces.
 FILLER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2026}]+"
 NAMES_LICENSE = r"licen[cs]e"
+#: An SPDX line in lower case and its expression, and what stands between the identifiers of one.
+SPDX_LINE, SPDX_BETWEEN = r"spdx-license-identifier:[ \t]*([^\n]*)", r"[ \t()]+(?:or|and|with)[ \t()]+"
 
 
 def canonical(text: Column) -> Column:
@@ -140,7 +145,8 @@ def canonical(text: Column) -> Column:
 def known_texts() -> list[tuple[str, str, str]]:
     """(kind, license, text); a license counts with and without its titles, a notice also as a whole text."""
     rows = [("license", k, t) for k, t in LICENSES.items()] + [("license", k, f"{x}\n\n{t}") for k, t in LICENSES.items() for x in TITLES[k]]
-    return rows + [(kind, k, t) for k in TITLES for t in notices_of(k) for kind in ("license", "notice")]
+    rows += [(kind, k, t) for k in TITLES for t in notices_of(k) for kind in ("license", "notice")]
+    return rows + [(kind, k, t) for k in SPDX_IDS for t in (f"SPDX-License-Identifier: {k}", f"License: {k}") for kind in ("license", "notice")]
 
 
 def known(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
@@ -155,7 +161,7 @@ def known(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, more: DataFrame | None = None) -> DataFrame:
     """Adds: digest of the canonical text, license_id (null if unknown), notices (identifiers
-    named by lines of the text, sorted, comma-joined) and n_notices (such lines).
+    named by lines of the text, sorted, comma-joined) and n_notices (such lines; an SPDX expression counts by each known identifier).
 
     Both look-ups are joins with a fixed table of some hundred digests (and the rows of ``more``: kind, "license" for
     whole texts or "notice" for lines, license_id, text), so the broadcast doesn't grow; no shuffle of the documents is needed.
@@ -163,7 +169,10 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, mor
     keep = docs.columns if keep is None else keep
     k = known(docs.sparkSession, more)
     lines = F.filter(F.split(F.translate(F.col(text), UPPER, LOWER), "\n", -1), lambda x: x.rlike(NAMES_LICENSE))
-    digests = F.transform(lines, lambda x: F.sha2(canonical(x), 256))
+    # an SPDX line counts by each identifier of its expression
+    one = lambda x: F.transform(F.split(F.regexp_extract(x, SPDX_LINE, 1), SPDX_BETWEEN), lambda y: F.concat(F.lit("spdx-license-identifier: "), y))
+    named = F.flatten(F.transform(lines, lambda x: F.when(x.rlike(SPDX_LINE), one(x)).otherwise(F.array(x))))
+    digests = F.transform(named, lambda x: F.sha2(canonical(x), 256))
     kd, lid = fresh(docs, "sg_digest"), fresh(docs, "sg_license")
     of_text = F.broadcast(k.where("kind = 'license'").select(F.col("digest").alias(kd), F.col("license_id").alias(lid)))
     # the fixed table of notices as a literal map
@@ -193,7 +202,9 @@ def scan_sql() -> str:
 with k as (select kind, min(license_id) license_id, digest from (select kind, license_id, sha256({_sql_canonical('t')}) digest from (values {rows}) v(kind, license_id, t){digests}) group by kind, digest),
 d as (select doc_id, text, sha256({_sql_canonical('text')}) digest from documents),
 l as (select doc_id, unnest(string_split(translate(text, '{UPPER}', '{LOWER}'), chr(10))) line from documents),
+m as (select doc_id, unnest(case when regexp_matches(line, '{SPDX_LINE}') then list_transform(string_split_regex(regexp_extract(line, '{SPDX_LINE}', 1), '{SPDX_BETWEEN}'), lambda y: 'spdx-license-identifier: ' || y) else [line] end) line
+      from l where regexp_matches(line, '{NAMES_LICENSE}')),
 n as (select doc_id, string_agg(distinct license_id, ',' order by license_id) notices, count(*) n
-      from (select doc_id, sha256({_sql_canonical('line')}) digest from l where regexp_matches(line, '{NAMES_LICENSE}')) join k using (digest) where kind = 'notice' group by doc_id)
+      from (select doc_id, sha256({_sql_canonical('line')}) digest from m) join k using (digest) where kind = 'notice' group by doc_id)
 select d.doc_id, d.digest, k.license_id, coalesce(n.notices, '') notices, coalesce(n.n, 0) n_notices
 from d left join k on k.digest = d.digest and k.kind = 'license' left join n on n.doc_id = d.doc_id"""

@@ -36,6 +36,8 @@ EXPECTED = [
     ("Boost Software License - Version 1.0 - August 17th, 2003\n\n{boost}", "BSL-1.0"),
     ("   Copyright 2019 The Authors\n\n   {apache}", "Apache-2.0"),
     ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+    ("Portions Copyright (C) 2001 Someone Else\n{mit}", "MIT"),
     ("Released under the GNU General Public License v3.0.", "GPL-3.0"),
     ("Released under the MIT License and another one.", None),
 ]
@@ -54,6 +56,29 @@ def test_expected_licenses(spark):
     assert licenses.scan(df.union(df)).count() == 2 * len(rows)
 
 
+SPDX = [
+    ("# SPDX-License-Identifier: MIT OR Apache-2.0\nimport x", "Apache-2.0,MIT", 2),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */\r", "BSD-3-Clause,GPL-2.0-only", 2),
+    ("// spdx-license-identifier: GPL-3.0-or-later\r\nLicense: AGPL-3.0-or-later", "AGPL-3.0-or-later,GPL-3.0-or-later", 2),
+    ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0", 1),
+    ("SPDX-License-Identifier: ((MIT AND (ISC)) OR NoSuch-1.0)", "ISC,MIT", 2),
+    ("SPDX-License-Identifier:", "", 0),
+    ("SPDX-License-Identifier: MIT or not, as you like", "MIT", 1),
+]
+
+
+def test_spdx_expressions(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(i, t) for i, (t, _, _) in enumerate(SPDX)]
+    got = {r.doc_id: (r.notices, r.n_notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (a, n) for i, (_, a, n) in enumerate(SPDX)}
+    with duckdb.connect() as db:
+        db.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+        assert {r[0]: (r[3], r[4]) for r in db.execute(licenses.scan_sql()).fetchall()} == got
+
+
 @pytest.mark.parametrize(("name", "want"), [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
 def test_published_texts(spark, name, want):
     path = f"/usr/share/common-licenses/{name}"
